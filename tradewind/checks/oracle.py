@@ -12,8 +12,13 @@ from tradewind.checks.queries import CHOSEN, DECLARED, PROFILE_KEYS
 from tradewind.checks.testdata import END, MAPPING, MIN_MONTH_ORDERS, START
 
 
-def _avg(column: str, output: str, count: str | None = None) -> str:
-    return f"CAST(CAST(SUM({column}) AS DOUBLE) / NULLIF(COUNT({count or column}), 0) AS {output})"
+def _rounded(value: str, output: str) -> str:
+    """A DOUBLE as DECIMAL, its shortest decimal text rounded half up, as Spark does."""
+    return f"CAST(CAST({value} AS VARCHAR) AS {output})"
+
+
+def _avg(column: str, output: str) -> str:
+    return _rounded(f"CAST(SUM({column}) AS DOUBLE) / NULLIF(COUNT({column}), 0)", output)
 
 
 def _key(city: str, state: str) -> str:
@@ -39,12 +44,12 @@ _SHARED = {
         WHERE order_status = 'delivered' AND order_purchase_timestamp >= TIMESTAMP '{START}'
           AND order_purchase_timestamp < TIMESTAMP '{END}'
         GROUP BY 1, 2""",
-    "growth": """
+    "growth": f"""
         SELECT *,
-          CAST(CAST(total_revenue - LAG(total_revenue) OVER w AS DOUBLE) * 100 / LAG(total_revenue) OVER w
-            AS DECIMAL(12,1)) AS mom_growth_pct,
-          CAST(CAST(total_revenue - FIRST_VALUE(total_revenue) OVER w AS DOUBLE) * 100
-            / FIRST_VALUE(total_revenue) OVER w AS DECIMAL(12,1)) AS cumulative_growth_pct
+          {_rounded("CAST(total_revenue - LAG(total_revenue) OVER w AS DOUBLE) * 100 / LAG(total_revenue) OVER w",
+                    "DECIMAL(12,1)")} AS mom_growth_pct,
+          {_rounded("CAST(total_revenue - FIRST_VALUE(total_revenue) OVER w AS DOUBLE) * 100"
+                    " / FIRST_VALUE(total_revenue) OVER w", "DECIMAL(12,1)")} AS cumulative_growth_pct
         FROM months WINDOW w AS (ORDER BY order_year, order_month)""",
     "states": f"""
         SELECT customer_state, state_name, COUNT(DISTINCT order_id) AS order_count,
@@ -117,17 +122,20 @@ def _city_stats(source: str, side: str, revenue: str, min_orders: int) -> str:
         FROM {source} {placed} GROUP BY 1, 2 HAVING COUNT(DISTINCT order_id) >= {min_orders}"""
 
 
+def _weighted(name: str) -> str:
+    return _rounded(f"CAST(SUM({name} * order_count) AS DOUBLE) / SUM(order_count)", "DECIMAL(12,2)")
+
+
 def _merged(source: str, side: str, revenue: str, min_orders: int = 1) -> str:
     city, state = f"{side}_city", f"{side}_state"
-    weighted = "CAST(CAST(SUM({0} * order_count) AS DOUBLE) / SUM(order_count) AS DECIMAL(12,2))"
     return f"""
         SELECT {_key(city, state)} AS city_key,
           FIRST({city} ORDER BY order_count DESC, {city}, {state}) AS city,
           FIRST({state} ORDER BY order_count DESC, {city}, {state}) AS state,
           CAST(SUM(order_count) AS BIGINT) AS order_count,
           CAST(SUM({revenue}) AS DECIMAL(20,2)) AS revenue,
-          {weighted.format("avg_freight")} AS avg_freight,
-          {weighted.format("avg_distance_km")} AS avg_distance
+          {_weighted("avg_freight")} AS avg_freight,
+          {_weighted("avg_distance_km")} AS avg_distance
         FROM {source} GROUP BY 1 HAVING SUM(order_count) >= {min_orders}"""
 
 
@@ -174,8 +182,7 @@ def _routes(source: str) -> dict[str, str]:
         "joined": f"""
         SELECT seller_key, customer_key, {shown},
           CAST(SUM(order_count) AS BIGINT) AS n, CAST(SUM(total_revenue) AS DECIMAL(20,2)) AS revenue,
-          CAST(CAST(SUM(avg_distance_km * order_count) AS DOUBLE) / SUM(order_count) AS DECIMAL(12,2)) AS km,
-          CAST(CAST(SUM(avg_freight * order_count) AS DOUBLE) / SUM(order_count) AS DECIMAL(12,2)) AS freight
+          {_weighted("avg_distance_km")} AS km, {_weighted("avg_freight")} AS freight
         FROM keyed GROUP BY seller_key, customer_key""",
         "routes": """
         SELECT seller_city, seller_state, seller_key, customer_city, customer_state, customer_key,
@@ -193,8 +200,8 @@ def _top_city_routes(source: str) -> str:
           order_count, avg_distance_km, avg_distance_mi, avg_freight_value
         FROM (
           SELECT seller_city, other_state, customer_city, customer_state, COUNT(*) AS order_count,
-            CAST({km} AS DECIMAL(10,1)) AS avg_distance_km,
-            CAST({km} * CAST(0.6214 AS DOUBLE) AS DECIMAL(10,1)) AS avg_distance_mi,
+            {_rounded(km, "DECIMAL(10,1)")} AS avg_distance_km,
+            {_rounded(km + " * CAST(0.6214 AS DOUBLE)", "DECIMAL(10,1)")} AS avg_distance_mi,
             {_avg("other_freight", "DECIMAL(12,2)")} AS avg_freight_value
           FROM {source} WHERE seller_city IS NOT NULL GROUP BY ALL
           ORDER BY order_count DESC, seller_city, other_state, customer_city, customer_state LIMIT 10)"""
@@ -316,7 +323,7 @@ _SPAN = """COUNT(*) AS order_count, CAST(MIN(order_purchase_timestamp) AS DATE)
             AS span_years,
           CAST(date_diff('month', MIN(order_purchase_timestamp), MAX(order_purchase_timestamp)) % 12 AS INTEGER)
             AS span_months"""
-_SHARE = "CAST(CAST(COUNT(*) * 100 AS DOUBLE) / SUM(COUNT(*)) OVER () AS DECIMAL(10,2))"
+_SHARE = _rounded("CAST(COUNT(*) * 100 AS DOUBLE) / SUM(COUNT(*)) OVER ()", "DECIMAL(10,2)")
 
 
 def _summary_row(label: str, function: str) -> str:
@@ -454,8 +461,8 @@ def _checks() -> dict[str, tuple[dict[str, str], str]]:
         ),
         "lead_conversion": (
             {},
-            """SELECT origin, COUNT(DISTINCT c.mql_id) AS Converted_leads, COUNT(DISTINCT q.mql_id) AS Total_qualified_leads,
-          CAST(CAST(COUNT(DISTINCT c.mql_id) * 100 AS DOUBLE) / COUNT(DISTINCT q.mql_id) AS DECIMAL(5,2))
+            f"""SELECT origin, COUNT(DISTINCT c.mql_id) AS Converted_leads, COUNT(DISTINCT q.mql_id) AS Total_qualified_leads,
+          {_rounded("CAST(COUNT(DISTINCT c.mql_id) * 100 AS DOUBLE) / COUNT(DISTINCT q.mql_id)", "DECIMAL(5,2)")}
             AS Conversion_rate_percent
         FROM m_qualified q LEFT JOIN m_closed c ON c.mql_id = q.mql_id GROUP BY origin
         ORDER BY Converted_leads DESC, origin LIMIT 5""",

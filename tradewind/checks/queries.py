@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.checks.testdata import END, MIN_MONTH_ORDERS, START, load
+from tradewind.checks.testdata import END, MIN_MONTH_ORDERS, START, Roles
 from tradewind.functions.distance import planar_distance_km
 from tradewind.functions.text import city_key, normalize_city
 from tradewind.operators import cities, customers, geography, quality, sales, selection, sellers
 
-Tables = dict[str, DataFrame]
+Tables = Mapping[str, DataFrame]
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Cities chosen in the per-city route queries.
@@ -61,7 +61,7 @@ def _point_distances(t: Tables) -> DataFrame:
     """How far the points of each zip code lie from its centroid."""
     centers = geography.zip_centroid(t["geolocation"])
     points = t["geolocation"].withColumnRenamed("geolocation_zip_code_prefix", "zip_code_prefix")
-    km = planar_distance_km(F.col("geolocation_lat"), F.col("geolocation_lng"), F.col("lat"), F.col("lng"))
+    km = planar_distance_km("geolocation_lat", "geolocation_lng", "lat", "lng")
     return (
         points.join(centers, "zip_code_prefix")
         .groupBy("zip_code_prefix")
@@ -200,6 +200,6 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
 
 def queries() -> dict[str, Query]:
     def bound(operator: Callable[[Tables], DataFrame]) -> Query:
-        return lambda spark, folder: operator(load(spark, folder))
+        return lambda spark, folder: operator(Roles(spark, folder))
 
     return {name: bound(operator) for name, operator in OPERATORS.items()}

@@ -1,14 +1,18 @@
 """The generated test tables in the roles of the marketplace tables.
 
-``MAPPING`` states each role in the SQL dialect of the checking engine; ``load``
+``MAPPING`` states each role in the SQL dialect of the checking engine; ``Roles``
 builds the same rows as DataFrames.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+Reader = Callable[[str], DataFrame]
+
 # Date window, monthly threshold and labels that suit these tables.
 START, END = "1997-01-01", "1998-09-01"
 MIN_MONTH_ORDERS = 60
@@ -23,18 +27,24 @@ TRANSLATION = [
 ]
 
 
-def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """All roles over ``folder``; nothing is read until a query uses it."""
-
-    def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
+_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+}
 
-    lineitem, orders, customer = table("lineitem"), table("orders"), table("customer")
-    supplier, part, events, region = table("supplier"), table("part"), table("events"), table("region")
-    nation = table("nation").join(region, F.col("n_regionkey") == F.col("r_regionkey"))
 
-    shipped = lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("ship"))
-    m_orders = orders.join(shipped, "o_orderkey", "left").select(
+def _orders(table: Reader) -> DataFrame:
+    shipped = table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("ship"))
+    return table("orders").join(shipped, "o_orderkey", "left").select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
         F.when(F.col("o_orderstatus") == "F", "delivered")
@@ -46,8 +56,10 @@ def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         (F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS")).alias("order_estimated_delivery_date"),
     )
 
+
+def _items(table: Reader) -> DataFrame:
     price = F.col("l_extendedprice").cast("decimal(12,2)")
-    m_items = lineitem.select(
+    return table("lineitem").select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("order_item_id"),
         F.col("l_partkey").alias("product_id"),
@@ -56,8 +68,14 @@ def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         (price * F.col("l_tax").cast("decimal(4,2)")).cast("decimal(12,2)").alias("freight_value"),
     )
 
+
+def _places(table: Reader) -> DataFrame:
+    return table("nation").join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+
+
+def _customers(table: Reader) -> DataFrame:
     name = F.col("n_name")
-    m_customers = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+    return table("customer").join(_places(table), F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("c_custkey").alias("customer_id"),
         F.col("c_custkey").alias("customer_unique_id"),
         F.col("c_nationkey").alias("customer_zip_code_prefix"),
@@ -67,7 +85,11 @@ def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         .alias("customer_city"),
         F.col("r_name").alias("customer_state"),
     )
-    m_sellers = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+
+
+def _sellers(table: Reader) -> DataFrame:
+    name = F.col("n_name")
+    return table("supplier").join(_places(table), F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("s_suppkey").alias("seller_id"),
         F.col("s_nationkey").alias("seller_zip_code_prefix"),
         F.when(F.col("s_suppkey") % 2 == 0, name)
@@ -75,55 +97,105 @@ def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         .alias("seller_city"),
         F.col("r_name").alias("seller_state"),
     )
-    m_products = part.select(
+
+
+def _products(table: Reader) -> DataFrame:
+    return table("part").select(
         F.col("p_partkey").alias("product_id"),
         F.when(F.col("p_size") != 50, F.col("p_type")).alias("product_category_name"),
         F.when(F.col("p_size") != 49, F.col("p_size") * 150).alias("product_weight_g"),
     )
+
+
+def _geolocation(table: Reader) -> DataFrame:
     balance = F.col("c_acctbal").cast("decimal(12,2)")
-    m_geolocation = customer.where(F.col("c_nationkey") != 24).select(
+    return table("customer").where(F.col("c_nationkey") != 24).select(
         F.col("c_nationkey").alias("geolocation_zip_code_prefix"),
         (balance / 400).cast("decimal(16,6)").alias("geolocation_lat"),
         ((balance / 300).cast("decimal(16,6)") - 50).cast("decimal(17,6)").alias("geolocation_lng"),
     )
-    m_payments = orders.select(
+
+
+def _payments(table: Reader) -> DataFrame:
+    return table("orders").select(
         F.col("o_orderkey").alias("order_id"),
         F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_orderpriority")).alias("payment_type"),
         (F.col("o_orderkey") % 10 + 1).cast("int").alias("payment_installments"),
         F.col("o_totalprice").cast("decimal(12,2)").alias("payment_value"),
     )
-    m_reviews = events.where(F.col("event_type").isin("view", "purchase")).select(
+
+
+def _reviews(table: Reader) -> DataFrame:
+    return table("events").where(F.col("event_type").isin("view", "purchase")).select(
         F.col("event_id").alias("review_row_id"),
         (F.col("event_id") % 9000).alias("review_id"),
         (F.col("event_id") % 5 + 1).cast("int").alias("review_score"),
     )
-    m_qualified = events.where(F.col("event_type") == "signup").select(
+
+
+def _qualified(table: Reader) -> DataFrame:
+    return table("events").where(F.col("event_type") == "signup").select(
         F.col("user_id").alias("mql_id"),
         F.concat(F.lit("origin_"), (F.col("user_id") % 7).cast("string")).alias("origin"),
     ).distinct()
-    m_closed = (
-        events.where((F.col("event_type") == "purchase") & (F.col("user_id") % 3 == 0))
+
+
+def _closed(table: Reader) -> DataFrame:
+    return (
+        table("events")
+        .where((F.col("event_type") == "purchase") & (F.col("user_id") % 3 == 0))
         .groupBy(F.col("user_id").alias("mql_id"))
         .agg(F.sum(F.col("value").cast("decimal(12,2)")).cast("decimal(14,2)").alias("declared_monthly_revenue"))
     )
-    return {
-        "orders": m_orders,
-        "order_items": m_items,
-        "order_payments": m_payments,
-        "order_reviews": m_reviews,
-        "customers": m_customers,
-        "sellers": m_sellers,
-        "products": m_products,
-        "product_category_name_translation": spark.createDataFrame(
-            TRANSLATION, "product_category_name string, product_category_name_english string"
-        ),
-        "geolocation": m_geolocation,
-        "leads_qualified": m_qualified,
-        "leads_closed": m_closed,
-        "state_names": region.select(
-            F.col("r_name").alias("state_code"), F.concat(F.lit("Region "), F.col("r_name")).alias("state_name")
-        ),
-    }
+
+
+def _state_names(table: Reader) -> DataFrame:
+    return table("region").select(
+        F.col("r_name").alias("state_code"), F.concat(F.lit("Region "), F.col("r_name")).alias("state_name")
+    )
+
+
+_ROLES: dict[str, Callable[[Reader], DataFrame]] = {
+    "orders": _orders,
+    "order_items": _items,
+    "order_payments": _payments,
+    "order_reviews": _reviews,
+    "customers": _customers,
+    "sellers": _sellers,
+    "products": _products,
+    "geolocation": _geolocation,
+    "leads_qualified": _qualified,
+    "leads_closed": _closed,
+    "state_names": _state_names,
+}
+_TRANSLATION_ROLE = "product_category_name_translation"
+
+
+class Roles(Mapping[str, DataFrame]):
+    """The role tables over one folder, each built when a query first asks for it."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark, self._folder = spark, folder
+        self._built: dict[str, DataFrame] = {}
+
+    def _table(self, name: str) -> DataFrame:
+        return self._spark.read.schema(_SCHEMAS[name]).parquet(f"{self._folder}/{name}.parquet")
+
+    def __getitem__(self, role: str) -> DataFrame:
+        if role not in self._built:
+            if role == _TRANSLATION_ROLE:
+                columns = "product_category_name string, product_category_name_english string"
+                self._built[role] = self._spark.createDataFrame(TRANSLATION, columns)
+            else:
+                self._built[role] = _ROLES[role](self._table)
+        return self._built[role]
+
+    def __iter__(self) -> Iterator[str]:
+        yield from _ROLES
+        yield _TRANSLATION_ROLE
+
+    def __len__(self) -> int:
+        return len(_ROLES) + 1
 
 
 # Role tables for the checking engine.

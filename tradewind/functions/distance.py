@@ -10,8 +10,8 @@ KM_PER_DEGREE = 111.0
 MILES_PER_KM = 0.6214
 
 
-def planar_distance_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
-    """Straight-line distance with one degree taken as 111 km in both directions."""
-    north = (lat1.cast("double") - lat2.cast("double")) * KM_PER_DEGREE
-    east = (lng1.cast("double") - lng2.cast("double")) * KM_PER_DEGREE
-    return F.sqrt(north * north + east * east)
+def planar_distance_km(lat1: str, lng1: str, lat2: str, lng2: str) -> Column:
+    """Straight-line distance of two named points, one degree taken as 111 km in both directions."""
+    north = f"((double({lat1}) - double({lat2})) * {KM_PER_DEGREE}D)"
+    east = f"((double({lng1}) - double({lng2})) * {KM_PER_DEGREE}D)"
+    return F.expr(f"sqrt({north} * {north} + {east} * {east})")

@@ -5,47 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.functions.numbers import MONEY, MONEY_TOTAL, mean
 from tradewind.functions.text import city_key
 from tradewind.operators.geography import city_centroids, counted_observations
-from tradewind.plans.baskets import GRAINS, order_seller_lines, placed_sums, with_order_sums
+from tradewind.plans.baskets import LINE_PARTS, ROUTE_PARTS, order_seller_lines, weighted_lines
 from tradewind.plans.joins import lookup
 
 THRESHOLDS = ("raw", "merged")
-_PARTS = ["value", "freight", "freight_n", "distance", "distance_n"]
+ROUTE = ["seller_city", "seller_state", "customer_city", "customer_state"]
 
-
-def _check(grain: str, threshold: str = "raw") -> None:
-    if grain not in GRAINS:
-        raise ValueError(f"grain must be one of {GRAINS}, not {grain!r}")
-    if threshold not in THRESHOLDS:
-        raise ValueError(f"threshold must be one of {THRESHOLDS}, not {threshold!r}")
-
-
-def _parts(grain: str, own_freight: bool) -> list[Column]:
-    """What one line adds to the sums of its group.
-
-    With pairs, a line's value and freight count once per located item of the order
-    and the order's distances (or freights) once per item of the line.
-    """
-    items = F.col("items")
-    if grain == "item":
-        distance = F.col("distance_km")
-        parts = [
-            F.col("value"),
-            F.col("freight"),
-            F.col("freight_n"),
-            distance * items,
-            F.when(distance.isNotNull(), items),
-        ]
-    else:
-        g = F.col("g")
-        freight = [F.col("freight") * g, F.col("freight_n") * g] if own_freight else [
-            F.col("f") * items,
-            F.col("fn") * items,
-        ]
-        parts = [F.col("value") * g, *freight, F.col("d") * items, F.col("dn") * items]
-    return [part.alias(name) for part, name in zip(parts, _PARTS, strict=True)]
+# Lines that count for a side of the trade.
+_TAKES_PART = {"seller": "placed and seller_located", "customer": "customer_located"}
 
 
 def _statistics(lines: DataFrame, names: list[str], revenue: str, min_orders: int) -> DataFrame:
@@ -54,14 +23,16 @@ def _statistics(lines: DataFrame, names: list[str], revenue: str, min_orders: in
     The first aggregate runs on the partitioning by order that the lines already
     have; after it a row is one distinct order of the group.
     """
-    per_order = lines.groupBy("order_id", *names).agg(*[F.sum(part).alias(part) for part in _PARTS])
+    per_order = lines.groupBy("order_id", *names).agg(
+        *[F.sum(part).alias(part) for part in ("value", "freight", "freight_n", "distance", "distance_n")]
+    )
     return (
         per_order.groupBy(*names)
         .agg(
-            F.count(F.lit(1)).alias("order_count"),
-            F.sum("value").cast(MONEY_TOTAL).alias(revenue),
-            mean(F.sum("freight"), F.sum("freight_n")).cast(MONEY).alias("avg_freight"),
-            mean(F.sum("distance"), F.sum("distance_n")).cast(MONEY).alias("avg_distance_km"),
+            F.expr("count(1) as order_count"),
+            F.expr(f"cast(sum(value) as decimal(20,2)) as {revenue}"),
+            F.expr("cast(double(sum(freight)) / nullif(sum(freight_n), 0) as decimal(12,2)) as avg_freight"),
+            F.expr("cast(sum(distance) / nullif(sum(distance_n), 0) as decimal(12,2)) as avg_distance_km"),
         )
         .where(F.col("order_count") >= min_orders)
     )
@@ -77,13 +48,9 @@ def seller_city_stats(
     grain: str = "pair",
 ) -> DataFrame:
     """Delivered orders, revenue, mean freight and distance per raw seller city."""
-    _check(grain)
-    names = ["seller_city", "seller_state"]
     lines = order_seller_lines(orders, items, customers, sellers, geolocation)
-    if grain == "pair":
-        lines = with_order_sums(lines)
-    chosen = lines.where("placed and located").select("order_id", *names, *_parts(grain, own_freight=True))
-    return _statistics(chosen, names, "total_revenue", min_orders)
+    chosen = weighted_lines(lines, grain, LINE_PARTS).where(_TAKES_PART["seller"])
+    return _statistics(chosen, ["seller_city", "seller_state"], "total_revenue", min_orders)
 
 
 def buyer_city_stats(
@@ -96,24 +63,9 @@ def buyer_city_stats(
     grain: str = "pair",
 ) -> DataFrame:
     """Delivered orders, spend, mean freight and distance per raw customer city."""
-    _check(grain)
-    names = ["customer_city", "customer_state"]
-    lines = order_seller_lines(orders, items, customers, sellers, geolocation).where("customer_located")
-    if grain == "item":
-        chosen = lines.where("placed")
-    else:
-        sums = ["items", "value", "freight", "freight_n"]
-        chosen = (
-            lines.groupBy("order_id", *names)
-            .agg(
-                *[F.sum(name).alias(f"all_{name}") for name in sums],
-                *[total.alias(name) for name, total in placed_sums().items()],
-            )
-            .withColumnsRenamed({f"all_{name}": name for name in sums})
-            .where("g > 0")
-        )
-    chosen = chosen.select("order_id", *names, *_parts(grain, own_freight=True))
-    return _statistics(chosen, names, "total_spend", min_orders)
+    lines = order_seller_lines(orders, items, customers, sellers, geolocation)
+    chosen = weighted_lines(lines, grain, LINE_PARTS).where(_TAKES_PART["customer"])
+    return _statistics(chosen, ["customer_city", "customer_state"], "total_spend", min_orders)
 
 
 def route_stats(
@@ -126,29 +78,30 @@ def route_stats(
     grain: str = "pair",
 ) -> DataFrame:
     """Delivered orders, mean distance and freight and revenue per raw pair of cities."""
-    _check(grain)
-    names = ["seller_city", "seller_state", "customer_city", "customer_state"]
     lines = order_seller_lines(orders, items, customers, sellers, geolocation)
-    if grain == "pair":
-        lines = with_order_sums(lines).where("seller_known and g > 0")
-    else:
-        lines = lines.where("placed")
-    chosen = lines.select("order_id", *names, *_parts(grain, own_freight=False))
-    return _statistics(chosen, names, "total_revenue", min_orders)
+    chosen = weighted_lines(lines, grain, ROUTE_PARTS).where("seller_known")
+    return _statistics(chosen, ROUTE, "total_revenue", min_orders)
 
 
 def _merged_sums(revenue: str) -> list[Column]:
-    orders = F.col("order_count")
     return [
-        F.sum(orders).alias("order_count"),
-        F.sum(revenue).alias("revenue"),
-        F.sum(F.coalesce("avg_freight", F.lit(0)) * orders).alias("freight_sum"),
-        F.sum(F.coalesce("avg_distance_km", F.lit(0)) * orders).alias("distance_sum"),
+        F.expr("sum(order_count) as orders"),
+        F.expr(f"cast(coalesce(sum({revenue}), 0) as decimal(20,2)) as revenue"),
+        F.expr("sum(coalesce(avg_freight, 0) * order_count) as freight_sum"),
+        F.expr("sum(coalesce(avg_distance_km, 0) * order_count) as distance_sum"),
     ]
 
 
 def _weighted(total: str) -> Column:
-    return mean(F.col(total), F.col("order_count")).cast(MONEY)
+    return F.expr(f"cast(double({total}) / nullif(orders, 0) as decimal(12,2))")
+
+
+def _shown(names: list[str]) -> Column:
+    """The spelling with most orders, a non-empty city first, as an aggregate."""
+    listed = ", ".join(names)
+    return F.expr(
+        f"min_by(struct({listed}), struct(coalesce({names[0]}, '') = '', -order_count, {listed})) as shown"
+    )
 
 
 def merge_city_stats(
@@ -158,20 +111,16 @@ def merge_city_stats(
 
     The city and state shown are those of the non-empty spelling with most orders.
     """
-    empty = F.coalesce(F.col(city), F.lit("")) == ""
     merged = (
         stats.withColumn("city_key", city_key(F.col(city), F.col(state)))
         .groupBy("city_key")
-        .agg(
-            *_merged_sums(revenue),
-            F.min_by(F.struct(city, state), F.struct(empty, -F.col("order_count"), city, state)).alias("shown"),
-        )
+        .agg(*_merged_sums(revenue), _shown([city, state]))
         .select(
             "city_key",
             F.col("shown")[city].alias("city"),
             F.col("shown")[state].alias("state"),
-            "order_count",
-            F.coalesce("revenue", F.lit(0)).cast(MONEY_TOTAL).alias("revenue"),
+            F.col("orders").alias("order_count"),
+            "revenue",
             _weighted("freight_sum").alias("avg_freight"),
             _weighted("distance_sum").alias("avg_distance"),
         )
@@ -179,6 +128,22 @@ def merge_city_stats(
     return merged if min_orders is None else merged.where(F.col("order_count") >= min_orders)
 
 
+def _both_sides(lines: DataFrame, grain: str, min_orders: int) -> DataFrame:
+    """Seller and buyer statistics per raw city in one pass, told apart by ``side``."""
+    sides = ", ".join(
+        f"struct('{side}' as side, {side}_city as city, {side}_state as state, {takes_part} as takes_part)"
+        for side, takes_part in _TAKES_PART.items()
+    )
+    facing = (
+        weighted_lines(lines, grain, LINE_PARTS)
+        .selectExpr(
+            "order_id", "value", "freight", "freight_n", "distance", "distance_n", f"inline(array({sides}))"
+        )
+        .where("takes_part")
+    )
+    return _statistics(facing, ["side", "city", "state"], "revenue", min_orders)
+
+
 def city_activity(
     orders: DataFrame,
     items: DataFrame,
@@ -192,49 +157,54 @@ def city_activity(
     """One row per city with its supply and its demand, busiest seller city first.
 
     ``threshold="raw"`` applies ``min_orders`` to each spelling before merging, as
-    published; ``"merged"`` applies it to the merged city.
+    published; ``"merged"`` applies it to each side of the merged city. Both sides
+    come from one pass over the order lines.
     """
-    _check(grain, threshold)
-    tables = (orders, items, customers, sellers, geolocation)
-    raw_min, merged_min = (min_orders, None) if threshold == "raw" else (1, min_orders)
-    supply = merge_city_stats(
-        seller_city_stats(*tables, raw_min, grain), "seller_city", "seller_state", "total_revenue", merged_min
-    )
-    demand = merge_city_stats(
-        buyer_city_stats(*tables, raw_min, grain), "customer_city", "customer_state", "total_spend", merged_min
+    if threshold not in THRESHOLDS:
+        raise ValueError(f"threshold must be one of {THRESHOLDS}, not {threshold!r}")
+    raw_min, merged_min = (min_orders, 1) if threshold == "raw" else (1, min_orders)
+    lines = order_seller_lines(orders, items, customers, sellers, geolocation)
+    merged = (
+        _both_sides(lines, grain, raw_min)
+        .withColumn("city_key", city_key(F.col("city"), F.col("state")))
+        .groupBy("city_key", "side")
+        .agg(*_merged_sums("revenue"), _shown(["city", "state"]))
+        .where(F.col("orders") >= merged_min)
+        .withColumns({"avg_freight": _weighted("freight_sum"), "avg_distance": _weighted("distance_sum")})
     )
 
-    def side(df: DataFrame, name: str, revenue: str) -> DataFrame:
-        return df.select(
-            "city_key",
-            F.struct("city", "state").alias(f"{name}_place"),
-            F.col("order_count").alias(f"{name}_order_count"),
-            F.col("revenue").alias(revenue),
-            F.col("avg_freight").alias(f"{name}_avg_freight"),
-            F.col("avg_distance").alias(f"{name}_avg_distance"),
-        )
+    def of(side: str, column: str) -> str:
+        return f"max(if(side = '{side}', {column}, null))"
 
-    both = side(supply, "seller", "seller_revenue").join(
-        side(demand, "buyer", "buyer_spend"), "city_key", "full_outer"
+    columns = []
+    for side, name, revenue in (("seller", "seller", "seller_revenue"), ("customer", "buyer", "buyer_spend")):
+        columns += [
+            F.expr(f"coalesce({of(side, 'orders')}, 0) as {name}_order_count"),
+            F.expr(f"cast(coalesce({of(side, 'revenue')}, 0) as decimal(20,2)) as {revenue}"),
+            F.expr(f"cast(coalesce({of(side, 'avg_freight')}, 0) as decimal(12,2)) as {name}_avg_freight"),
+            F.expr(f"cast(coalesce({of(side, 'avg_distance')}, 0) as decimal(12,2)) as {name}_avg_distance"),
+        ]
+    # at most two rows per city; the seller's spelling is shown first
+    activity = merged.groupBy("city_key").agg(F.max_by("shown", "side").alias("shown"), *columns)
+    centroids = city_centroids(counted_observations(sellers, customers, geolocation)).selectExpr(
+        "city_key", "round(lat, 6) as lat", "round(lng, 6) as lng"
     )
-    centroids = city_centroids(counted_observations(sellers, customers, geolocation))
-    place = F.coalesce("seller_place", "buyer_place")
     return (
-        both.join(centroids.select("city_key", "lat", "lng"), "city_key")
+        activity.join(centroids, "city_key")
         .select(
             "city_key",
-            place["city"].alias("city"),
-            place["state"].alias("state"),
-            F.round("lat", 6).alias("lat"),
-            F.round("lng", 6).alias("lng"),
-            F.coalesce("seller_order_count", F.lit(0)).alias("seller_order_count"),
-            F.coalesce("seller_revenue", F.lit(0)).cast(MONEY_TOTAL).alias("seller_revenue"),
-            F.coalesce("seller_avg_freight", F.lit(0)).cast(MONEY).alias("seller_avg_freight"),
-            F.coalesce("seller_avg_distance", F.lit(0)).cast(MONEY).alias("seller_avg_distance"),
-            F.coalesce("buyer_order_count", F.lit(0)).alias("buyer_order_count"),
-            F.coalesce("buyer_spend", F.lit(0)).cast(MONEY_TOTAL).alias("buyer_spend"),
-            F.coalesce("buyer_avg_freight", F.lit(0)).cast(MONEY).alias("buyer_avg_freight"),
-            F.coalesce("buyer_avg_distance", F.lit(0)).cast(MONEY).alias("buyer_avg_distance"),
+            "shown.city",
+            "shown.state",
+            "lat",
+            "lng",
+            "seller_order_count",
+            "seller_revenue",
+            "seller_avg_freight",
+            "seller_avg_distance",
+            "buyer_order_count",
+            "buyer_spend",
+            "buyer_avg_freight",
+            "buyer_avg_distance",
         )
         .orderBy(F.desc("seller_order_count"), "city_key")
     )
@@ -250,9 +220,7 @@ def trade_routes(
     grain: str = "pair",
 ) -> DataFrame:
     """Seller-city to customer-city routes merged over spellings, busiest first."""
-    names = ["seller_city", "seller_state", "customer_city", "customer_state"]
     raw = route_stats(orders, items, customers, sellers, geolocation, min_orders, grain)
-    empty = F.coalesce(F.col("seller_city"), F.lit("")) == ""
     merged = (
         raw.withColumns(
             {
@@ -261,18 +229,13 @@ def trade_routes(
             }
         )
         .groupBy("seller_key", "customer_key")
-        .agg(
-            *_merged_sums("total_revenue"),
-            F.min_by(F.struct(*names), F.struct(empty, -F.col("order_count"), *names)).alias("shown"),
-        )
+        .agg(*_merged_sums("total_revenue"), _shown(ROUTE))
     )
     centroids = city_centroids(counted_observations(sellers, customers, geolocation))
 
     def ends(side: str) -> DataFrame:
-        return centroids.select(
-            F.col("city_key").alias(f"{side}_key"),
-            F.round("lat", 6).alias(f"{side}_lat"),
-            F.round("lng", 6).alias(f"{side}_lng"),
+        return centroids.selectExpr(
+            f"city_key as {side}_key", f"round(lat, 6) as {side}_lat", f"round(lng, 6) as {side}_lng"
         )
 
     located = lookup(merged, ends("seller"), "seller_key", spread=["customer_key"])
@@ -288,8 +251,8 @@ def trade_routes(
         "seller_lng",
         "customer_lat",
         "customer_lng",
-        "order_count",
+        F.col("orders").alias("order_count"),
         _weighted("distance_sum").alias("avg_distance_km"),
         _weighted("freight_sum").alias("avg_freight"),
-        F.coalesce("revenue", F.lit(0)).cast(MONEY_TOTAL).alias("total_revenue"),
+        F.col("revenue").alias("total_revenue"),
     ).orderBy(F.desc("order_count"), "seller_key", "customer_key")

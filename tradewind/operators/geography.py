@@ -10,13 +10,13 @@ from tradewind.functions.numbers import MONEY, mean
 from tradewind.functions.text import city_key, fold
 from tradewind.plans.baskets import (
     GRAINS,
+    ORDER_SUMS,
     destinations,
     order_seller_lines,
     placed_sellers,
-    placed_sums,
     zip_centroid,
 )
-from tradewind.plans.joins import lookup
+from tradewind.plans.joins import SALT, lookup
 
 __all__ = [
     "centroid_search",
@@ -42,9 +42,9 @@ def order_geo(
     cities, so item-grain statistics need no second join to the items.
     """
     shops = placed_sellers(sellers, geolocation).where("seller_placed").drop("seller_placed")
-    sold = items.select("order_id", "seller_id", "price", "freight_value")
+    sold = items.select("order_id", "order_item_id", "seller_id", "price", "freight_value")
     return (
-        lookup(sold, shops, "seller_id", spread=["order_id"])
+        lookup(sold, shops, "seller_id", spread=["order_id", "order_item_id"])
         .join(destinations(orders, customers, geolocation), "order_id")
         .select(
             "order_id",
@@ -60,9 +60,7 @@ def order_geo(
             "seller_state",
             "seller_lat",
             "seller_lng",
-            planar_distance_km(
-                F.col("customer_lat"), F.col("customer_lng"), F.col("seller_lat"), F.col("seller_lng")
-            ).alias("distance_km"),
+            planar_distance_km("customer_lat", "customer_lng", "seller_lat", "seller_lng").alias("distance_km"),
         )
     )
 
@@ -88,38 +86,43 @@ def top_city_routes(
         raise ValueError(f"grain must be one of {GRAINS}, not {grain!r}")
     lines = order_seller_lines(orders, items, customers, sellers, geolocation)
     if grain == "item":
-        combined = lines.where("placed").select(
+        combined = lines.where("placed").selectExpr(
             "seller_city",
             "seller_state",
             "customer_city",
             "customer_state",
-            F.col("items").alias("pairs"),
-            (F.col("distance_km") * F.col("items")).alias("distance"),
-            F.when(F.col("distance_km").isNotNull(), F.col("items")).alias("distance_n"),
+            "items as pairs",
+            "distance_km * items as distance",
+            "if(distance_km is null, 0, items) as distance_n",
             "freight",
             "freight_n",
         )
     else:
-        by_state = lines.groupBy("order_id", "customer_city", "customer_state", "seller_state").agg(
-            *[total.alias(name) for name, total in placed_sums().items()]
-        ).where("g > 0")
+        by_state = (
+            lines.groupBy("order_id", "customer_city", "customer_state", "seller_state")
+            .agg(*[F.expr(total).alias(name) for name, total in ORDER_SUMS.items()])
+            .where("g > 0")
+        )
+        sold = items.select("order_id", "order_item_id", "seller_id")
         known = sellers.select("seller_id", "seller_city")
-        sold = items.groupBy("order_id", "seller_id").agg(F.count(F.lit(1)).alias("items"))
         by_city = (
-            lookup(sold, known, "seller_id", spread=["order_id"])
+            lookup(sold, known, "seller_id", spread=["order_id", "order_item_id"], keep_salt=True)
+            .groupBy("seller_id", SALT, "order_id", "seller_city")
+            .agg(F.count(F.lit(1)).alias("items"))
+            .repartition("order_id")  # collapsed above; serves the next aggregate and the join
             .groupBy("order_id", "seller_city")
             .agg(F.sum("items").alias("items"))
         )
-        combined = by_state.join(by_city, "order_id").select(
+        combined = by_state.join(by_city, "order_id").selectExpr(
             "seller_city",
             "seller_state",
             "customer_city",
             "customer_state",
-            (F.col("items") * F.col("g")).alias("pairs"),
-            (F.col("items") * F.col("d")).alias("distance"),
-            (F.col("items") * F.col("dn")).alias("distance_n"),
-            (F.col("items") * F.col("f")).alias("freight"),
-            (F.col("items") * F.col("fn")).alias("freight_n"),
+            "items * g as pairs",
+            "items * d as distance",
+            "items * dn as distance_n",
+            "items * f as freight",
+            "items * fn as freight_n",
         )
     km = mean(F.sum("distance"), F.sum("distance_n"))
     return (

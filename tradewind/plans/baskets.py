@@ -2,44 +2,71 @@
 
 The published route and city figures join every located item of an order to every
 item of the same order. Nothing here builds those pairs. Items collapse to one row
-per (order, seller); with
+per (order, seller) or a few; with
 
-    G  located items of the order       D  their summed distance (DN of them known)
-    F  their summed freight (FN known)
+    g  located items of the order       d  their summed distance (dn of them known)
+    f  their summed freight (fn known)
 
-an item that takes part contributes G pairs, D to the distance sum and F to the
+an item that takes part contributes g pairs, d to the distance sum and f to the
 freight sum, so every pair statistic is a product of sums taken per order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.functions.distance import planar_distance_km
-from tradewind.plans.joins import lookup
+from tradewind.plans.joins import SALT, lookup
 
 GRAINS = ("pair", "item")
-_SUM = "decimal(18,2)"
+
+# What a line adds to the sums of its order.
+ORDER_SUMS = {
+    "g": "sum(if(placed, items, 0))",
+    "d": "sum(if(placed, distance_km * items, 0D))",
+    "dn": "sum(if(placed and distance_km is not null, items, 0))",
+    "f": "sum(if(placed, freight, null))",
+    "fn": "sum(if(placed, freight_n, 0))",
+}
+
+# What a line adds to the sums of its city or route. With pairs, its value and freight count
+# once per located item of the order, and the order's distances once per item of the line.
+LINE_PARTS = {
+    "pair": {
+        "value": "value * g",
+        "freight": "freight * g",
+        "freight_n": "freight_n * g",
+        "distance": "d * items",
+        "distance_n": "dn * items",
+    },
+    "item": {
+        "value": "value",
+        "freight": "freight",
+        "freight_n": "freight_n",
+        "distance": "distance_km * items",
+        "distance_n": "if(distance_km is null, 0, items)",
+    },
+}
+# Routes average the freight of the order's located items instead of the line's own.
+ROUTE_PARTS = {
+    "pair": LINE_PARTS["pair"] | {"freight": "f * items", "freight_n": "fn * items"},
+    "item": LINE_PARTS["item"],
+}
 
 
 def zip_centroid(geolocation: DataFrame) -> DataFrame:
     """One mean coordinate per zip code prefix."""
-
-    def center(column: str) -> Column:
-        return F.sum(column).cast("double") / F.nullif(F.count(column).cast("double"), F.lit(0.0))
-
     return geolocation.groupBy(F.col("geolocation_zip_code_prefix").alias("zip_code_prefix")).agg(
-        center("geolocation_lat").alias("lat"), center("geolocation_lng").alias("lng")
+        F.expr("double(sum(geolocation_lat)) / nullif(count(geolocation_lat), 0) as lat"),
+        F.expr("double(sum(geolocation_lng)) / nullif(count(geolocation_lng), 0) as lng"),
     )
 
 
 def located_customers(customers: DataFrame, geolocation: DataFrame) -> DataFrame:
     """Customers whose zip code has a centroid, with its coordinates."""
-    places = zip_centroid(geolocation).select(
-        F.col("zip_code_prefix").alias("customer_zip_code_prefix"),
-        F.col("lat").alias("customer_lat"),
-        F.col("lng").alias("customer_lng"),
+    places = zip_centroid(geolocation).selectExpr(
+        "zip_code_prefix as customer_zip_code_prefix", "lat as customer_lat", "lng as customer_lng"
     )
     people = customers.select("customer_id", "customer_zip_code_prefix", "customer_city", "customer_state")
     return lookup(people, places, "customer_zip_code_prefix", spread=["customer_id"]).drop("customer_zip_code_prefix")
@@ -47,17 +74,20 @@ def located_customers(customers: DataFrame, geolocation: DataFrame) -> DataFrame
 
 def placed_sellers(sellers: DataFrame, geolocation: DataFrame) -> DataFrame:
     """All sellers; ``seller_placed`` tells whether the zip code has a centroid."""
-    places = zip_centroid(geolocation).select(
-        F.col("zip_code_prefix").alias("seller_zip_code_prefix"),
-        F.col("lat").alias("seller_lat"),
-        F.col("lng").alias("seller_lng"),
-        F.lit(True).alias("seller_placed"),
+    places = zip_centroid(geolocation).selectExpr(
+        "zip_code_prefix as seller_zip_code_prefix",
+        "lat as seller_lat",
+        "lng as seller_lng",
+        "true as has_centroid",
     )
     shops = sellers.select("seller_id", "seller_zip_code_prefix", "seller_city", "seller_state")
-    return (
-        lookup(shops, places, "seller_zip_code_prefix", spread=["seller_id"], how="left")
-        .withColumn("seller_placed", F.coalesce("seller_placed", F.lit(False)))
-        .drop("seller_zip_code_prefix")
+    return lookup(shops, places, "seller_zip_code_prefix", spread=["seller_id"], how="left").selectExpr(
+        "seller_id",
+        "seller_city",
+        "seller_state",
+        "seller_lat",
+        "seller_lng",
+        "coalesce(has_centroid, false) as seller_placed",
     )
 
 
@@ -81,58 +111,69 @@ def order_seller_lines(
     geolocation: DataFrame,
     status: str = "delivered",
 ) -> DataFrame:
-    """One row per (order, seller) of the chosen orders, sellers missing from the table included."""
-    value = F.col("price") + F.col("freight_value")
-    collapsed = items.groupBy("order_id", "seller_id").agg(
-        F.count(F.lit(1)).alias("items"),
-        F.sum(value).cast(_SUM).alias("value"),
-        F.sum("freight_value").cast(_SUM).alias("freight"),
-        F.count("freight_value").alias("freight_n"),
+    """Items of the chosen orders collapsed per (order, seller), sellers missing from the table included.
+
+    Items shuffle twice: to their seller, where they collapse on the partitioning of
+    the lookup (at most one row per salt), and collapsed to their order. The result is
+    partitioned by order, so per-order sums and counts need no further shuffle.
+    """
+    sold = items.selectExpr(
+        "order_id", "order_item_id", "seller_id", "price + freight_value as value", "freight_value as freight"
     )
-    shops = placed_sellers(sellers, geolocation).withColumn("seller_known", F.lit(True))
-    return (
-        lookup(collapsed, shops, "seller_id", spread=["order_id"], how="left")
-        .join(destinations(orders, customers, geolocation, status), "order_id")
-        .withColumn(
-            "distance_km",
-            planar_distance_km(
-                F.col("customer_lat"), F.col("customer_lng"), F.col("seller_lat"), F.col("seller_lng")
-            ),
+    shops = placed_sellers(sellers, geolocation).selectExpr("*", "true as in_table")
+    attributes = ["seller_city", "seller_state", "seller_lat", "seller_lng", "seller_placed", "in_table"]
+    collapsed = (
+        lookup(sold, shops, "seller_id", spread=["order_id", "order_item_id"], how="left", keep_salt=True)
+        .groupBy("seller_id", SALT, "order_id", *attributes)
+        .agg(
+            F.expr("count(1) as items"),
+            F.expr("cast(sum(value) as decimal(18,2)) as value"),
+            F.expr("cast(sum(freight) as decimal(18,2)) as freight"),
+            F.expr("count(freight) as freight_n"),
         )
-        .select(
+    )
+    return (
+        collapsed.join(destinations(orders, customers, geolocation, status), "order_id")
+        .withColumn("distance_km", planar_distance_km("customer_lat", "customer_lng", "seller_lat", "seller_lng"))
+        .selectExpr(
             "order_id",
-            "seller_id",
             "items",
             "value",
             "freight",
             "freight_n",
+            "distance_km",
             "seller_city",
             "seller_state",
-            F.coalesce("seller_known", F.lit(False)).alias("seller_known"),
-            F.coalesce("seller_placed", F.lit(False)).alias("placed"),
-            F.col("seller_lat").isNotNull().alias("located"),
             "customer_city",
             "customer_state",
-            F.col("customer_lat").isNotNull().alias("customer_located"),
-            "distance_km",
+            "coalesce(in_table, false) as seller_known",
+            "coalesce(seller_placed, false) as placed",
+            "seller_lat is not null as seller_located",
+            "customer_lat is not null as customer_located",
         )
     )
 
 
-def placed_sums() -> dict[str, Column]:
-    """G, D, DN, F and FN of a group of lines, as aggregates."""
-    placed = F.col("placed")
-    known = placed & F.col("distance_km").isNotNull()
-    return {
-        "g": F.sum(F.when(placed, F.col("items")).otherwise(0)),
-        "d": F.sum(F.when(known, F.col("distance_km") * F.col("items")).otherwise(0.0)),
-        "dn": F.sum(F.when(known, F.col("items")).otherwise(0)),
-        "f": F.sum(F.when(placed, F.col("freight"))),
-        "fn": F.sum(F.when(placed, F.col("freight_n")).otherwise(0)),
-    }
-
-
 def with_order_sums(lines: DataFrame) -> DataFrame:
-    """Lines with their order's G, D, DN, F and FN; an order has at most one line per seller."""
-    order = Window.partitionBy("order_id")
-    return lines.withColumns({name: total.over(order) for name, total in placed_sums().items()})
+    """Lines with their order's g, d, dn, f and fn, for orders with a located item."""
+    sums = [f"{total} over (partition by order_id) as {name}" for name, total in ORDER_SUMS.items()]
+    return lines.selectExpr("*", *sums).where("g > 0")
+
+
+def weighted_lines(lines: DataFrame, grain: str, parts: dict[str, dict[str, str]]) -> DataFrame:
+    """Lines with what they add to their groups, under the given grain."""
+    if grain not in GRAINS:
+        raise ValueError(f"grain must be one of {GRAINS}, not {grain!r}")
+    ready = with_order_sums(lines) if grain == "pair" else lines.where("placed")
+    kept = [
+        "order_id",
+        "seller_city",
+        "seller_state",
+        "customer_city",
+        "customer_state",
+        "seller_known",
+        "placed",
+        "seller_located",
+        "customer_located",
+    ]
+    return ready.selectExpr(*kept, *[f"{part} as {name}" for name, part in parts[grain].items()])

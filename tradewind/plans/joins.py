@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SALTS = 16
+SALT = "_salt"
+MIN_SALTS, MAX_SALTS = 16, 256
 _UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
 
 
-def _threshold_bytes(df: DataFrame) -> int:
-    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760b").strip().lower()
+def broadcast_threshold(spark: SparkSession) -> int:
+    """The session's broadcast threshold in bytes; negative when broadcasting is off."""
+    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760b").strip().lower()
     number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", text).groups()
     return int(number) * _UNITS.get(unit, 1)
 
@@ -23,7 +25,13 @@ def fits_broadcast(df: DataFrame) -> bool:
         size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
     except AttributeError:  # no local plan to ask, e.g. a remote session
         return False
-    return size <= _threshold_bytes(df)
+    return size <= broadcast_threshold(df.sparkSession)
+
+
+def salt_count(spark: SparkSession) -> int:
+    """Copies of a shuffled lookup side: more on sessions set up for larger shuffles."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(MIN_SALTS, min(MAX_SALTS, partitions // 64))
 
 
 def lookup(
@@ -32,21 +40,29 @@ def lookup(
     on: str,
     spread: list[str],
     how: str = "inner",
-    salts: int = SALTS,
+    keep_salt: bool = False,
 ) -> DataFrame:
     """Join ``facts`` to ``keyed`` (unique on ``on``), whatever the skew of the key.
 
     A ``keyed`` side estimated below the broadcast threshold is joined plainly and
     Catalyst broadcasts it. Beyond that the join is shuffled with a salt: each fact
-    takes one of ``salts`` values from a hash of its ``spread`` columns (stable
-    across task retries) and meets the copy of its key with the same salt, so a key
-    that holds a third of the facts is spread over ``salts`` partitions. The copied
-    side is exchanged after the copy, so adaptive execution still sees its true size.
+    takes one from a hash of its ``spread`` columns (stable across task retries) and
+    meets the copy of its key with the same salt, so a key that holds a third of the
+    facts is spread over all salts. Both sides are exchanged directly below the join,
+    which lets adaptive execution split a partition further or, once the true size of
+    the copied side is known, broadcast it after all.
+
+    ``keep_salt`` leaves the salt column in, so that a following aggregate on the key,
+    the salt and more can run on the partitioning of the join.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type for a lookup: {how}")
     if fits_broadcast(keyed):
-        return facts.join(keyed, on, how)
-    salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_facts.join(copies, [on, "_salt"], how).drop("_salt")
+        joined = facts.join(keyed, on, how)
+        return joined.withColumn(SALT, F.lit(0)) if keep_salt else joined
+    salts = salt_count(facts.sparkSession)
+    columns = ", ".join(f"`{name}`" for name in spread)
+    salted = facts.withColumn(SALT, F.expr(f"int(pmod(xxhash64({columns}), {salts}))"))
+    copies = keyed.withColumn(SALT, F.expr(f"explode(sequence(0, {salts - 1}))"))
+    joined = salted.join(copies, [on, SALT], how)
+    return joined if keep_salt else joined.drop(SALT)
