@@ -58,30 +58,32 @@ def _contains_unordered(data_type: T.DataType) -> bool:
     return isinstance(data_type, _UNORDERED)
 
 
-def _quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def _shown(value: Column, data_type: T.DataType) -> Column:
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _shown(value: str, data_type: T.DataType) -> str:
     """A value as profile text."""
     if isinstance(data_type, _TEMPORAL):
-        return F.date_format(value, "yyyy-MM-dd HH:mm:ss")
+        return f"date_format({value}, 'yyyy-MM-dd HH:mm:ss')"
     if isinstance(data_type, T.NumericType):
-        return value.cast("string")
-    return F.left(value.cast("string"), F.lit(TEXT_WIDTH))
+        return f"string({value})"
+    return f"left(string({value}), {TEXT_WIDTH})"
 
 
-def _statistic(data_type: T.DataType, value: Column, copies: Column) -> Column:
+def _statistic(data_type: T.DataType) -> str:
     """Mean, span in days or longest text, as an aggregate over counted values."""
     if isinstance(data_type, T.NumericType):
-        exact = value if isinstance(data_type, T.FractionalType) else value.cast("decimal(20,0)")
-        present = F.sum(F.when(value.isNotNull(), copies))
-        average = F.sum(exact * copies).cast("double") / F.nullif(present.cast("double"), F.lit(0.0))
-        return F.concat(F.lit("avg="), average.cast("decimal(28,4)").cast("string"))
+        exact = "value" if isinstance(data_type, T.FractionalType) else "cast(value as decimal(20,0))"
+        mean = f"double(sum({exact} * copies)) / nullif(sum(if(value is null, 0, copies)), 0)"
+        return f"'avg=' || cast({mean} as decimal(28,4))"
     if isinstance(data_type, _TEMPORAL):
-        days = F.datediff(F.to_date(F.max(value)), F.to_date(F.min(value)))
-        return F.concat(F.lit("range_days="), days.cast("string"))
-    return F.concat(F.lit("max_len="), F.max(F.length(F.rtrim(value.cast("string")))).cast("string"))
+        return "'range_days=' || datediff(to_date(max(value)), to_date(min(value)))"
+    return "'max_len=' || max(length(rtrim(string(value))))"
 
 
 def _measured(df: DataFrame, columns: list[str], data_type: T.DataType, approximate: bool) -> DataFrame:
@@ -91,40 +93,36 @@ def _measured(df: DataFrame, columns: list[str], data_type: T.DataType, approxim
     map-side and every measure, the exact distinct count included, comes from the
     counted values.
     """
-    named = df.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), _quoted(c).alias("value")) for c in columns])).alias(
-            "cell"
-        )
-    ).select("cell.column_name", "cell.value")
-    value, copies = F.col("value"), F.col("copies")
+    cells = ", ".join(f"struct({_text(c)} as column_name, {_quoted(c)} as value)" for c in columns)
+    named = df.selectExpr(f"inline(array({cells}))")
     if approximate:
-        counted, distinct = named.withColumn("copies", F.lit(1).cast("long")), F.approx_count_distinct("value")
+        counted, distinct = named.selectExpr("*", "1L as copies"), "approx_count_distinct(value)"
     else:
-        counted = named.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("copies"))
-        distinct = F.count("value")
+        counted = named.groupBy("column_name", "value").agg(F.expr("count(1) as copies"))
+        distinct = "count(value)"
     return counted.groupBy("column_name").agg(
-        F.sum(F.when(value.isNull(), copies).otherwise(0)).alias("null_count"),
-        distinct.alias("distinct_count"),
-        _shown(F.min("value"), data_type).alias("min_val"),
-        _shown(F.max("value"), data_type).alias("max_val"),
-        _statistic(data_type, value, copies).alias("extra_stat"),
+        F.expr("sum(if(value is null, copies, 0)) as null_count"),
+        F.expr(f"{distinct} as distinct_count"),
+        F.expr(f"{_shown('min(value)', data_type)} as min_val"),
+        F.expr(f"{_shown('max(value)', data_type)} as max_val"),
+        F.expr(f"{_statistic(data_type)} as extra_stat"),
     )
 
 
 def _sampled(df: DataFrame, column: str, data_type: T.DataType, key: list[str]) -> DataFrame:
     """Three non-null values of a column: those of the first rows by key, or any without a key."""
-    present = df.where(_quoted(column).isNotNull())
-    if key:
-        order = [_quoted(name) for name in dict.fromkeys([*key, column])]
-        first = present.orderBy(*order).limit(SAMPLES)
-    else:
-        order = [_quoted(column)]
-        first = present.limit(SAMPLES)
+    name = _quoted(column)
+    order = [_quoted(k) for k in dict.fromkeys([*key, column])]
+    present = df.where(f"{name} is not null").select(*order)
+    first = present.orderBy(*order).limit(SAMPLES) if key else present.limit(SAMPLES)
     # the window sees the three limited rows only
-    return first.select(
-        F.lit(column).alias("column_name"),
-        F.row_number().over(Window.orderBy(*order)).alias("place"),
-        _shown(_quoted(column), data_type).alias("sample"),
+    place = f"row_number() over (order by {', '.join(order)})"
+    return (
+        first.selectExpr(f"{_shown(name, data_type)} as sample", f"{place} as place")
+        .selectExpr(
+            f"{_text(column)} as column_name",
+            *[f"if(place = {k}, sample, null) as sample_{k}" for k in range(1, SAMPLES + 1)],
+        )
     )
 
 
@@ -145,42 +143,31 @@ def profile_table(
     """
     declared = declared or {}
     by_type: dict[T.DataType, list[str]] = {}
-    failed: list[T.StructField] = []
+    listed = []
     for field in df.schema.fields:
-        if _contains_unordered(field.dataType):
-            failed.append(field)
-        else:
+        failed = _contains_unordered(field.dataType)
+        if not failed:
             by_type.setdefault(field.dataType, []).append(field.name)
-    spark = df.sparkSession
-    columns = spark.createDataFrame(
-        [
-            (table, f.name, declared.get(f.name, _type_name(f.dataType)), None if f in failed else f.nullable)
-            for f in df.schema.fields
-        ],
-        "table_name string, column_name string, full_type string, nullable boolean",
+        full_type = declared.get(field.name, _type_name(field.dataType))
+        error = f"ERROR: type {field.dataType.simpleString()} has no order" if failed else None
+        listed.append((field.name, full_type, None if failed else field.nullable, error, "ERROR" if failed else None))
+    columns = df.sparkSession.createDataFrame(
+        listed, "column_name string, full_type string, nullable boolean, extra_stat string, sanity_check string"
+    )
+    pieces = [columns]
+    for data_type, names in by_type.items():
+        pieces.append(_measured(df, names, data_type, approximate))
+        pieces += [_sampled(df, name, data_type, key or []) for name in names]
+    # every field of a column comes from one piece; NULL elsewhere
+    joined = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), pieces)
+    for name in PROFILE_COLUMNS[1:]:
+        if name not in joined.columns:
+            joined = joined.withColumn(name, F.lit(None).cast("string"))
+    return (
+        joined.groupBy("column_name")
+        .agg(*[F.max(name).alias(name) for name in PROFILE_COLUMNS[2:]])
+        .select(F.lit(table).alias("table_name"), *PROFILE_COLUMNS[1:])
     )
-    parts = [_measured(df, names, data_type, approximate) for data_type, names in by_type.items()]
-    if failed:
-        parts.append(
-            spark.createDataFrame(
-                [(f.name, f"ERROR: type {f.dataType.simpleString()} has no order") for f in failed],
-                "column_name string, extra_stat string",
-            )
-        )
-    measured = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    samples = [
-        _sampled(df, name, data_type, key or []) for data_type, names in by_type.items() for name in names
-    ]
-    profile = columns.join(measured, "column_name", "left")
-    if samples:
-        pivoted = reduce(DataFrame.unionByName, samples).groupBy("column_name").agg(
-            *[F.min(F.when(F.col("place") == k, F.col("sample"))).alias(f"sample_{k}") for k in range(1, SAMPLES + 1)]
-        )
-        profile = profile.join(pivoted, "column_name", "left")
-    else:
-        profile = profile.withColumns({f"sample_{k}": F.lit(None).cast("string") for k in range(1, SAMPLES + 1)})
-    error = F.when(F.col("extra_stat").startswith("ERROR:"), F.lit("ERROR"))
-    return profile.withColumn("sanity_check", error).select(PROFILE_COLUMNS)
 
 
 def _whole_number(text: Column, width: str = "bigint") -> Column:
@@ -262,7 +249,7 @@ def profile_report(profile: DataFrame) -> DataFrame:
 
 def check_primary_key(df: DataFrame, table: str, key: list[str]) -> DataFrame:
     """Rows, distinct keys, surplus rows and rows with a NULL in the key, as one row."""
-    null_key = reduce(lambda a, b: a | b, [_quoted(name).isNull() for name in key])
+    null_key = reduce(lambda a, b: a | b, [F.col(_quoted(name)).isNull() for name in key])
     counted = df.groupBy(*[_quoted(name) for name in key]).agg(F.count(F.lit(1)).alias("copies"))
     return counted.select(null_key.alias("null_key"), "copies").agg(
         F.lit(table).alias("table_name"),
@@ -276,7 +263,7 @@ def check_primary_key(df: DataFrame, table: str, key: list[str]) -> DataFrame:
 
 def primary_key_violations(df: DataFrame, key: list[str]) -> DataFrame:
     """Keys that occur more than once or hold a NULL, with their number of rows."""
-    null_key = reduce(lambda a, b: a | b, [_quoted(name).isNull() for name in key])
+    null_key = reduce(lambda a, b: a | b, [F.col(_quoted(name)).isNull() for name in key])
     counted = df.groupBy(*[_quoted(name) for name in key]).agg(F.count(F.lit(1)).alias("row_count"))
     return counted.where((F.col("row_count") > 1) | null_key)
 
@@ -284,11 +271,11 @@ def primary_key_violations(df: DataFrame, key: list[str]) -> DataFrame:
 def check_foreign_key(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """Non-null child values without a parent, with their number of child rows."""
     used = (
-        child.where(_quoted(column).isNotNull())
-        .groupBy(_quoted(column).alias("orphan_key"))
+        child.where(F.col(_quoted(column)).isNotNull())
+        .groupBy(F.col(_quoted(column)).alias("orphan_key"))
         .agg(F.count(F.lit(1)).alias("row_count"))
     )
-    known = parent.select(_quoted(parent_column).alias("orphan_key")).distinct()
+    known = parent.select(F.col(_quoted(parent_column)).alias("orphan_key")).distinct()
     return used.join(known, "orphan_key", "left_anti")
 
 
@@ -314,7 +301,12 @@ def zip_coverage(
             F.lit(side).alias("side"),
             (F.count_distinct("zip") + F.max(F.when(F.col("zip").isNull(), 1).otherwise(0))).alias("missing_zips"),
             F.count(F.lit(1)).alias("missing_rows"),
-        ).select("side", F.coalesce("missing_zips", F.lit(0)).alias("missing_zips"), "missing_rows", lost.scalar().alias("lost_items"))
+        ).select(
+            "side",
+            F.coalesce("missing_zips", F.lit(0)).alias("missing_zips"),
+            "missing_rows",
+            lost.scalar().alias("lost_items"),
+        )
 
     per_order = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("items"))
     per_customer = (
