@@ -70,11 +70,11 @@ def metric_scale(cities: DataFrame, metric: str) -> DataFrame:
     positive = cities.where(value > 0).agg(F.min(value).alias("low"), F.max(value).alias("high"))
     low = F.coalesce(positive.select("low").scalar(), F.lit(0.0))
     high = F.coalesce(positive.select("high").scalar(), F.lit(1.0))
-    log_low, log_high = F.log1p(low), F.log1p(high)
+    logarithmic = (F.log1p(value) - F.log1p(low)) / (F.log1p(high) - F.log1p(low))
     return cities.withColumns(
         {
             "intensity": F.when(high > low, (value - low) / (high - low)).otherwise(0.0),
-            "radius": F.when(high > low, 4 + 24 * (F.log1p(value) - log_low) / (log_high - log_low)).otherwise(8.0),
+            "radius": F.when(high > low, 4 + logarithmic * 24).otherwise(8.0),
         }
     )
 

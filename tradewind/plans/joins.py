@@ -21,10 +21,9 @@ def broadcast_threshold(spark: SparkSession) -> int:
 
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether the optimizer's size estimate is below the session's broadcast threshold."""
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except AttributeError:  # no local plan to ask, e.g. a remote session
+    if not hasattr(df, "_jdf"):  # no local plan to ask, e.g. a remote session
         return False
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size <= broadcast_threshold(df.sparkSession)
 
 

@@ -8,6 +8,7 @@ the parent side of their joins; ``operators.quality.check_primary_key`` and
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PRICE = T.DecimalType(12, 2)
@@ -151,13 +152,11 @@ CATEGORY_LABELS: list[tuple[str, str]] = [
 
 
 def state_names(spark: SparkSession) -> DataFrame:
-    """The 27 states as (state_code, state_name)."""
-    return spark.createDataFrame(STATE_NAMES, "state_code string, state_name string")
+    """The 27 states as (state_code, state_name); broadcast, being of fixed size."""
+    return F.broadcast(spark.createDataFrame(STATE_NAMES, "state_code string, state_name string"))
 
 
 def category_labels(spark: SparkSession) -> DataFrame:
-    """The ten hand-made labels as (product_category_name, product_category_name_english)."""
-    return spark.createDataFrame(
-        CATEGORY_LABELS,
-        "product_category_name string, product_category_name_english string",
-    )
+    """The ten hand-made labels as (product_category_name, product_category_name_english); broadcast."""
+    columns = "product_category_name string, product_category_name_english string"
+    return F.broadcast(spark.createDataFrame(CATEGORY_LABELS, columns))
