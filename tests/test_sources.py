@@ -7,7 +7,7 @@ from conftest import rows
 
 from tradewind.schema import FOREIGN_KEYS, PRIMARY_KEYS, TABLES
 from tradewind.session import shuffle_partitions
-from tradewind.sources.files import export_json, read_csv_tables, read_parquet_tables
+from tradewind.sources.files import export_json, read_csv_table, read_csv_tables, read_parquet_tables
 from tradewind.sources.jdbc import Split, jdbc_options
 from tradewind.sources.views import register_views
 
@@ -36,6 +36,24 @@ def test_csv_with_newlines_exponents_and_quarantine(spark, tmp_path):
     assert [r[:3] for r in rows(reviews.quarantine)] == [("r1", "o2", "x")]
 
 
+def test_csv_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "sellers.csv").write_text(
+        "seller_state,seller_id,extra,seller_city,seller_zip_code_prefix\nSP,s1,?,lins,16400\nSP,s2,?\n"
+    )
+    got = read_csv_tables(spark, str(tmp_path), ["sellers"])["sellers"]
+    assert rows(got.rows) == [("s1", 16400, "lins", "SP")]
+    assert got.quarantine.count() == 1
+    with pytest.raises(ValueError, match="product_weight_g"):
+        (tmp_path / "products.csv").write_text("product_id,product_category_name\np,c\n")
+        read_csv_tables(spark, str(tmp_path), ["products"])
+
+
+def test_csv_without_a_header_goes_by_position(spark, tmp_path):
+    (tmp_path / "leads.csv").write_text("m1,web\nm2,\n")
+    got = read_csv_table(spark, str(tmp_path / "leads.csv"), TABLES["leads_qualified"], header=False)
+    assert rows(got.rows) == [("m1", "web"), ("m2", None)]
+
+
 def test_csv_requires_keys(spark, tmp_path):
     (tmp_path / "orders.csv").write_text(
         ",".join(f.name for f in TABLES["orders"]) + "\no1,c1,delivered,2017-10-02 10:56:33,,2017-10-18 00:00:00\n,c2,x,,,\n"

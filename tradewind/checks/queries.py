@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,8 +69,7 @@ def _point_distances(t: Tables) -> DataFrame:
 
 
 def _profile(t: Tables) -> DataFrame:
-    profiles = [quality.profile_table(t[name], name, key, DECLARED[name]) for name, key in PROFILE_KEYS.items()]
-    return reduce(DataFrame.unionByName, profiles)
+    return quality.profile_tables({name: t[name] for name in PROFILE_KEYS}, PROFILE_KEYS, DECLARED)
 
 
 def _both_views(t: Tables) -> DataFrame:

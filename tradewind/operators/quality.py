@@ -170,6 +170,18 @@ def profile_table(
     )
 
 
+def profile_tables(
+    tables: dict[str, DataFrame],
+    keys: dict[str, list[str]] | None = None,
+    declared: dict[str, dict[str, str]] | None = None,
+    approximate: bool = False,
+) -> DataFrame:
+    """The profiles of several tables together; ``keys`` and ``declared`` are per table."""
+    keys, declared = keys or {}, declared or {}
+    profiles = [profile_table(df, name, keys.get(name), declared.get(name), approximate) for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, profiles)
+
+
 def _whole_number(text: Column, width: str = "bigint") -> Column:
     return text.try_cast(width)
 
@@ -286,28 +298,12 @@ def zip_coverage(
     sellers: DataFrame,
     geolocation: DataFrame,
 ) -> DataFrame:
-    """Zip codes of customers and sellers that geolocation lacks, and the order items lost with them."""
-    known = geolocation.select(F.col("geolocation_zip_code_prefix").alias("zip")).distinct()
-
-    def missing(people: DataFrame, side: str) -> DataFrame:
-        zips = people.select(F.col(f"{side}_zip_code_prefix").alias("zip")).distinct().join(known, "zip", "left_anti")
-        return people.select(f"{side}_id", F.col(f"{side}_zip_code_prefix").alias("zip")).join(
-            zips.withColumnRenamed("zip", "missing_zip"), F.col("zip").eqNullSafe(F.col("missing_zip"))
-        ).select(f"{side}_id", "zip")
-
-    def summary(side: str, people: DataFrame, sold: DataFrame) -> DataFrame:
-        lost = sold.join(people, f"{side}_id").agg(F.coalesce(F.sum("items"), F.lit(0)).alias("lost_items"))
-        return people.agg(
-            F.lit(side).alias("side"),
-            (F.count_distinct("zip") + F.max(F.when(F.col("zip").isNull(), 1).otherwise(0))).alias("missing_zips"),
-            F.count(F.lit(1)).alias("missing_rows"),
-        ).select(
-            "side",
-            F.coalesce("missing_zips", F.lit(0)).alias("missing_zips"),
-            "missing_rows",
-            lost.scalar().alias("lost_items"),
-        )
+    """Zip codes of customers and sellers that geolocation lacks, their rows and the order items lost with them.
 
+    A missing zip code of its own, NULL, counts as one. People and their items are
+    summed per zip code before the comparison.
+    """
+    known = geolocation.select(F.col("geolocation_zip_code_prefix").alias("zip")).distinct()
     per_order = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("items"))
     per_customer = (
         orders.select("order_id", "customer_id")
@@ -316,9 +312,21 @@ def zip_coverage(
         .agg(F.sum("items").alias("items"))
     )
     per_seller = items.groupBy("seller_id").agg(F.count(F.lit(1)).alias("items"))
-    return summary("customer", missing(customers, "customer"), per_customer).unionByName(
-        summary("seller", missing(sellers, "seller"), per_seller)
-    )
+
+    def summary(side: str, people: DataFrame, sold: DataFrame) -> DataFrame:
+        per_zip = (
+            people.join(sold, f"{side}_id", "left")
+            .groupBy(F.col(f"{side}_zip_code_prefix").alias("zip"))
+            .agg(F.count(F.lit(1)).alias("people"), F.sum("items").alias("items"))
+        )
+        return per_zip.join(known, "zip", "left_anti").agg(
+            F.lit(side).alias("side"),
+            F.count(F.lit(1)).alias("missing_zips"),
+            F.expr("coalesce(sum(people), 0) as missing_rows"),
+            F.expr("coalesce(sum(items), 0) as lost_items"),
+        )
+
+    return summary("customer", customers, per_customer).unionByName(summary("seller", sellers, per_seller))
 
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row's place in its partition in the low 33 bits
@@ -331,7 +339,9 @@ def add_surrogate_key(df: DataFrame, name: str, order_by: list[str]) -> DataFram
     the same partitions. A row's number is its place in its partition plus the rows
     of all partitions before it; only one count per partition is ranked centrally.
     """
-    ordered = checkpointed(df.orderBy(*order_by)).withColumn("_place", F.monotonically_increasing_id())
+    hashable = [_quoted(f.name) for f in df.schema.fields if not _contains_unordered(f.dataType)]
+    tie = F.expr(f"xxhash64({', '.join(hashable)})")  # splits a frequent order value over partitions
+    ordered = checkpointed(df.orderBy(*order_by, tie)).withColumn("_place", F.monotonically_increasing_id())
     partition = F.shiftright("_place", _ROW_BITS)
     offsets = (
         ordered.groupBy(partition.alias("_partition"))

@@ -37,26 +37,30 @@ def _typed(text: Column, data_type: T.DataType) -> Column:
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> CsvTable:
     """One CSV table with quoted newlines, typed by ``schema``.
 
-    Cells are read as text and cast one by one, which also takes numbers in
-    scientific notation. A row with a cell that does not cast, without a required
-    value or with the wrong number of cells goes to quarantine, as text.
+    Columns are found by the names in the header, whatever their order, and others are
+    left out; without a header the file holds the columns of ``schema`` in order. Cells
+    are read as text and cast one by one, which also takes numbers in scientific
+    notation. A row with a cell that does not cast, without a required value or with
+    the wrong number of cells goes to quarantine, as text.
     """
-    as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema] + [T.StructField(_RAGGED, T.StringType())])
-    raw = (
-        spark.read.schema(as_text)
-        .option("header", header)
+    reader = (
+        spark.read.option("header", header)
         .option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", _RAGGED)
-        .csv(path)
     )
+    names = reader.csv(path).columns if header else schema.names
+    missing = [name for name in schema.names if name not in names]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
+    as_text = T.StructType([T.StructField(name, T.StringType()) for name in [*names, _RAGGED]])
+    raw = reader.schema(as_text).csv(path)
     bad = F.col(_RAGGED).isNotNull()
     for field in schema:
         text, value = F.col(field.name), _typed(F.col(field.name), field.dataType)
-        lost = value.isNull() & (F.trim(F.coalesce(text, F.lit(""))) != "")
-        bad = bad | lost
+        bad = bad | (value.isNull() & (F.trim(F.coalesce(text, F.lit(""))) != ""))
         if not field.nullable:
             bad = bad | value.isNull()
     typed = [_typed(F.col(f.name), f.dataType).alias(f.name) for f in schema]
