@@ -64,27 +64,44 @@ def metric_scale(cities: DataFrame, metric: str) -> DataFrame:
     """Adds the colour intensity (linear) and marker radius (logarithmic, 4 to 28) of a metric.
 
     The range is that of the positive values; with a single value the intensity is 0
-    and the radius 8. A zero value falls below the range, as published.
+    and the radius 8. A zero value falls below the range, as published. The cities are
+    read twice, for the range and for the result: pass a stored table when they are
+    costly to compute.
     """
     value = _value(metric).cast("double")
-    positive = cities.where(value > 0).agg(F.min(value).alias("low"), F.max(value).alias("high"))
-    low = F.coalesce(positive.select("low").scalar(), F.lit(0.0))
-    high = F.coalesce(positive.select("high").scalar(), F.lit(1.0))
+    extent = (
+        cities.where(value > 0)
+        .agg(
+            F.struct(
+                F.coalesce(F.min(value), F.lit(0.0)).alias("low"), F.coalesce(F.max(value), F.lit(1.0)).alias("high")
+            ).alias("extent")
+        )
+        .scalar()
+    )
+    low, high = F.col("_extent.low"), F.col("_extent.high")
     logarithmic = (F.log1p(value) - F.log1p(low)) / (F.log1p(high) - F.log1p(low))
-    return cities.withColumns(
-        {
-            "intensity": F.when(high > low, (value - low) / (high - low)).otherwise(0.0),
-            "radius": F.when(high > low, 4 + logarithmic * 24).otherwise(8.0),
-        }
+    # the subquery is one column of its own, so it is planned once however often it is used
+    return (
+        cities.withColumn("_extent", extent)
+        .withColumns(
+            {
+                "intensity": F.when(high > low, (value - low) / (high - low)).otherwise(0.0),
+                "radius": F.when(high > low, 4 + logarithmic * 24).otherwise(8.0),
+            }
+        )
+        .drop("_extent")
     )
 
 
 def route_scale(routes: DataFrame, metric: str = "order_count") -> DataFrame:
     """Adds the line weight (1 to 7) and colour intensity of each route relative to the largest."""
-    value = _value(metric).cast("double")
-    largest = routes.agg(F.max(value).alias("largest")).select("largest").scalar()
-    share = F.when(largest > 0, value / largest).otherwise(0.0)
-    return routes.withColumns({"weight": 1 + F.least(share * 6, F.lit(6.0)), "intensity": share})
+    value, largest = _value(metric).cast("double"), F.col("_largest")
+    return (
+        routes.withColumn("_largest", routes.agg(F.max(value).alias("largest")).scalar())
+        .withColumn("intensity", F.when(largest > 0, value / largest).otherwise(0.0))
+        .withColumn("weight", 1 + F.least(F.col("intensity") * 6, F.lit(6.0)))
+        .drop("_largest")
+    )
 
 
 def top_routes(routes: DataFrame, metric: str = "order_count", n: int = 50) -> DataFrame:
