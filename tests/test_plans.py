@@ -83,6 +83,18 @@ def test_order_lines_stay_on_the_partitioning_by_order(tables, no_broadcast):
     assert above_join.count("Exchange hashpartitioning") == 1
 
 
+@pytest.mark.parametrize(
+    ("name", "calls"),
+    [("city_activity", 2), ("trade_routes", 3), ("top_routes_per_city", 3), ("city_search", 2), ("merge_city_stats", 1)],
+)
+def test_names_are_folded_above_the_aggregates_only(tables, name, calls):
+    text = plan(OPERATORS[name](tables))
+    # one call on raw routes or cities, the others on counted observations of each centroid lookup
+    assert text.count("ArrowEvalPython [") == calls
+    for below in text.split("ArrowEvalPython [")[1:]:
+        assert "Aggregate(" in below.split("Join", 1)[0]
+
+
 def test_metric_range_is_a_scalar_subquery(spark):
     df = spark.createDataFrame([("a", 1.0)], "city_key string, v double")
     assert "Subquery" in plan(selection.metric_scale(df, "v"))

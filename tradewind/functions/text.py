@@ -34,14 +34,17 @@ def _folding():
         spellings = {name: fold(name) for name in names.dropna().unique()}
         return names.map(spellings).fillna("")
 
-    return fold, F.pandas_udf(fold_batch, returnType=T.StringType())
+    # Filters on a key (a join adds one, a search another) would otherwise be pushed through
+    # the aggregates and call the UDF on every order line; they do not pass such a function.
+    return fold, F.pandas_udf(fold_batch, returnType=T.StringType()).asNondeterministic()
 
 
 fold, _fold_batch = _folding()
 
 
 def normalize_city(city: Column) -> Column:
-    return _fold_batch(city)
+    """Trimmed, lower-case and without accents; NULL becomes ''."""
+    return F.coalesce(_fold_batch(city), F.lit(""))
 
 
 def normalize_state(state: Column) -> Column:
