@@ -83,6 +83,11 @@ def test_order_lines_stay_on_the_partitioning_by_order(tables, no_broadcast):
     assert above_join.count("Exchange hashpartitioning") == 1
 
 
+@pytest.mark.parametrize("name", ["city_activity", "trade_routes"])
+def test_items_and_orders_meet_in_one_shuffle_by_order(tables, no_broadcast, name):
+    assert plan(OPERATORS[name](tables)).count("Exchange hashpartitioning(order_id#") == 2
+
+
 @pytest.mark.parametrize(
     ("name", "calls"),
     [("city_activity", 2), ("trade_routes", 3), ("top_routes_per_city", 3), ("city_search", 2), ("merge_city_stats", 1)],
