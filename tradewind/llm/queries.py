@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import bpe_replay, line_frequency, token_files
+from tradewind.llm import bpe_replay, line_frequency, outliers, token_files
 from tradewind.llm.common import table
 from tradewind.sources.checkpoints import shared_folder
 
@@ -41,6 +41,10 @@ def op4_bpe_merge_replay(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op5_robust_outliers(spark: SparkSession, sf: str) -> DataFrame:
+    return outliers.quality_verdicts(table(spark, sf, "documents")).drop("distance")
+
+
 def op6_token_files(spark: SparkSession, sf: str) -> DataFrame:
     folder = token_files.token_folder(shared_folder(spark))
     token_files.write_token_files(table(spark, sf, "documents"), folder, public_tokenizers.path(WORD_VOCABULARY))
@@ -51,9 +55,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_site_line_dedup": op2_site_line_dedup,
         "op4_bpe_merge_replay": op4_bpe_merge_replay,
+        "op5_robust_outliers": op5_robust_outliers,
         "op6_token_files": op6_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_site_line_dedup": line_frequency.oracle()}
+    return {"op2_site_line_dedup": line_frequency.oracle(), "op5_robust_outliers": outliers.oracle()}
