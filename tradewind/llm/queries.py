@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import bpe_replay, line_frequency, outliers, token_files
+from tradewind.llm import bpe_replay, jaccard_join, line_frequency, outliers, token_files
 from tradewind.llm.common import table
 from tradewind.sources.checkpoints import shared_folder
 
@@ -51,14 +51,23 @@ def op6_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.ngram_classes(table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_site_line_dedup": op2_site_line_dedup,
         "op4_bpe_merge_replay": op4_bpe_merge_replay,
         "op5_robust_outliers": op5_robust_outliers,
         "op6_token_files": op6_token_files,
+        "op7_ngram_jaccard": op7_ngram_jaccard,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_site_line_dedup": line_frequency.oracle(), "op5_robust_outliers": outliers.oracle()}
+    return {
+        "op2_site_line_dedup": line_frequency.oracle(),
+        "op5_robust_outliers": outliers.oracle(),
+        "op7_ngram_jaccard": jaccard_join.oracle(),
+    }
