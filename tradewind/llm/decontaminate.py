@@ -21,11 +21,12 @@ from tradewind.llm.common import map_batches
 
 WINDOW = 80  # characters; a shorter item is one window of its own length
 STEP = 40  # an item's windows start so far apart, and one ends with the item
-EDIT_SHARE = 0.1  # edits allowed per character of a window
-Q = 7
+EDIT_SHARE = 0.075  # edits allowed per character of a window
+Q = 10  # the bound stays positive for every window of MIN_LENGTH or more
 MIN_LENGTH = 40  # shorter items are no evidence
 BLOCK_CHARS = 4 << 20  # benchmark text sent to the tasks at once; a larger benchmark takes one pass per block
-TEXT_CHARS = 4 << 20  # a longer text is searched in overlapping stretches
+CHUNK_CHARS = 256 << 10  # text searched at once; longer texts are cut in overlapping stretches
+GAP = np.full(2 * WINDOW, 0x110000, np.uint32)  # between texts: a letter that no text has
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -53,7 +54,7 @@ def grams(points: np.ndarray) -> np.ndarray:
 class Windows:
     """The windows of one block of benchmark items and the inverted index of their q-grams."""
 
-    FILTER_BITS = 22
+    FILTER_BITS = 20
 
     def __init__(self, items: list[tuple[int, str]]):
         self.item: list[int] = []
@@ -80,7 +81,7 @@ class Windows:
         self.known = np.zeros(1 << self.FILTER_BITS, bool)
         self.known[self.values >> np.uint64(64 - self.FILTER_BITS)] = True
 
-    def regions(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def regions(self, points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Windows and first diagonals of the bands that reach the bound."""
         hashes = grams(points)
         if not len(self.values) or not len(hashes):
@@ -92,9 +93,17 @@ class Windows:
         at, slot = at[same], slot[same]
         size = self.count[slot]
         entry = np.repeat(self.first[slot] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        at = np.repeat(at, size)
+        # Windows that share too few q-grams with a whole text have no band in it that shares enough.
+        pair = (np.searchsorted(starts, at, side="right") - 1) * len(self.bound) + self.window[entry]
+        shared = np.bincount(pair)
+        chosen = shared[pair] >= self.bound[self.window[entry]]
+        if not chosen.any():
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at, entry = at[chosen], entry[chosen]
         window, place = self.window[entry], self.place[entry]
         # Diagonals are counted from the band below the text's start, so none is negative.
-        diagonal = np.repeat(at, size) - place + WINDOW
+        diagonal = at - place + WINDOW
         half = self.edits[window] + 1
         bands = np.concatenate([diagonal // half, diagonal // half - 1])
         window, place = np.tile(window, 2), np.tile(place, 2)
@@ -108,19 +117,25 @@ class Windows:
         window, bands = window[reached], bands[reached]
         return window, bands * (self.edits[window] + 1) - WINDOW
 
-    def search(self, points: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, window, edits) for every window with a region within its edits, with the least edits."""
-        window, diagonal = self.regions(points)
-        best: dict[int, int] = {}
+    def search(self, points: np.ndarray, starts: np.ndarray) -> dict[tuple[int, int], int]:
+        """Least edits by (text, window), for every window with a region within its edits.
+
+        ``points`` are texts with gaps between them, ``starts`` where each begins. No region
+        within the edits reaches over a gap, and its middle lies in its text.
+        """
+        window, diagonal = self.regions(points, starts)
+        best: dict[tuple[int, int], int] = {}
         for length in np.unique(self.length[window]):
             chosen = self.length[window] == length
             pattern = np.stack([self.points[w] for w in window[chosen]])
             width = 2 * (int(length * EDIT_SHARE) + 1)
             edits = banded_edits(pattern, points, diagonal[chosen], width, int(length * EDIT_SHARE))
-            for w, found in zip(window[chosen].tolist(), edits.tolist(), strict=True):
+            middle = diagonal[chosen] + width // 2 + length // 2
+            text = np.searchsorted(starts, middle, side="right") - 1
+            for t, w, found in zip(text.tolist(), window[chosen].tolist(), edits.tolist(), strict=True):
                 if found <= self.edits[w]:
-                    best[w] = min(found, best.get(w, found))
-        return [(self.item[w], w, found) for w, found in best.items()]
+                    best[t, w] = min(found, best.get((t, w), found))
+        return best
 
 
 def banded_edits(
@@ -164,16 +179,33 @@ HITS = T.StructType(
 )
 
 
-def text_hits(windows: Windows, text: str | None) -> dict[int, tuple[int, int]]:
-    """Items found in a text: how many of their windows, and the least edits of one."""
-    points = code_points(normalized(text))
-    found: dict[int, dict[int, int]] = {}
-    lap = 2 * WINDOW
-    for start in range(0, max(len(points) - lap, 1), TEXT_CHARS):
-        for item, window, edits in windows.search(points[start : start + TEXT_CHARS + lap]):
-            own = found.setdefault(item, {})
+def stretches(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Texts in chunks: the numbers of the texts, their characters with gaps between them, and where each starts."""
+    numbers: list[int] = []
+    parts: list[np.ndarray] = []
+    size = 0
+    for k, text in enumerate(texts):
+        points = code_points(normalized(text))
+        for start in range(0, max(len(points) - len(GAP), 1), CHUNK_CHARS):
+            part = points[start : start + CHUNK_CHARS + len(GAP)]
+            numbers.append(k)
+            parts += [part, GAP]
+            size += len(part)
+            if size >= CHUNK_CHARS:
+                yield numbers, np.concatenate(parts), np.cumsum([0, *map(len, parts)])[:-1:2]
+                numbers, parts, size = [], [], 0
+    if numbers:
+        yield numbers, np.concatenate(parts), np.cumsum([0, *map(len, parts)])[:-1:2]
+
+
+def text_hits(windows: Windows, texts: list[str | None]) -> list[dict[int, tuple[int, int]]]:
+    """Items found in each text: how many of their windows, and the least edits of one."""
+    found: list[dict[int, dict[int, int]]] = [{} for _ in texts]
+    for numbers, points, starts in stretches(texts):
+        for (t, window), edits in windows.search(points, starts).items():
+            own = found[numbers[t]].setdefault(windows.item[window], {})
             own[window] = min(edits, own.get(window, edits))
-    return {item: (len(own), min(own.values())) for item, own in found.items()}
+    return [{item: (len(own), min(own.values())) for item, own in items.items()} for items in found]
 
 
 def benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -211,8 +243,12 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 hits = [
                     (doc, item, *counts)
-                    for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True)
-                    for item, counts in text_hits(windows, text.as_py()).items()
+                    for doc, items in zip(
+                        batch.column("doc_id").to_pylist(),
+                        text_hits(windows, batch.column("text").to_pylist()),
+                        strict=True,
+                    )
+                    for item, counts in items.items()
                 ]
                 if hits:
                     yield dict(zip(HITS.names, map(list, zip(*hits, strict=True)), strict=True))
@@ -234,7 +270,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], items=items, target=target) -> Iterator[pa.RecordBatch]:
             windows = Windows(items.value)
             for batch in batches:
-                clean = pa.array([not text_hits(windows, t.as_py()) for t in batch.column("text")], pa.bool_())
+                clean = pa.array([not h for h in text_hits(windows, batch.column("text").to_pylist())], pa.bool_())
                 yield pc.filter(batch, clean).cast(target)
 
         kept = kept.mapInArrow(run, docs.schema)
