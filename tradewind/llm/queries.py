@@ -8,11 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import bpe_replay, jaccard_join, line_frequency, outliers, token_files
+from tradewind.llm import (
+    bpe_replay,
+    decontaminate,
+    jaccard_join,
+    line_frequency,
+    outliers,
+    ppm_language,
+    secret_scan,
+    token_files,
+    toxicity,
+)
 from tradewind.llm.common import table
 from tradewind.sources.checkpoints import shared_folder
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
+SECRET_RANKS = "byte_bpe_50k.tiktoken"
 WORD_VOCABULARY = "word_bpe_49k.json"
 
 
@@ -32,6 +43,10 @@ def op2_site_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.benchmark_hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op4_bpe_merge_replay(spark: SparkSession, sf: str) -> DataFrame:
     return bpe_replay.bpe_encode(
         table(spark, sf, "documents"),
@@ -55,13 +70,31 @@ def op7_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.ngram_classes(table(spark, sf, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op9_ppm_language(spark: SparkSession, sf: str) -> DataFrame:
+    return ppm_language.predict_language(table(spark, sf, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.scan_secrets(
+        table(spark, sf, "documents"), public_tokenizers.path(SECRET_RANKS), public_tokenizers.PATTERN
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_site_line_dedup": op2_site_line_dedup,
+        "op3_decontamination": op3_decontamination,
         "op4_bpe_merge_replay": op4_bpe_merge_replay,
         "op5_robust_outliers": op5_robust_outliers,
         "op6_token_files": op6_token_files,
         "op7_ngram_jaccard": op7_ngram_jaccard,
+        "op8_toxicity": op8_toxicity,
+        "op9_ppm_language": op9_ppm_language,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
