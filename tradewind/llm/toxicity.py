@@ -1,10 +1,11 @@
 """Toxicity of texts by a logistic classifier with a counterfactual penalty.
 
-The classifier sees which words of a learned vocabulary a text has. Besides the likelihood
+The classifier sees which words of a learned vocabulary a text has, and how many different
+words with each of a learned set of beginnings, so that new forms of a stem count. Besides the likelihood
 of the labels it is fitted to give sentences the same score when an identity term in them
 is swapped for another of its group: the squared change of the score is penalised, so that
 mentioning a group is no sign of toxicity by itself. Few weights stay, as their sum is
-penalised too.
+penalised too, and the sum of their squares keeps single ones small.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from tradewind.llm.common import held_out, map_batches
 
 SAMPLE_TEXTS = 1000  # of each label; those with the least hash of their text
 SAMPLE_CHARS = 20_000  # longer texts are not trained on
-VOCABULARY = 1000  # words that tell the labels apart best, besides the identity terms
+VOCABULARY = 1500  # words and beginnings that tell the labels apart best, besides the identity terms
+STEMS = (5, 7)  # lengths of beginnings
 MIN_TEXTS = 4  # texts of the sample that have a word, at least
 COUNTERFACTUAL = 10.0  # weight of the squared score change of a swap, against the mean log loss
-SPARSITY = 0.002  # weight of the sum of absolute weights
+SPARSITY = 0.0005  # weight of the sum of absolute weights
+SHRINKAGE = 0.0005  # weight of the sum of squared weights: words that tell the same share what they tell
 STEPS = 400
 THRESHOLD = 0.3
 
@@ -58,21 +61,35 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
+def features(words: set[str]) -> dict[str, float]:
+    """1 for each word, and log2(1 + n) for each beginning (marked by ^) of n different words."""
+    found = dict.fromkeys(words, 1.0)
+    for length in STEMS:
+        for stem, n in Counter([w[:length] for w in words if len(w) >= length]).items():
+            found["^" + stem] = math.log2(1 + n)
+    return found
+
+
 class Model:
     """Weights of words and a bias; a text's score is the chance of label 1."""
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
+        self.stems = {n: {name[1:] for name in weights if name[0] == "^" and len(name) == n + 1} for n in STEMS}
 
     def score(self, text: str | None) -> float:
-        weights = self.weights
+        words = words_of(text)
+        own = dict.fromkeys(words & self.weights.keys(), 1.0)
+        for length, stems in self.stems.items():
+            for stem, n in Counter(filter(stems.__contains__, [w[:length] for w in words])).items():
+                own["^" + stem] = math.log2(1 + n)
         # Sorted, as a sum of floats depends on its order.
-        total = self.bias + sum(weights[word] for word in sorted(weights.keys() & words_of(text)))
+        total = self.bias + sum(self.weights[name] * own[name] for name in sorted(own))
         return 1 / (1 + math.exp(-max(min(total, 500.0), -500.0)))
 
 
 def swaps(sentences: list[set[str]], place: dict[str, int]) -> np.ndarray:
-    """Changes of the features by swapping an identity term of a sentence for the next of its group."""
+    """Changes of the features (of words, not of beginnings) by swapping an identity term of a sentence for the next of its group."""
     found = []
     for words in sentences:
         for group in GROUPS:
@@ -88,7 +105,7 @@ def swaps(sentences: list[set[str]], place: dict[str, int]) -> np.ndarray:
 
 def fit(texts: list[str], labels: list[int], positive_share: float) -> Model:
     """Proximal gradient descent on texts of both labels; ``positive_share`` is that of all labelled rows."""
-    bags = [words_of(t) for t in texts]
+    bags = [features(words_of(t)) for t in texts]
     y = np.array(labels, np.float32)
     n1, n0 = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
     ones = Counter(w for bag, label in zip(bags, labels, strict=True) if label for w in bag)
@@ -105,7 +122,9 @@ def fit(texts: list[str], labels: list[int], positive_share: float) -> Model:
     place = {w: k for k, w in enumerate(names)}
     x = np.zeros((len(bags), len(names)), np.float32)
     for row, bag in enumerate(bags):
-        x[row, [place[w] for w in bag if w in place]] = 1
+        for name, value in bag.items():
+            if name in place:
+                x[row, place[name]] = value
     sentences = [
         words
         for text in texts
@@ -117,12 +136,12 @@ def fit(texts: list[str], labels: list[int], positive_share: float) -> Model:
     share = np.where(y == 1, 0.5 / n1, 0.5 / n0).astype(np.float32)
     w, bias = np.zeros(len(names), np.float32), 0.0
     ahead, ahead_bias = w.copy(), 0.0
-    scale = 0.25 * float(np.linalg.norm(x * np.sqrt(share)[:, None], 2) ** 2) + 0.25
+    scale = 0.25 * float(np.linalg.norm(x * np.sqrt(share)[:, None], 2) ** 2) + 0.25 + SHRINKAGE
     if len(change):
         scale += COUNTERFACTUAL * float(np.linalg.norm(change, 2) ** 2) / len(change)
     for step in range(STEPS):
         error = share * (1 / (1 + np.exp(-np.clip(x @ ahead + ahead_bias, -50, 50))) - y)
-        gradient = x.T @ error
+        gradient = x.T @ error + SHRINKAGE * ahead
         if len(change):
             gradient += COUNTERFACTUAL * (change.T @ (change @ ahead)) / len(change)
         moved = ahead - gradient / scale
