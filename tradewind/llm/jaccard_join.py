@@ -25,7 +25,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -380,6 +380,19 @@ def ngram_classes(
     )
 
 
+def one_of_each_class(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) with the least id of their class, one of each class.
+
+    Of rows that repeat such an id one stays, the least by its text; rows without shingles
+    are classes of their own by id, and rows with a null id all stay.
+    """
+    classes = ngram_classes(docs, words, percent).where("doc_id = component_id").select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    kept = docs.where("doc_id is not null").join(classes, "doc_id", "left_semi")
+    kept = kept.withColumn("_place", F.row_number().over(first)).where("_place = 1")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
 def oracle(words: int = WORDS, percent: int = PERCENT) -> str:
     """The query over ``documents`` in DuckDB's SQL."""
     gram = f"list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"

@@ -14,6 +14,7 @@ from tradewind.llm import (
     jaccard_join,
     line_frequency,
     outliers,
+    pii_crf,
     ppm_language,
     secret_scan,
     token_files,
@@ -27,6 +28,10 @@ SECRET_RANKS = "byte_bpe_50k.tiktoken"
 WORD_VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_semi_markov_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii_crf.find_personal_data(table(spark, sf, "documents"))
+
+
 def op2_site_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages").select(
         "page_id",
@@ -86,6 +91,7 @@ def op10_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_semi_markov_pii": op1_semi_markov_pii,
         "op2_site_line_dedup": op2_site_line_dedup,
         "op3_decontamination": op3_decontamination,
         "op4_bpe_merge_replay": op4_bpe_merge_replay,
