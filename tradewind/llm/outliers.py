@@ -237,12 +237,14 @@ def quality_kept(docs: DataFrame) -> DataFrame:
     verdict, so no text is shuffled and repeated ids need no care.
     """
     columns = docs.columns
-    stats = quality_statistics(docs.select("text", "lang", "source")).where("not base_failed")
-    stats = written(stats.select("lang", "source", "n_words", *NAMES), "statistics")
-    found = estimate(stats)
+    # Filters on statistics stand above a written table or a join: pushed below, they would
+    # repeat the expressions of every statistic they use.
+    stats = quality_statistics(docs.select("text", "lang", "source"))
+    stats = written(stats.select("lang", "source", "n_words", "base_failed", *NAMES), "statistics")
+    found = estimate(stats.where("not base_failed"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "text", "lang", "source")
     judged = with_distance(quality_statistics(whole), found)
-    kept = judged.where(f"not base_failed and coalesce(distance <= {CUTOFF}, true)")
+    kept = judged.where(f"case when base_failed then false else coalesce(distance <= {CUTOFF}, true) end")
     return kept.select(*[F.col("_row")[c].alias(c) for c in columns])
 
 
