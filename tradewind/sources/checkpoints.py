@@ -9,6 +9,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}  # of local sessions, by application
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``, which the driver and all executors share.
 
@@ -21,10 +24,11 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="checkpoints-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _LOCAL_FOLDERS:
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL_FOLDERS[context.applicationId] = folder
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
