@@ -89,16 +89,18 @@ class Model:
 
 
 def swaps(sentences: list[set[str]], place: dict[str, int]) -> np.ndarray:
-    """Changes of the features (of words, not of beginnings) by swapping an identity term of a sentence for the next of its group."""
+    """Changes of the features by swapping an identity term of a sentence for the next of its group."""
     found = []
     for words in sentences:
+        before = features(words)
         for group in GROUPS:
             for k, term in enumerate(group):
                 if term in words:
-                    other = group[(k + 1) % len(group)]
+                    after = features(words - {term} | {group[(k + 1) % len(group)]})
                     change = np.zeros(len(place), np.float32)
-                    change[place[term]] -= 1
-                    change[place[other]] += other not in words
+                    for name in before.keys() | after.keys():
+                        if name in place:
+                            change[place[name]] = after.get(name, 0.0) - before.get(name, 0.0)
                     found.append(change)
     return np.array(found, np.float32).reshape(-1, len(place))
 
@@ -118,7 +120,7 @@ def fit(texts: list[str], labels: list[int], positive_share: float) -> Model:
 
     common = sorted(w for w in ones.keys() | zeros.keys() if ones[w] + zeros[w] >= MIN_TEXTS)
     chosen = sorted(common, key=lambda w: (-tells(w), w))[:VOCABULARY]
-    names = sorted({*chosen, *(term for group in GROUPS for term in group)})
+    names = sorted({*chosen, *features({term for group in GROUPS for term in group})})
     place = {w: k for k, w in enumerate(names)}
     x = np.zeros((len(bags), len(names)), np.float32)
     for row, bag in enumerate(bags):
