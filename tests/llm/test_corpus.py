@@ -398,7 +398,7 @@ def test_swapped_identity_terms_keep_their_score():
         labels.append(int(toxic))
     model = toxicity.fit(texts, labels, 0.4)
     scores = [model.score(f"the {g} people are nice") for g in ("muslim", "christian")]
-    assert abs(scores[0] - scores[1]) < 0.02 and max(scores) < 0.3 < model.score("they are scum")
+    assert abs(scores[0] - scores[1]) < 0.02 and max(scores) < model.score("the muslim people are scum") - 0.2
 
 
 # Secrets.

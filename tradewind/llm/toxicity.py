@@ -89,20 +89,23 @@ class Model:
 
 
 def swaps(sentences: list[set[str]], place: dict[str, int]) -> np.ndarray:
-    """Changes of the features by swapping an identity term of a sentence for the next of its group."""
-    found = []
+    """Mean over all swaps, of an identity term of a sentence for any other of its group, of the
+    outer product of the change of the features: what squares the change of a score."""
+    total, n = np.zeros((len(place), len(place)), np.float32), 0
     for words in sentences:
         before = features(words)
         for group in GROUPS:
-            for k, term in enumerate(group):
-                if term in words:
-                    after = features(words - {term} | {group[(k + 1) % len(group)]})
-                    change = np.zeros(len(place), np.float32)
-                    for name in before.keys() | after.keys():
-                        if name in place:
-                            change[place[name]] = after.get(name, 0.0) - before.get(name, 0.0)
-                    found.append(change)
-    return np.array(found, np.float32).reshape(-1, len(place))
+            for term in words.intersection(group):
+                for other in group:
+                    if other == term:
+                        continue
+                    after = features(words - {term} | {other})
+                    names = [w for w in before.keys() | after.keys() if before.get(w) != after.get(w) and w in place]
+                    change = np.array([after.get(w, 0.0) - before.get(w, 0.0) for w in names], np.float32)
+                    at = [place[w] for w in names]
+                    total[np.ix_(at, at)] += np.outer(change, change)
+                    n += 1
+    return total / max(n, 1)
 
 
 def fit(texts: list[str], labels: list[int], positive_share: float) -> Model:
@@ -139,13 +142,11 @@ def fit(texts: list[str], labels: list[int], positive_share: float) -> Model:
     w, bias = np.zeros(len(names), np.float32), 0.0
     ahead, ahead_bias = w.copy(), 0.0
     scale = 0.25 * float(np.linalg.norm(x * np.sqrt(share)[:, None], 2) ** 2) + 0.25 + SHRINKAGE
-    if len(change):
-        scale += COUNTERFACTUAL * float(np.linalg.norm(change, 2) ** 2) / len(change)
+    scale += COUNTERFACTUAL * float(np.linalg.norm(change, 2))
     for step in range(STEPS):
         error = share * (1 / (1 + np.exp(-np.clip(x @ ahead + ahead_bias, -50, 50))) - y)
         gradient = x.T @ error + SHRINKAGE * ahead
-        if len(change):
-            gradient += COUNTERFACTUAL * (change.T @ (change @ ahead)) / len(change)
+        gradient += COUNTERFACTUAL * (change @ ahead)
         moved = ahead - gradient / scale
         moved = np.sign(moved) * np.maximum(np.abs(moved) - SPARSITY / scale, 0)
         moved_bias = ahead_bias - float(error.sum()) / scale
