@@ -6,10 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from tradewind.checks import oracle, queries
 
 FOLDER = "/root/testdata/sf0.001"
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
-QUERIES, ORACLE = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, ORACLE = queries.queries(), oracle.oracle_sql()
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
 
 
@@ -23,6 +24,7 @@ def engine():
 
 def test_every_query_has_a_check():
     assert QUERIES.keys() == ORACLE.keys()
+    assert QUERIES.keys() <= entry_module.queries().keys() and ORACLE.keys() <= entry_module.oracle_sql().keys()
 
 
 @pytest.mark.parametrize("name", QUERIES)

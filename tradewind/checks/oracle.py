@@ -401,6 +401,14 @@ def _checks() -> dict[str, tuple[dict[str, str], str]]:
             {},
             "SELECT * FROM states WHERE order_count >= 100 ORDER BY avg_order_value DESC, customer_state LIMIT 10",
         ),
+        "avg_order_value_by_state_500": (
+            {},
+            "SELECT * FROM states WHERE order_count >= 500 ORDER BY avg_order_value DESC, customer_state LIMIT 10",
+        ),
+        "avg_order_value_by_state_500_15": (
+            {},
+            "SELECT * FROM states WHERE order_count >= 500 ORDER BY avg_order_value DESC, customer_state LIMIT 15",
+        ),
         "avg_order_value_by_state_strict": (
             {},
             "SELECT * FROM states WHERE order_count >= 1000 ORDER BY avg_order_value DESC, customer_state LIMIT 3",

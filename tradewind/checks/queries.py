@@ -89,6 +89,12 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "avg_order_value_by_state": lambda t: sales.avg_order_value_by_state(
         t["orders"], t["customers"], t["order_items"], t["state_names"]
     ),
+    "avg_order_value_by_state_500": lambda t: sales.avg_order_value_by_state(
+        t["orders"], t["customers"], t["order_items"], t["state_names"], min_orders=500
+    ),
+    "avg_order_value_by_state_500_15": lambda t: sales.avg_order_value_by_state(
+        t["orders"], t["customers"], t["order_items"], t["state_names"], min_orders=500, top_n=15
+    ),
     "avg_order_value_by_state_strict": lambda t: sales.avg_order_value_by_state(
         t["orders"], t["customers"], t["order_items"], t["state_names"], min_orders=1000, top_n=3
     ),

@@ -49,17 +49,19 @@ def repeat_customers_by_month(
 ) -> DataFrame:
     """People who ordered in each month of the window, and those of them with more than one order ever.
 
-    Orders reduce to (person, month), all months outside the window sharing one
-    row, so a person's orders over all time are a sum over their few month rows.
+    Orders reduce to (customer, month) before they meet customers and to (person, month)
+    after, all months outside the window sharing one row, so a person's orders over all
+    time are a sum over their few month rows.
     """
     moment = F.col("order_purchase_timestamp")
     month = F.when(in_range(moment, start, end), F.date_format(moment, "yyyy-MM"))
     person_month = (
-        orders.select("order_id", "customer_id", month.alias("OrderMonth"))
+        orders.groupBy("customer_id", month.alias("OrderMonth"))
+        .agg(F.count("order_id").alias("orders"))
         .join(customers.select("customer_id", "customer_unique_id"), "customer_id")
         .where(F.col("customer_unique_id").isNotNull())
         .groupBy("customer_unique_id", "OrderMonth")
-        .agg(F.count("order_id").alias("orders"))
+        .agg(F.sum("orders").alias("orders"))
     )
     ever = F.sum("orders").over(Window.partitionBy("customer_unique_id"))
     return (

@@ -16,7 +16,7 @@ from tradewind.plans.baskets import (
     placed_sellers,
     zip_centroid,
 )
-from tradewind.plans.joins import SALT, lookup
+from tradewind.plans.joins import lookup
 
 __all__ = [
     "centroid_search",
@@ -103,15 +103,8 @@ def top_city_routes(
             .agg(*[F.expr(total).alias(name) for name, total in ORDER_SUMS.items()])
             .where("g > 0")
         )
-        sold = items.select("order_id", "order_item_id", "seller_id")
-        known = sellers.select("seller_id", "seller_city")
         by_city = (
-            lookup(sold, known, "seller_id", spread=["order_id", "order_item_id"], keep_salt=True)
-            .groupBy("seller_id", SALT, "order_id", "seller_city")
-            .agg(F.count(F.lit(1)).alias("items"))
-            .repartition("order_id")  # collapsed above; serves the next aggregate and the join
-            .groupBy("order_id", "seller_city")
-            .agg(F.sum("items").alias("items"))
+            lines.where("seller_known").groupBy("order_id", "seller_city").agg(F.sum("items").alias("items"))
         )
         combined = by_state.join(by_city, "order_id").selectExpr(
             "seller_city",
@@ -190,7 +183,9 @@ def city_centroids(observations: DataFrame) -> DataFrame:
 
     The city and state shown are those of the most frequent non-empty spelling.
     Takes either form of observations; spellings are folded after they are counted.
+    Observations without both coordinates do not count.
     """
+    observations = observations.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
     observed = F.col("observed") if "observed" in observations.columns else F.lit(1)
     spellings = observations.groupBy("city", "state").agg(
         F.sum(F.col("lat").cast("double") * observed).alias("lat_sum"),

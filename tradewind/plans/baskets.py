@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.functions.distance import planar_distance_km
-from tradewind.plans.joins import SALT, lookup
+from tradewind.plans.joins import lookup
 
 GRAINS = ("pair", "item")
 
@@ -113,27 +113,24 @@ def order_seller_lines(
 ) -> DataFrame:
     """Items of the chosen orders collapsed per (order, seller), sellers missing from the table included.
 
-    Items shuffle twice: to their seller, where they collapse on the partitioning of
-    the lookup (at most one row per salt), and collapsed to their order. The result is
-    partitioned by order, so per-order sums and counts need no further shuffle.
+    Items collapse per (order, seller) first, summed before they are shuffled by both
+    columns, so neither a hot seller nor a hot order lands in one task. Only collapsed
+    lines look their seller up. The result is partitioned by order, so per-order sums and
+    counts need no further shuffle.
     """
     sold = items.selectExpr(
-        "order_id", "order_item_id", "seller_id", "price + freight_value as value", "freight_value as freight"
+        "order_id", "seller_id", "price + freight_value as value", "freight_value as freight"
     )
     shops = placed_sellers(sellers, geolocation).selectExpr("*", "true as in_table")
-    attributes = ["seller_city", "seller_state", "seller_lat", "seller_lng", "seller_placed", "in_table"]
-    collapsed = (
-        lookup(sold, shops, "seller_id", spread=["order_id", "order_item_id"], how="left", keep_salt=True)
-        .groupBy("seller_id", SALT, "order_id", *attributes)
-        .agg(
-            F.expr("count(1) as items"),
-            F.expr("cast(sum(value) as decimal(18,2)) as value"),
-            F.expr("cast(sum(freight) as decimal(18,2)) as freight"),
-            F.expr("count(freight) as freight_n"),
-        )
+    collapsed = sold.groupBy("order_id", "seller_id").agg(
+        F.expr("count(1) as items"),
+        F.expr("cast(sum(value) as decimal(18,2)) as value"),
+        F.expr("cast(sum(freight) as decimal(18,2)) as freight"),
+        F.expr("count(freight) as freight_n"),
     )
+    placed = lookup(collapsed, shops, "seller_id", spread=["order_id"], how="left")
     return (
-        collapsed.join(destinations(orders, customers, geolocation, status), "order_id")
+        placed.join(destinations(orders, customers, geolocation, status), "order_id")
         .withColumn("distance_km", planar_distance_km("customer_lat", "customer_lng", "seller_lat", "seller_lng"))
         .selectExpr(
             "order_id",

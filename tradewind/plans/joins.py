@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SALT = "_salt"
-MIN_SALTS, MAX_SALTS = 16, 256
+MIN_SALTS = 16
 _UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
 
 
@@ -30,7 +30,7 @@ def fits_broadcast(df: DataFrame) -> bool:
 def salt_count(spark: SparkSession) -> int:
     """Copies of a shuffled lookup side: more on sessions set up for larger shuffles."""
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(MIN_SALTS, min(MAX_SALTS, partitions // 64))
+    return max(MIN_SALTS, partitions // 64)
 
 
 def lookup(
@@ -39,7 +39,6 @@ def lookup(
     on: str,
     spread: list[str],
     how: str = "inner",
-    keep_salt: bool = False,
 ) -> DataFrame:
     """Join ``facts`` to ``keyed`` (unique on ``on``), whatever the skew of the key.
 
@@ -50,18 +49,13 @@ def lookup(
     facts is spread over all salts. Both sides are exchanged directly below the join,
     which lets adaptive execution split a partition further or, once the true size of
     the copied side is known, broadcast it after all.
-
-    ``keep_salt`` leaves the salt column in, so that a following aggregate on the key,
-    the salt and more can run on the partitioning of the join.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type for a lookup: {how}")
     if fits_broadcast(keyed):
-        joined = facts.join(keyed, on, how)
-        return joined.withColumn(SALT, F.lit(0)) if keep_salt else joined
+        return facts.join(keyed, on, how)
     salts = salt_count(facts.sparkSession)
     columns = ", ".join(f"`{name}`" for name in spread)
     salted = facts.withColumn(SALT, F.expr(f"int(pmod(xxhash64({columns}), {salts}))"))
     copies = keyed.withColumn(SALT, F.expr(f"explode(sequence(0, {salts - 1}))"))
-    joined = salted.join(copies, [on, SALT], how)
-    return joined if keep_salt else joined.drop(SALT)
+    return salted.join(copies, [on, SALT], how).drop(SALT)

@@ -34,8 +34,13 @@ def _typed(text: Column, data_type: T.DataType) -> Column:
     return F.nullif(F.trim(text), F.lit("")).try_cast(data_type)
 
 
-def read_csv_table(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> CsvTable:
-    """One CSV table with quoted newlines, typed by ``schema``.
+def read_csv_table(
+    spark: SparkSession, path: str, schema: T.StructType, header: bool = True, multi_line: bool = True
+) -> CsvTable:
+    """One CSV table, typed by ``schema``.
+
+    With ``multi_line`` cells may hold quoted newlines, and every file is one task. Without
+    it large files are split.
 
     Columns are found by the names in the header, whatever their order, and others are
     left out; without a header the file holds the columns of ``schema`` in order. Cells
@@ -45,7 +50,7 @@ def read_csv_table(spark: SparkSession, path: str, schema: T.StructType, header:
     """
     reader = (
         spark.read.option("header", header)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
