@@ -482,3 +482,19 @@ def test_stages_keep_the_columns_and_take_effect(spark, tmp_path, odd):
     assert kept == [*range(60), 72]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), sf).columns == docs.columns
+
+
+@pytest.mark.parametrize("name", ["op2_site_line_dedup", "op5_robust_outliers", "op7_ngram_jaccard"])
+def test_same_rows_as_the_sql(spark, name):
+    import duckdb
+
+    from tradewind.llm import queries
+
+    engine = duckdb.connect()
+    for table in ("documents", "pages"):
+        engine.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.001/{table}.parquet'")
+    found = engine.execute(queries.oracle_sql()[name])
+    names = [column[0] for column in found.description]
+    df = queries.queries()[name](spark, "/root/testdata/sf0.001")
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(repr, map(tuple, df.select(names).collect()))) == sorted(map(repr, found.fetchall()))
