@@ -333,8 +333,13 @@ def train(texts: list[str]) -> Field:
 def training_texts(docs: DataFrame) -> list[str]:
     """At most ``SAMPLE_TEXTS`` texts with something to learn from, chosen by their hash."""
     chosen = docs.select("text").where(F.length("text") <= SAMPLE_CHARS).where(F.col("text").rlike("[0-9]{2}|@"))
-    rows = chosen.orderBy(F.xxhash64("text"), "text").limit(SAMPLE_TEXTS).collect()
-    return [row.text for row in rows]
+    # The hashes alone first: each task sends as many rows as are wanted, and texts are wide.
+    hashes = chosen.select(F.xxhash64("text").alias("h")).orderBy("h").limit(SAMPLE_TEXTS)
+    last = hashes.agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    rows = chosen.where(F.xxhash64("text") <= last).distinct().orderBy(F.xxhash64("text"), "text").limit(SAMPLE_TEXTS)
+    return [row.text for row in rows.collect()]
 
 
 RESULT = T.StructType(
