@@ -146,37 +146,55 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 def links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Pairs of the sets that link, as many as join all that hang together; no set is empty.
 
-    Nodes are searched in order of size. T is the least overlap with any smaller set that
+    Nodes are taken in order of size. Each is first compared with a few leaders, nodes that
+    joined none before them. The largest class that this leaves is kept out of the inverted lists:
+    its members search the lists of the others, so many near copies of one text cost no
+    more than their comparisons with leaders. T is the least overlap with any set that
     links; the long lists are as many as DivideSkip chooses from T and the longest list.
     Nodes already joined to the searched one are left out of its lists before these are merged.
     """
     order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
     sets = [sets[k] for k in order]
     sizes = [len(s) for s in sets]
-    nodes = np.repeat(np.arange(len(sets)), sizes)
-    flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-    by_value = np.argsort(flat, kind="stable")  # inside a list, nodes ascend
-    values, starts, lengths = np.unique(flat[by_value], return_index=True, return_counts=True)
-    nodes = nodes[by_value]
     forest, found, leaders = Forest(len(sets)), [], []
 
-    def linked(x: int, y: int) -> bool:
-        shared = overlap(sets[x], sets[y])
-        return 100 * shared >= percent * (sizes[x] + sizes[y] - shared)
-
     def joined(x: int, y: int) -> None:
         forest.join(x, y)
         found.append((order[x], order[y]))
 
     for x, own in enumerate(sets):
+        alone = True
         for y in leaders[-LEADERS:]:
-            if forest.root[x] != forest.root[y] and 100 * sizes[y] >= percent * sizes[x] and linked(x, y):
-                joined(x, y)
+            if forest.root[x] != forest.root[y] and 100 * sizes[y] >= percent * sizes[x]:
+                shared = overlap(own, sets[y])
+                if 100 * shared >= percent * (sizes[x] + sizes[y] - shared):
+                    joined(x, y)
+                    alone = False
+        if alone:
+            leaders.append(x)
+    if len(forest.members) <= 1:
+        return found
+
+    largest = max(forest.members.values(), key=len)
+    listed = np.ones(len(sets), bool)
+    listed[largest] = False
+    outside = np.flatnonzero(listed)
+    nodes = np.repeat(outside, [sizes[k] for k in outside])
+    flat = np.concatenate([sets[k] for k in outside])
+    by_value = np.argsort(flat, kind="stable")  # inside a list, nodes ascend
+    values, starts, lengths = np.unique(flat[by_value], return_index=True, return_counts=True)
+    nodes = nodes[by_value]
+
+    for x, own in enumerate(sets):
+        # Of two listed nodes the later one searches; members of the largest class search all that is listed.
+        end = x if listed[x] else len(sets)
         at = np.searchsorted(values, own)
-        at = at[lengths[at] > 1]  # a list of one has x alone
+        at[at == len(values)] = 0
+        at = at[values[at] == own]
+        if listed[x]:
+            at = at[lengths[at] > 1]  # a list of one has x alone
         least = -(-percent * sizes[x] // 100)
         if len(at) < least:
-            leaders.append(x)
             continue
         longest = int(lengths[at].max())
         n_long = min(least - 1, int(least / (MU * math.log2(longest) + 1)), len(at))
@@ -185,14 +203,15 @@ def links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int
         lists = []
         for k in short:
             row = nodes[starts[k] : starts[k] + lengths[k]]
-            row = row[: np.searchsorted(row, x)]
+            row = row[: np.searchsorted(row, end)]
             row = row[forest.root[row] != forest.root[x]]
             if len(row):
                 lists.append(row.tolist())
         for y, seen in merged(lists, least - n_long):
-            if forest.root[x] == forest.root[y] or 100 * sizes[y] < percent * sizes[x]:
+            small, large = sorted((sizes[x], sizes[y]))
+            if forest.root[x] == forest.root[y] or 100 * small < percent * large:
                 continue
-            need = -(-percent * (sizes[x] + sizes[y]) // (100 + percent))
+            need = -(-percent * (small + large) // (100 + percent))
             left = n_long
             for k in long:
                 if seen >= need or seen + left < need:
@@ -203,8 +222,6 @@ def links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int
                 seen += bool(place < len(row) and row[place] == y)
             if seen >= need:
                 joined(x, y)
-        if len(forest.members[forest.root[x]]) == 1:
-            leaders.append(x)
     return found
 
 
