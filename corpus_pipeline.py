@@ -12,6 +12,8 @@ from tradewind.llm import bpe_replay, decontaminate, jaccard_join, line_frequenc
 from tradewind.llm.common import table, written
 from tradewind.llm.queries import BYTE_RANKS
 
+NEAR_WORDS, NEAR_PERCENT = 5, 80  # of the near-copy stage; op7's own setting binds its query only
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the base rules or the robust outlier test reject."""
@@ -29,8 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of linked ones, that with the least id."""
-    return jaccard_join.one_of_each_class(docs)
+    """One document of each class of linked ones, that with the least id; linked by five-word shingles, 80 % alike."""
+    return jaccard_join.one_of_each_class(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

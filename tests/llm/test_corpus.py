@@ -484,6 +484,20 @@ def test_stages_keep_the_columns_and_take_effect(spark, tmp_path, odd):
         assert stage(spark, docs.limit(0), sf).columns == docs.columns
 
 
+def test_near_copies_of_the_stage_are_told_by_five_words(spark):
+    words = [f"w{k}" for k in range(200)]
+    few = [f"other{k}" if k in (30, 75, 120, 165) else w for k, w in enumerate(words)]  # 5-word Jaccard 0.815, 3-word 0.886
+    rest = [f"v{k}" for k in range(200)]
+    stretch = [f"more{k}" if 90 <= k < 105 else w for k, w in enumerate(rest)]  # 0.823 and 0.842
+    far = [f"u{k}" for k in range(200)]
+    changed = [f"odd{k}" if k in (20, 60, 100, 140, 180) else w for k, w in enumerate(far)]  # 0.774
+    texts = [" ".join(t) for t in (words, few, rest, stretch, far, changed)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 4, 5]
+    assert jaccard_join.one_of_each_class(docs).count() == 6  # op7's own setting
+
+
 @pytest.mark.parametrize("name", ["op2_site_line_dedup", "op5_robust_outliers", "op7_ngram_jaccard"])
 def test_same_rows_as_the_sql(spark, name):
     import duckdb
