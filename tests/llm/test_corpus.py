@@ -280,6 +280,17 @@ def test_bound_is_positive_for_every_length():
         assert length + 1 - decontaminate.Q * (edits + 1) >= 1
 
 
+def test_passages_are_found_at_every_offset():
+    item = decontaminate.normalized(prose(70, 60))
+    windows = decontaminate.Windows([(9, item)])
+    n = decontaminate.PASSAGE
+    passages = [item[k : k + m] for m in (n, n + 29) for k in range(len(item) - m + 1)]
+    texts = [f"{prose(71, 9)}#{p}#{prose(72, 9)}" for p in passages]
+    assert [set(hits) for hits in decontaminate.text_hits(windows, texts)] == [{9}] * len(texts)
+    edited = [p[:20] + "#" + p[21:40] + p[41:] for p in passages if len(p) == n]
+    assert [set(hits) for hits in decontaminate.text_hits(windows, edited)] == [{9}] * len(edited)
+
+
 def test_contaminated_rows(spark, odd, none):
     items = [(1, prose(50, 40)), (2, prose(51, 30)), (3, None), (4, ""), (5, "short")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")

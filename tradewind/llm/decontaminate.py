@@ -5,6 +5,9 @@ a text within k edits share at least L + 1 - q * (k + 1) q-grams, all of them on
 k + 1 neighbouring diagonals. So the shared q-grams of a text and a window are counted in
 bands of 2 * (k + 1) diagonals that overlap by half, bands that reach the bound are kept as
 regions, and a banded alignment verifies them. Every window within k edits is found.
+
+Long windows find passages with scattered edits; short ones start so close to each other
+that every passage of ``PASSAGE`` characters holds one whole, wherever it begins.
 """
 
 from __future__ import annotations
@@ -21,10 +24,14 @@ from tradewind.llm.common import map_batches
 
 WINDOW = 80  # characters; a shorter item is one window of its own length
 STEP = 40  # an item's windows start so far apart, and one ends with the item
+PASSAGE = 50  # every passage of so many characters holds a short window, wherever it begins
+SHORT_STEP = 3  # short windows start so far apart, and one ends with the item
+SHORT = PASSAGE - SHORT_STEP + 1  # characters of a short window
 EDIT_SHARE = 0.075  # edits allowed per character of a window
 Q = 10  # the bound stays positive for every window of MIN_LENGTH or more
 MIN_LENGTH = 40  # shorter items are no evidence
 BLOCK_CHARS = 4 << 20  # benchmark text sent to the tasks at once; a larger benchmark takes one pass per block
+VERIFIED = 1 << 14  # regions aligned at once
 CHUNK_CHARS = 256 << 10  # text searched at once; longer texts are cut in overlapping stretches
 GAP = np.full(2 * WINDOW, 0x110000, np.uint32)  # between texts: a letter that no text has
 
@@ -51,36 +58,77 @@ def grams(points: np.ndarray) -> np.ndarray:
     return found ^ (found >> np.uint64(29))
 
 
+def window_starts(length: int) -> list[tuple[int, range | list[int]]]:
+    """Lengths and starts of an item's windows: long ones, and short ones so close that no passage lies between them."""
+    whole = min(WINDOW, length)
+    if whole < MIN_LENGTH:
+        return [(whole, []), (SHORT, [])]
+    short = sorted({*range(0, length - SHORT + 1, SHORT_STEP), length - SHORT}) if length > SHORT else []
+    return [(whole, sorted({*range(0, length - whole + 1, STEP), length - whole})), (SHORT, short)]
+
+
+def often(keys: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Which keys stand in ``keys`` as often as ``least`` asks."""
+    _, place, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    return counts[place] >= least
+
+
 class Windows:
-    """The windows of one block of benchmark items and the inverted index of their q-grams."""
+    """The windows of one block of benchmark items and the inverted index of the items' q-grams.
+
+    An item's q-grams are held once; the windows that hold one are a run of those in order
+    of their starts, for long and short windows each.
+    """
 
     FILTER_BITS = 20
 
     def __init__(self, items: list[tuple[int, str]]):
         self.item: list[int] = []
-        self.points: list[np.ndarray] = []
+        texts: list[np.ndarray] = []
+        kinds: tuple[list, list] = ([], [])  # of long and short windows: start, length, number of the item
+        at = 0
         for item, text in items:
             points = code_points(normalized(text))
-            length = min(WINDOW, len(points))
-            if length < MIN_LENGTH:
+            if len(points) < MIN_LENGTH:
                 continue
-            starts = {*range(0, len(points) - length + 1, STEP), len(points) - length}
-            for start in sorted(starts):
-                self.item.append(item)
-                self.points.append(points[start : start + length])
-        self.length = np.array([len(p) for p in self.points], np.int64)
+            for kind, (length, starts) in zip(kinds, window_starts(len(points)), strict=True):
+                kind += [(at + start, length, len(texts)) for start in starts]
+            self.item.append(item)
+            texts.append(points)
+            at += len(points)
+        self.flat = np.concatenate(texts) if texts else np.empty(0, np.uint32)
+        self.begin, self.length, self.owner = np.array([*kinds[0], *kinds[1]], np.int64).reshape(-1, 3).T
+        self.runs = [slice(0, len(kinds[0])), slice(len(kinds[0]), None)]
         self.edits = (self.length * EDIT_SHARE).astype(np.int64)
         self.bound = np.maximum(self.length + 1 - Q * (self.edits + 1), 1)
-        hashes = [grams(p) for p in self.points]
+        self.least = np.full(len(texts), 1 << 30)  # the lowest bound of an item's windows
+        np.minimum.at(self.least, self.owner, self.bound)
+        hashes = [grams(p) for p in texts]
         flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        window = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
-        place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.empty(0, np.int64)
+        text = np.repeat(np.arange(len(texts)), [len(h) for h in hashes])
+        where = np.arange(len(flat)) + (Q - 1) * text  # every item before has Q - 1 letters without a q-gram
         order = np.argsort(flat, kind="stable")
-        self.window, self.place = window[order], place[order]
+        self.where, self.text = where[order], text[order]
         self.values, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
         self.known = np.zeros(1 << self.FILTER_BITS, bool)
         self.known[self.values >> np.uint64(64 - self.FILTER_BITS)] = True
 
+    @property
+    def points(self) -> list[np.ndarray]:
+        """The letters of every window."""
+        return [self.flat[a : a + n] for a, n in zip(self.begin.tolist(), self.length.tolist(), strict=True)]
+
+    def holding(self, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of places and of windows that hold the q-gram there."""
+        found = []
+        for run in self.runs:
+            begin, end = self.begin[run], self.begin[run] + self.length[run]
+            low = np.searchsorted(end, where + Q)
+            size = np.maximum(np.searchsorted(begin, where, side="right") - low, 0)
+            window = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            found.append((np.repeat(np.arange(len(where)), size), window + run.start))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
     def regions(self, points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Windows and first diagonals of the bands that reach the bound."""
         hashes = grams(points)
@@ -94,14 +142,16 @@ class Windows:
         size = self.count[slot]
         entry = np.repeat(self.first[slot] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         at = np.repeat(at, size)
-        # Windows that share too few q-grams with a whole text have no band in it that shares enough.
-        pair = (np.searchsorted(starts, at, side="right") - 1) * len(self.bound) + self.window[entry]
-        shared = np.bincount(pair)
-        chosen = shared[pair] >= self.bound[self.window[entry]]
+        # Items, then windows, that share too few q-grams with a whole text have no band in it that shares enough.
+        text = np.searchsorted(starts, at, side="right") - 1
+        chosen = often(text * len(self.item) + self.text[entry], self.least[self.text[entry]])
+        at, text, where = at[chosen], text[chosen], self.where[entry[chosen]]
+        hit, window = self.holding(where)
+        chosen = often(text[hit] * len(self.bound) + window, self.bound[window])
         if not chosen.any():
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        at, entry = at[chosen], entry[chosen]
-        window, place = self.window[entry], self.place[entry]
+        hit, window = hit[chosen], window[chosen]
+        at, place = at[hit], where[hit] - self.begin[window]
         # Diagonals are counted from the band below the text's start, so none is negative.
         diagonal = at - place + WINDOW
         half = self.edits[window] + 1
@@ -125,16 +175,19 @@ class Windows:
         """
         window, diagonal = self.regions(points, starts)
         best: dict[tuple[int, int], int] = {}
-        for length in np.unique(self.length[window]):
-            chosen = self.length[window] == length
-            pattern = np.stack([self.points[w] for w in window[chosen]])
-            width = 2 * (int(length * EDIT_SHARE) + 1)
-            edits = banded_edits(pattern, points, diagonal[chosen], width, int(length * EDIT_SHARE))
-            middle = diagonal[chosen] + width // 2 + length // 2
-            text = np.searchsorted(starts, middle, side="right") - 1
-            for t, w, found in zip(text.tolist(), window[chosen].tolist(), edits.tolist(), strict=True):
-                if found <= self.edits[w]:
-                    best[t, w] = min(found, best.get((t, w), found))
+        for length in np.unique(self.length[window]).tolist():
+            edits = int(length * EDIT_SHARE)
+            width = 2 * (edits + 1)
+            of_length = np.flatnonzero(self.length[window] == length)
+            for first in range(0, len(of_length), VERIFIED):
+                chosen = of_length[first : first + VERIFIED]
+                pattern = self.flat[self.begin[window[chosen]][:, None] + np.arange(length)]
+                least = banded_edits(pattern, points, diagonal[chosen], width, edits)
+                middle = diagonal[chosen] + width // 2 + length // 2
+                text = np.searchsorted(starts, middle, side="right") - 1
+                for t, w, found in zip(text.tolist(), window[chosen].tolist(), least.tolist(), strict=True):
+                    if found <= edits:
+                        best[t, w] = min(found, best.get((t, w), found))
         return best
 
 
@@ -203,7 +256,7 @@ def text_hits(windows: Windows, texts: list[str | None]) -> list[dict[int, tuple
     found: list[dict[int, dict[int, int]]] = [{} for _ in texts]
     for numbers, points, starts in stretches(texts):
         for (t, window), edits in windows.search(points, starts).items():
-            own = found[numbers[t]].setdefault(windows.item[window], {})
+            own = found[numbers[t]].setdefault(windows.item[windows.owner[window]], {})
             own[window] = min(edits, own.get(window, edits))
     return [{item: (len(own), min(own.values())) for item, own in items.items()} for items in found]
 
