@@ -309,6 +309,20 @@ def test_contaminated_rows(spark, odd, none):
     assert decontaminate.without_benchmark(odd, nothing).count() == len(odd_rows())
 
 
+def test_benchmark_of_several_blocks_holds_one_at_a_time(spark, monkeypatch):
+    items = [(k, prose(80 + k, 40)) for k in range(4)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(k, f"{prose(90 + k, 9)} {items[k][1]}" if k < 4 else prose(90 + k, 40)) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 200)
+    hits, kept = decontaminate.benchmark_hits(docs, benchmark), decontaminate.without_benchmark(docs, benchmark)
+    assert by_row(hits, "doc_id", "item_id") == [(k, k) for k in range(4)]
+    assert by_row(kept, "doc_id") == [(4,), (5,)]
+    for found in (hits, kept):  # one pass at most in the plan, whatever the number of blocks
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") <= 1 and "Union" not in plan
+
+
 # Quality rules.
 
 

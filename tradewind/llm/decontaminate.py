@@ -12,15 +12,18 @@ that every passage of ``PASSAGE`` characters holds one whole, wherever it begins
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tradewind.llm.common import map_batches
+from tradewind.llm.common import map_batches, written
+from tradewind.sources.checkpoints import shared_folder
 
 WINDOW = 80  # characters; a shorter item is one window of its own length
 STEP = 40  # an item's windows start so far apart, and one ends with the item
@@ -276,6 +279,17 @@ def benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
+def with_last(blocks: Iterator[list[tuple[int, str]]]) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """Each block and whether it is the last one."""
+    before = None
+    for block in blocks:
+        if before is not None:
+            yield before, False
+        before = block
+    if before is not None:
+        yield before, True
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per text and benchmark item of which it holds a window: doc_id, item_id, n_windows, edits.
 
@@ -284,47 +298,67 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     characters are no evidence; rows that repeat an id give rows of their own; ids may be
     null; other columns are ignored; an empty table on either side gives an empty result.
 
-    Each block of the benchmark is one pass over the texts, which are never shuffled.
+    Each block of the benchmark is one pass over the texts, which are never shuffled. A
+    benchmark of several blocks has the passes run one after the other, each written to the
+    shared folder and its block released before the next one is read, so driver, executors
+    and plan hold no more than two blocks at a time.
     """
     chosen = docs.selectExpr("cast(doc_id as bigint) as doc_id", "text")
-    found = None
-    for block in benchmark_blocks(benchmark):
-        items = docs.sparkSession.sparkContext.broadcast(block)
+    spark = docs.sparkSession
 
-        def rows(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[dict]:
+    def hits(block: list[tuple[int, str]]) -> tuple[DataFrame, Broadcast]:
+        items = spark.sparkContext.broadcast(block)
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             windows = Windows(items.value)
             for batch in batches:
-                hits = [
+                found = [
                     (doc, item, *counts)
-                    for doc, items in zip(
+                    for doc, own in zip(
                         batch.column("doc_id").to_pylist(),
                         text_hits(windows, batch.column("text").to_pylist()),
                         strict=True,
                     )
-                    for item, counts in items.items()
+                    for item, counts in own.items()
                 ]
-                if hits:
-                    yield dict(zip(HITS.names, map(list, zip(*hits, strict=True)), strict=True))
+                if found:
+                    yield dict(zip(HITS.names, map(list, zip(*found, strict=True)), strict=True))
+
+        return map_batches(chosen, rows, HITS), items
 
-        own = map_batches(chosen, rows, HITS)
-        found = own if found is None else found.unionByName(own)
-    return docs.sparkSession.createDataFrame([], HITS) if found is None else found
+    folder = f"{shared_folder(spark)}/hits-{uuid.uuid4().hex}"
+    several = False
+    for block, last in with_last(benchmark_blocks(benchmark)):
+        found, items = hits(block)
+        if last and not several:
+            return found
+        several = True
+        found.write.mode("append").parquet(folder)
+        items.unpersist()
+    return spark.read.schema(HITS).parquet(folder) if several else spark.createDataFrame([], HITS)
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no window of the benchmark; same rules."""
+    """The rows of ``docs``, with all their columns, that hold no window of the benchmark; same rules and passes."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    kept = docs
-    for block in benchmark_blocks(benchmark):
+    target = to_arrow_schema(docs.schema)
+
+    def clean(kept: DataFrame, block: list[tuple[int, str]]) -> tuple[DataFrame, Broadcast]:
         items = docs.sparkSession.sparkContext.broadcast(block)
-        target = to_arrow_schema(docs.schema)
 
-        def run(batches: Iterator[pa.RecordBatch], items=items, target=target) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = Windows(items.value)
             for batch in batches:
                 clean = pa.array([not h for h in text_hits(windows, batch.column("text").to_pylist())], pa.bool_())
                 yield pc.filter(batch, clean).cast(target)
 
-        kept = kept.mapInArrow(run, docs.schema)
+        return kept.mapInArrow(run, docs.schema), items
+
+    kept = docs
+    for block, last in with_last(benchmark_blocks(benchmark)):
+        kept, items = clean(kept, block)
+        if not last:
+            kept = written(kept, "clean")
+            items.unpersist()
     return kept
