@@ -21,11 +21,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their source's boilerplate lines; a document keeps its row even if no line stays.
+    """Texts without their source's boilerplate lines and repeated passages; a document keeps its row even if no line stays.
 
-    The source is the site; ``n_chars`` is the length of what is left.
+    The source is the site, whatever its size; a repeated passage stays in one text. ``n_chars`` is the length of what is left.
     """
-    kept = line_frequency.drop_boilerplate(docs, "source", "text")
+    kept = line_frequency.drop_repeated(docs, "source", "text")
     changed = {"n_chars": "if(n_dropped > 0, cast(length(text) as bigint), n_chars) as n_chars"}
     return kept.selectExpr(*[changed.get(name, f"`{name}`") for name in docs.columns])
 

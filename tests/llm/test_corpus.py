@@ -509,6 +509,23 @@ def test_stages_keep_the_columns_and_take_effect(spark, tmp_path, odd):
         assert stage(spark, docs.limit(0), sf).columns == docs.columns
 
 
+def test_line_stage_drops_long_repeats_but_one_and_boilerplate_of_small_sites(spark):
+    passage, short = prose(4000, 40), "one short line"
+    rows = [(k, prose(1000 + k, 30), "large") for k in range(400)]
+    rows += [(k, f"{prose(k, 30)}\n{passage}\n{short}", "large") for k in range(400, 404)]
+    rows += [(500 + k, f"Menu\n{prose(500 + k, 30)}", "small") for k in range(19)]
+    rows += [(600 + k, f"{prose(600, 30)}\n{prose(601, 30)}", "large") for k in range(5)]  # copies of one document
+    rows += [(700 + k, f"{prose(700 + k, 30)}\n{passage}", None) for k in range(2)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, n_chars long")
+    found = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    before = {r[0]: r[1] for r in rows}
+    assert len(found) == len(rows)
+    assert sum(passage in found[k] for k in range(400, 404)) == 1 and all(short in found[k] for k in range(400, 404))
+    assert all(found[k].replace("\n" + passage, "") == before[k].replace("\n" + passage, "") for k in range(400, 404))
+    assert all(found[500 + k] == prose(500 + k, 30) for k in range(19))
+    assert all(found[k] == before[k] for k in before if not 400 <= k < 520)
+
+
 def test_near_copies_of_the_stage_are_told_by_five_words(spark):
     words = [f"w{k}" for k in range(200)]
     few = [f"other{k}" if k in (30, 75, 120, 165) else w for k, w in enumerate(words)]  # 5-word Jaccard 0.815, 3-word 0.886

@@ -15,6 +15,7 @@ from tradewind.llm.common import SPACE_CLASS, written
 RATIO = 0.05  # of the site's pages; a line on more is boilerplate
 MIN_PAGES = 20  # sites with fewer pages have no boilerplate: a ratio means little there
 MIN_COUNT = 3  # pages with the line, at least
+SHORT_WORDS = 8  # longer lines are repeats at a share that halves with every further word (drop_repeated)
 
 BLOCK_TAGS = "p|div|br|hr|li|ul|ol|nav|h[1-6]|article|section|header|footer|aside|table|tr|td|th|title|pre|main|form"
 BREAKS = rf"(?i)</?(?:{BLOCK_TAGS})(?:\s[^>]*)?/?>"
@@ -70,6 +71,11 @@ def drop_boilerplate(
     known = written(boilerplate_lines(pages, site, text, ratio, min_pages, min_count), "boilerplate")
     known = known.select(F.col("site").alias("_site"), F.col("lines").alias("_boilerplate"))
     joined = pages.drop("n_lines", "n_dropped").join(known, pages[site].eqNullSafe(known["_site"]), "left")
+    return without_lines(joined, pages.columns, text)
+
+
+def without_lines(joined: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """The columns with ``text`` less the lines whose hashes are in ``_boilerplate``, n_lines and n_dropped."""
     lines = F.split(text, "\n", -1)
     hashes = F.transform("_lines", lambda line: F.when(trimmed(line) != "", F.xxhash64(trimmed(line))))
     stays = F.filter(
@@ -90,7 +96,7 @@ def drop_boilerplate(
                 ).alias(text)
                 if name == text
                 else F.col(f"`{name}`")
-                for name in pages.columns
+                for name in columns
                 if name not in ("n_lines", "n_dropped")
             ],
             F.coalesce(F.size(F.array_compact("_hashes")), F.lit(0)).cast("long").alias("n_lines"),
@@ -99,6 +105,57 @@ def drop_boilerplate(
     )
 
 
+def drop_repeated(
+    pages: DataFrame, site: str, text: str, ratio: float = RATIO, min_count: int = MIN_COUNT
+) -> DataFrame:
+    """As ``drop_boilerplate`` for a site of any size, and without the repeats of longer lines.
+
+    A line on more than ``ratio`` of a site's pages goes from all of them. Above
+    ``SHORT_WORDS`` words the ratio halves with every further word, as chance repeats get
+    rarer; a line between the two ratios stays on one page and goes from the others. Pages of
+    one site with the same text count as one and keep or lose the same lines, so copies of a
+    document are not taken for pages that share lines.
+    """
+    lines = F.array_distinct(F.transform(F.split("text", "\n", -1), trimmed))
+    words = F.size(F.filter(F.split("line", f"{SPACE_CLASS}+", -1), lambda w: w != ""))
+    seen = (
+        pages.select(F.col(site).alias("site"), F.col(text).alias("text"))
+        .select("site", F.xxhash64("text").alias("page"), F.explode(lines).alias("line"))
+        .where("line <> ''")
+        .select("site", "page", words.alias("words"), F.xxhash64("line").alias("line"))
+    )
+    seen = written(seen.distinct(), "lines")
+    totals = seen.select("site", "page").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+    counts = (
+        seen.groupBy("site", "line")
+        .agg(F.count(F.lit(1)).alias("found"), F.min("page").alias("first"), F.max("words").alias("words"))
+        .where(F.col("found") >= min_count)
+    )
+    share = F.lit(ratio) * F.col("pages")
+    repeated = (
+        counts.join(totals, counts["site"].eqNullSafe(totals["site"]))
+        .where(F.col("found") > share / F.pow(F.lit(2.0), F.greatest(F.col("words") - SHORT_WORDS, F.lit(0))))
+        .select(counts["site"].alias("_site"), F.col("line").alias("_line"), "first", (F.col("found") > share).alias("all"))
+    )
+    repeated = written(repeated, "repeated")
+    everywhere = repeated.where("all").groupBy("_site").agg(F.collect_list("_line").alias("_everywhere"))
+    once = repeated.where("not all")  # each on few of its site's pages, so none is a hot key
+    once = (
+        seen.join(once, seen["site"].eqNullSafe(once["_site"]) & (seen["line"] == once["_line"]))
+        .where("page <> first")
+        .groupBy(F.col("site").alias("_site_of"), F.col("page").alias("_page"))
+        .agg(F.collect_list("line").alias("_once"))
+    )
+    joined = (
+        pages.drop("n_lines", "n_dropped")
+        .join(everywhere, pages[site].eqNullSafe(everywhere["_site"]), "left")
+        .join(once, pages[site].eqNullSafe(once["_site_of"]) & (F.xxhash64(pages[text]) == once["_page"]), "left")
+    )
+    both = F.concat(*[F.coalesce(name, F.expr("cast(array() as array<bigint>)")) for name in ("_everywhere", "_once")])
+    joined = joined.withColumn("_boilerplate", F.when(F.size(both) > 0, both))
+    return without_lines(joined, pages.columns, text)
+
+
 def oracle(ratio: float = RATIO, min_pages: int = MIN_PAGES, min_count: int = MIN_COUNT) -> str:
     """The query over ``pages`` in DuckDB's SQL."""
     strip = r"regexp_replace({}, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
