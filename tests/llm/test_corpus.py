@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -444,6 +445,24 @@ def test_secret_spans(spark, odd, none):
     assert secret_scan.scan_secrets(none, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_random_letters_are_found_and_names_are_not():
+    encoding = secret_scan.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    chance = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    secrets = ["kTqXzWvBnMpLrHsGdFjC", "qzxvkjwpqhgfzxmnbvtrlkq1", "QZ/xv+kjWpQh=gfZxmnbVtrlkq"]
+    secrets += ["".join(chance.choices(letters + letters.upper(), k=32)) for _ in range(300)]
+    missed = [s for s in secrets if secret_scan.random_spans(s, encoding, []) != [("random", 0, len(s))]]
+    assert not missed
+    names = ["get_http_response_code_2024", "MAX_NUMBER_OF_RETRIES_PER_HOST", "content/images/photos/2x1/large", "=" * 40]
+    names += ["getHTTPResponseCodeFromConnection", "internationalizationcommittee", "SOME_LONG_SETTING_NAME_42"]
+    assert not [n for n in names if secret_scan.random_spans(n, encoding, [])]
+    paths = ["content/images/photos/all/of/these/many/words/in/one/line/2x1", "a" * 200_000 + "!", "ab/" * 50_000 + "1x1"]
+    began = time.monotonic()
+    for path in paths:
+        secret_scan.is_name(path, encoding)
+    assert time.monotonic() - began < 20  # nested repeats took hours
+
+
 # Personal data.
 
 PLAIN = {

@@ -34,8 +34,8 @@ MAX_CHARS_PER_TOKEN = 2.0
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)  # of hexadecimal digests in common use
 DIGEST = re.compile(r"[0-9a-fA-F]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-# Words with at most some figures at their end, joined by signs or capitals: names of things.
-IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[_/=+-]*(?:[A-Z]?[a-z]+|[A-Z]+))*[_/=+-]*[0-9]{0,4}")
+MAX_FIGURES = 4  # of a name
+PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")  # parts of names: runs of letters up to signs, figures and capitals
 
 
 @lru_cache(maxsize=1)
@@ -55,12 +55,29 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def is_known(value: str) -> bool:
+def efficient(value: str, encoding: tiktoken.Encoding) -> bool:
+    return len(value) >= MAX_CHARS_PER_TOKEN * len(encoding.encode_ordinary(value))
+
+
+def is_name(value: str, encoding: tiktoken.Encoding) -> bool:
+    """Words by their token efficiency, joined by signs or capitals, with few figures.
+
+    Most letters are in words of three letters or more: pairs of letters are often tokens.
+    """
+    if sum(c.isdigit() for c in value) > MAX_FIGURES:
+        return False
+    parts = PART.findall(value)
+    if 2 * sum(len(part) for part in parts if len(part) >= 3) <= sum(map(len, parts)):
+        return False
+    return all(efficient(part.lower(), encoding) for part in parts)
+
+
+def is_known(value: str, encoding: tiktoken.Encoding) -> bool:
     """Digests of common lengths, unique identifiers and names."""
     return bool(
         (len(value) in DIGEST_LENGTHS and DIGEST.fullmatch(value))
         or UUID.fullmatch(value)
-        or IDENTIFIER.fullmatch(value)
+        or is_name(value, encoding)
     )
 
 
@@ -69,12 +86,10 @@ def random_spans(text: str, encoding: tiktoken.Encoding, taken: list[tuple[str,
     found = []
     for match in CANDIDATE.finditer(text):
         value = match[0]
-        if value.isalpha() and (value.islower() or value[1:].islower()):
-            continue  # one word
         start, end = match.span()
-        if is_known(value) or any(a < end and start < b for _, a, b in taken):
+        if any(a < end and start < b for _, a, b in taken):
             continue
-        if len(value) < MAX_CHARS_PER_TOKEN * len(encoding.encode_ordinary(value)):
+        if not efficient(value, encoding) and not is_known(value, encoding):
             found.append(("random", start, end))
     return found
 
