@@ -358,6 +358,17 @@ def test_outliers_go_and_all_else_stays(spark):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 2
 
 
+def test_small_groups_are_judged_by_wider_ones(spark):
+    bad = " ".join(w + "###" for w in prose(7, 90).split())
+    rows = [(k, prose(k, 80 + k), "en", "a") for k in range(80)]
+    rows += [(100 + k, prose(100 + k, 90), "en", f"small{k % 3}") for k in range(9)]
+    rows += [(500, bad, "en", "small0"), (501, bad, "xx", "tiny"), (502, bad, None, None), (503, prose(9, 90), "xx", "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = outliers.quality_kept(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {500, 501, 502}
+
+
 # Language.
 
 

@@ -198,6 +198,27 @@ def estimate(stats: DataFrame) -> DataFrame:
     return found
 
 
+def estimate_for_all(stats: DataFrame) -> DataFrame:
+    """As ``estimate``, but a group that is too small has the estimate of its language, else that of all rows."""
+    groups = written(stats.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "groups")
+    found = estimate(stats)
+    for keys in (["lang"], []):
+        known = found.selectExpr("lang as _lang", "source as _source")
+        same = groups["lang"].eqNullSafe(known["_lang"]) & groups["source"].eqNullSafe(known["_source"])
+        missing = written(groups.join(known, same, "left_anti").select("lang", "source"), "missing")
+        if missing.isEmpty():
+            break
+        # A wider group has nulls for the columns that do not tell it apart.
+        free = {name: F.lit(None).cast("string") for name in ("lang", "source") if name not in keys}
+        wider = estimate(stats.withColumns(free)).drop("source").withColumnRenamed("lang", "_lang")
+        if keys:
+            more = missing.join(wider, missing["lang"].eqNullSafe(wider["_lang"]))
+        else:
+            more = missing.crossJoin(F.broadcast(wider))  # one row at most
+        found = written(found.unionByName(more.drop("_lang")), "estimates")
+    return found
+
+
 def quality_statistics(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with their statistics, the rule's verdict and the vector."""
     return (
@@ -233,6 +254,10 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 def quality_kept(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns.
 
+    Unlike in ``quality_verdicts`` groups under ``MIN_GROUP`` rows are judged too, by the
+    estimate of their language or, where that is as small, of all rows. Only where all rows
+    together are too few is nothing known to judge by.
+
     Statistics are taken once for the estimates and once more, row by row, for the
     verdict, so no text is shuffled and repeated ids need no care.
     """
@@ -241,7 +266,7 @@ def quality_kept(docs: DataFrame) -> DataFrame:
     # repeat the expressions of every statistic they use.
     stats = quality_statistics(docs.select("text", "lang", "source"))
     stats = written(stats.select("lang", "source", "n_words", "base_failed", *NAMES), "statistics")
-    found = estimate(stats.where("not base_failed"))
+    found = estimate_for_all(stats.where("not base_failed"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "text", "lang", "source")
     judged = with_distance(quality_statistics(whole), found)
     kept = judged.where(f"case when base_failed then false else coalesce(distance <= {CUTOFF}, true) end")
