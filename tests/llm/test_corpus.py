@@ -413,6 +413,17 @@ def test_languages(spark, odd, none):
     assert ppm_language.predict_language(none).count() == 0
 
 
+def test_rare_languages_and_those_of_long_texts_are_learned(spark):
+    rows = [(k, prose(k, 30), "en") for k in range(40)] + [(100 + k, prose(k, 9).upper(), "UP") for k in range(2)]
+    rows += [(200 + k, "zyx wvq " * 4000, "long") for k in range(4)]
+    rows += [(300 + k, f"{k} {k} x", f"rare{k:03}") for k in range(320)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = ppm_language.training_texts(docs)
+    trained = {lang for k, _, lang in rows if zlib.crc32(str(k).encode()) % 4 != 2}
+    assert set(samples) == trained and {"long", "UP"} <= trained and len(trained) > 201
+    assert max(len(t) for t in samples["long"]) == ppm_language.SAMPLE_CHARS
+
+
 # Toxicity.
 
 

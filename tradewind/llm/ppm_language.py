@@ -24,8 +24,7 @@ from tradewind.llm.common import held_out, map_batches
 
 ORDER = 3
 SAMPLE_TEXTS = 300  # of each language; those with the least hash of their text
-SAMPLE_CHARS = 20_000  # longer texts are not trained on
-MAX_LANGUAGES = 200  # the most frequent ones; others are not learned
+SAMPLE_CHARS = 20_000  # of a longer text its first so many characters are trained on
 CHUNK_BYTES = 1 << 20
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -105,15 +104,13 @@ class Model:
 
 
 def training_texts(docs: DataFrame) -> dict[str, list[bytes]]:
-    """Samples by language from rows that are not held out; at most ``SAMPLE_TEXTS`` texts each."""
+    """Samples of every language from rows that are not held out; at most ``SAMPLE_TEXTS`` texts each."""
     learnable = docs.where("text is not null and lang is not null").where(~held_out(F.col("doc_id")))
-    frequent = learnable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
+    by_hash = Window.partitionBy("lang").orderBy("hash", "text")
     sample = (
-        learnable.where(F.length("text") <= SAMPLE_CHARS)
+        learnable.select("lang", F.xxhash64("text").alias("hash"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
         .select("lang", "text", F.row_number().over(by_hash).alias("place"))
         .where(F.col("place") <= SAMPLE_TEXTS)
-        .join(F.broadcast(frequent.select("lang")), "lang", "left_semi")
     )
     found: dict[str, list[bytes]] = {}
     for row in sample.orderBy("lang", "place").collect():  # SAMPLE_TEXTS of SAMPLE_CHARS for each language
@@ -162,7 +159,8 @@ def predict_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
     not held out, repeated rows stay, an empty table gives an empty result.
 
     Training gathers at most ``SAMPLE_TEXTS`` texts of ``SAMPLE_CHARS`` of each language on
-    the driver; the tables sent to the tasks are bounded by that sample.
+    the driver; the tables sent to the tasks are bounded by that sample and grow with the
+    number of languages. No language is left out for being rare or having long texts only.
     """
     if model is None:
         samples = training_texts(docs)
