@@ -164,3 +164,17 @@ def test_surrogate_key_is_dense_and_ordered(spark):
     assert [r[0] for r in got] == list(range(1, 2001))
     assert [r[1] for r in got] == sorted(r[1] for r in got)
     assert keyed.agg(F.count_distinct("review_row_id")).first()[0] == 2000
+
+
+def test_every_declared_key_is_checked(table):
+    from tradewind.schema import FOREIGN_KEYS, PRIMARY_KEYS
+
+    names = {*PRIMARY_KEYS, *(r[0] for r in FOREIGN_KEYS)}
+    tables = {name: table(name, []) for name in names}
+    tables["sellers"] = table("sellers", [{"seller_id": "s"}, {"seller_id": "s"}, {"seller_id": "t"}])
+    tables["leads_closed"] = table("leads_closed", [{"mql_id": "m"}, {"mql_id": "m"}])
+    found = {r.table_name: r for r in ops.check_primary_keys(tables, PRIMARY_KEYS).collect()}
+    assert found.keys() == PRIMARY_KEYS.keys() and [n for n, r in found.items() if not r.is_valid] == ["sellers"]
+    assert (found["sellers"].duplicate_rows, found["sellers"].null_key_rows) == (1, 0)
+    orphans = [tuple(r) for r in ops.check_foreign_keys(tables, FOREIGN_KEYS).collect()]
+    assert orphans == [("leads_closed", "mql_id", "leads_qualified", "m", 2)]

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import re
 
-from tradewind.checks.queries import CHOSEN, DECLARED, PROFILE_KEYS
+from tradewind.checks.queries import CHECKED_RELATIONS, CHOSEN, DECLARED, PROFILE_KEYS
 from tradewind.checks.testdata import END, MAPPING, MIN_MONTH_ORDERS, START
+from tradewind.schema import PRIMARY_KEYS
 
 
 def _rounded(value: str, output: str) -> str:
@@ -605,6 +606,8 @@ def _checks() -> dict[str, tuple[dict[str, str], str]]:
             """SELECT customer_zip_code_prefix AS orphan_key, COUNT(*) AS row_count FROM m_customers
         WHERE customer_zip_code_prefix NOT IN (SELECT geolocation_zip_code_prefix FROM m_geolocation) GROUP BY 1""",
         ),
+        "check_primary_keys": ({}, "\n        UNION ALL".join(map(_checked_key, PRIMARY_KEYS))),
+        "check_foreign_keys": ({}, "\n        UNION ALL".join(_orphans(*relation) for relation in CHECKED_RELATIONS)),
         "zip_coverage": (
             {},
             _lost("customer", "JOIN m_orders USING (order_id)") + "\n        UNION ALL" + _lost("seller", ""),
@@ -617,6 +620,27 @@ def _checks() -> dict[str, tuple[dict[str, str], str]]:
     }
 
 
+def _checked_key(table: str) -> str:
+    key = PRIMARY_KEYS[table]
+    bad = " OR ".join(f"{name} IS NULL" for name in key)
+    return f"""
+        SELECT '{table}' AS table_name, '{",".join(key)}' AS key_columns, CAST(COALESCE(SUM(c), 0) AS BIGINT) AS row_count,
+          COUNT(*) FILTER (WHERE NOT bad) AS distinct_keys,
+          CAST(COALESCE(SUM(c - 1) FILTER (WHERE NOT bad), 0) AS BIGINT) AS duplicate_rows,
+          CAST(COALESCE(SUM(c) FILTER (WHERE bad), 0) AS BIGINT) AS null_key_rows,
+          COALESCE(bool_and(NOT bad AND c = 1), TRUE) AS is_valid
+        FROM (SELECT {bad} AS bad, COUNT(*) AS c FROM {_ROLE_NAMES[table]} GROUP BY {", ".join(key)})"""
+
+
+def _orphans(child: str, column: str, parent: str, parent_column: str) -> str:
+    return f"""
+        SELECT '{child}' AS child_table, '{column}' AS child_column, '{parent}' AS parent_table,
+          CAST(x.{column} AS VARCHAR) AS orphan_key, COUNT(*) AS row_count FROM {_ROLE_NAMES[child]} x
+        WHERE x.{column} IS NOT NULL
+          AND NOT EXISTS (SELECT 1 FROM {_ROLE_NAMES[parent]} y WHERE y.{parent_column} = x.{column})
+        GROUP BY x.{column}"""
+
+
 def _used(sql: str, relations: dict[str, str]) -> list[str]:
     return [name for name in relations if re.search(rf"\b{name}\b", sql)]
 

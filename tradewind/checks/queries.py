@@ -11,6 +11,7 @@ from tradewind.checks.testdata import END, MIN_MONTH_ORDERS, START, Roles
 from tradewind.functions.distance import planar_distance_km
 from tradewind.functions.text import city_key, normalize_city
 from tradewind.operators import cities, customers, geography, quality, sales, selection, sellers
+from tradewind.schema import FOREIGN_KEYS, PRIMARY_KEYS
 
 Tables = Mapping[str, DataFrame]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +39,9 @@ PROFILE_KEYS = {
     "orders": ["order_id"],
 }
 
+# The reviews of the generated tables have no order_id.
+CHECKED_RELATIONS = [relation for relation in FOREIGN_KEYS if relation[0] != "order_reviews"]
+
 
 def _geo(t: Tables) -> tuple[DataFrame, ...]:
     return t["orders"], t["order_items"], t["customers"], t["sellers"], t["geolocation"]
@@ -193,6 +197,8 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "check_foreign_key": lambda t: quality.check_foreign_key(
         t["customers"], "customer_zip_code_prefix", t["geolocation"], "geolocation_zip_code_prefix"
     ),
+    "check_primary_keys": lambda t: quality.check_primary_keys(t, PRIMARY_KEYS),
+    "check_foreign_keys": lambda t: quality.check_foreign_keys(t, CHECKED_RELATIONS),
     "zip_coverage": lambda t: quality.zip_coverage(*_geo(t)),
     "add_surrogate_key": lambda t: quality.add_surrogate_key(
         t["order_reviews"].drop("review_row_id").withColumn("score_text", F.col("review_score").cast("string")),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -273,6 +274,11 @@ def check_primary_key(df: DataFrame, table: str, key: list[str]) -> DataFrame:
     ).withColumn("is_valid", (F.col("duplicate_rows") == 0) & (F.col("null_key_rows") == 0))
 
 
+def check_primary_keys(tables: Mapping[str, DataFrame], keys: Mapping[str, list[str]]) -> DataFrame:
+    """``check_primary_key`` of every declared key, one row each."""
+    return reduce(DataFrame.unionByName, [check_primary_key(tables[name], name, key) for name, key in keys.items()])
+
+
 def primary_key_violations(df: DataFrame, key: list[str]) -> DataFrame:
     """Keys that occur more than once or hold a NULL, with their number of rows."""
     null_key = reduce(lambda a, b: a | b, [F.col(_quoted(name)).isNull() for name in key])
@@ -291,6 +297,23 @@ def check_foreign_key(child: DataFrame, column: str, parent: DataFrame, parent_c
     return used.join(known, "orphan_key", "left_anti")
 
 
+def check_foreign_keys(
+    tables: Mapping[str, DataFrame], relations: Iterable[tuple[str, str, str, str]]
+) -> DataFrame:
+    """``check_foreign_key`` of every declared relation: child, column and parent, the key as text, its child rows."""
+    found = [
+        check_foreign_key(tables[child], column, tables[parent], parent_column).select(
+            F.lit(child).alias("child_table"),
+            F.lit(column).alias("child_column"),
+            F.lit(parent).alias("parent_table"),
+            F.col("orphan_key").cast("string").alias("orphan_key"),
+            "row_count",
+        )
+        for child, column, parent, parent_column in relations
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 def zip_coverage(
     orders: DataFrame,
     items: DataFrame,
