@@ -19,6 +19,7 @@ from tradewind.llm import (
     secret_scan,
     token_files,
     toxicity,
+    whitening,
 )
 from tradewind.llm.common import table
 from tradewind.sources.checkpoints import shared_folder
@@ -89,6 +90,10 @@ def op10_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op13_polarisation_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_semi_markov_pii": op1_semi_markov_pii,
@@ -101,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_ppm_language": op9_ppm_language,
         "op10_secret_scan": op10_secret_scan,
+        "op13_polarisation_whitening": op13_polarisation_whitening,
     }
 
 
