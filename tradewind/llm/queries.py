@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.llm import (
+    alignment,
     bpe_replay,
     decontaminate,
     jaccard_join,
@@ -27,6 +28,8 @@ from tradewind.sources.checkpoints import shared_folder
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 SECRET_RANKS = "byte_bpe_50k.tiktoken"
 WORD_VOCABULARY = "word_bpe_49k.json"
+BYTE_VOCABULARY = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def op1_semi_markov_pii(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,6 +93,15 @@ def op10_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.align_tokens(
+        table(spark, sf, "documents"),
+        public_tokenizers.path(BYTE_VOCABULARY),
+        public_tokenizers.path(PIECE_MODEL),
+        with_groups=False,
+    )
+
+
 def op13_polarisation_whitening(spark: SparkSession, sf: str) -> DataFrame:
     return whitening.whiten(table(spark, sf, "embeddings"))
 
@@ -106,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_ppm_language": op9_ppm_language,
         "op10_secret_scan": op10_secret_scan,
+        "op11_token_alignment": op11_token_alignment,
         "op13_polarisation_whitening": op13_polarisation_whitening,
     }
 
