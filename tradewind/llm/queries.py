@@ -17,6 +17,7 @@ from tradewind.llm import (
     outliers,
     pii_crf,
     ppm_language,
+    projection_forest,
     secret_scan,
     token_files,
     toxicity,
@@ -102,6 +103,10 @@ def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op12_projection_forest(spark: SparkSession, sf: str) -> DataFrame:
+    return projection_forest.nearest_vectors(table(spark, sf, "embeddings"))
+
+
 def op13_polarisation_whitening(spark: SparkSession, sf: str) -> DataFrame:
     return whitening.whiten(table(spark, sf, "embeddings"))
 
@@ -119,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_ppm_language": op9_ppm_language,
         "op10_secret_scan": op10_secret_scan,
         "op11_token_alignment": op11_token_alignment,
+        "op12_projection_forest": op12_projection_forest,
         "op13_polarisation_whitening": op13_polarisation_whitening,
     }
 
