@@ -20,6 +20,7 @@ A, B = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bp
 AWKWARD = [
     "", None, " ", "  ", "a", "a ", " a", "a  b", "a   b", "a \n b", "a\n  b\t c", "\n\n", "x y 　z", "don't we'll",
     "<|endoftext|> <s> </s> <unk>", "naïve Ünïcödé straße", "日本語 のテキスト", "🙂🙂 emoji 👩‍👩‍👧", "a▁b", "▁", "tab\x1c x",
+    "a  \n b", "x\u00a0 y", "▁ b", "two \u2003 kinds \u2003z",
     "0x41 12345 6.7e-8", "mixed   runs    of     blanks ", "zero\x00byte y", "x" * 3000, "ab " * 5000, "é" * 500 + " " * 40 + "z",
 ]
 

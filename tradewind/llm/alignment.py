@@ -8,18 +8,20 @@ each emits the overlaps of its tokens and the ends that both share. A shared end
 tokens fall to both sides of a diagonal is found when neighbouring pieces are stitched, and
 groups of tokens run from one shared end to the next, through as many pieces as it takes.
 
-A text is encoded in the stretches before which both tokenizers always cut, a blank after
-anything that is not white space; equal stretches are encoded once. Ends meet at all such
+A text is encoded in stretches before which both tokenizers always cut: a single blank,
+followed by anything but white space. Equal stretches are encoded once. Ends meet at all such
 cuts, so texts of any length are merged block by block in bounded memory.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,10 @@ from tradewind.llm.common import map_batches, written
 
 PIECE = 8192  # ends of one piece
 BLOCK_CHARS = 2 << 20  # characters merged at once; a longer stretch without a cut is merged whole
-STRETCHES_KEPT = 1 << 18  # distinct stretches whose tokens a worker keeps
-KEPT_CHARS = 64  # longer stretches are not kept
+STRETCHES_KEPT = 1 << 19  # distinct stretches whose tokens a worker keeps; beyond, or with so many tokens, it starts anew
+TOKENS_KEPT = 1 << 22
 FREQUENT = 50_000  # pairs over this share of all links are at most so many, and are broadcast
-CUT = re.compile(r"(?<=\S)(?= )")
+CUT = re.compile(r"(?<=[^ ]) (?=\S)")
 
 
 def diagonal_cuts(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
@@ -125,6 +127,7 @@ class Side:
 @lru_cache(maxsize=2)
 def byte_level_side(path: str) -> Side:
     """A byte-level vocabulary of the tokenizers library; strings of its special tokens are plain text."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     loaded = Tokenizer.from_file(path)
     loaded.encode_special_tokens = True
     alphabet = byte_alphabet()
@@ -161,31 +164,64 @@ def piece_side(path: str) -> Side:
     return Side(encode, decoded)
 
 
-class Stretches:
-    """Tokens of both sides for stretches of text, kept for those seen often."""
+class Stretches(dict):
+    """Numbers of distinct stretches of text (without the blank before them), whose tokens of both sides it keeps."""
 
     def __init__(self, a: Side, b: Side):
+        super().__init__()
         self.sides = (a, b)
-        self.kept: dict[str, tuple[np.ndarray, np.ndarray] | None] = {}
-
-    def tokens(self, stretches: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """Ids of A and of B of every stretch (without the blank before it); None where either has other bytes."""
-        new = [s for s in dict.fromkeys(stretches) if s not in self.kept]
-        found = dict(zip(new, self._encoded(new), strict=True))
-        result = [found[s] if s in found else self.kept[s] for s in stretches]
-        if len(self.kept) + len(new) > STRETCHES_KEPT:
-            self.kept.clear()
-        self.kept.update((s, t) for s, t in found.items() if len(s) <= KEPT_CHARS)
-        return result
-
-    def _encoded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
-        for text, *ids in zip(texts, *(side.encode(texts) for side in self.sides), strict=True):
-            want = b" " + text.encode()
-            same = all(
-                b"".join(map(side.token_bytes.__getitem__, own)) == want
-                for side, own in zip(self.sides, ids, strict=True)
-            )
-            yield (np.array(ids[0], np.int32), np.array(ids[1], np.int32)) if same else None
+        self.new: list[str] = []
+        self._start_anew()
+
+    def _start_anew(self) -> None:
+        self.clear()
+        self.ids = [np.empty(0, np.int32), np.empty(0, np.int32)]
+        self.starts = [np.zeros(1, np.int64), np.zeros(1, np.int64)]  # of every stretch, and the end of the last
+        self.spelled = np.empty(0, bool)
+
+    def __missing__(self, stretch: str) -> int:
+        self[stretch] = number = len(self)
+        self.new.append(stretch)
+        return number
+
+    def numbers(self, runs: list[list[str]]) -> list[np.ndarray]:
+        """The numbers of every run's stretches; earlier numbers may not be used afterwards."""
+        if len(self) > STRETCHES_KEPT or max(map(len, self.ids)) > TOKENS_KEPT:
+            self._start_anew()
+        found = [np.fromiter(map(self.__getitem__, run), np.int64, len(run)) for run in runs]
+        new, self.new = self.new, []
+        if new:
+            self._encode(new)
+        return found
+
+    def _encode(self, texts: list[str]) -> None:
+        wanted = [b" " + text.encode() for text in texts]
+        spelled = np.ones(len(texts), bool)
+        for k, side in enumerate(self.sides):
+            ids = side.encode(texts)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+            parts = list(map(side.token_bytes.__getitem__, flat.tolist()))
+            if b"".join(parts) != b"".join(wanted) or not self._same_sizes(side, flat, sizes, wanted):
+                ends = np.cumsum(sizes).tolist()
+                spelled &= [
+                    b"".join(parts[i:j]) == want for i, j, want in zip([0, *ends], ends, wanted, strict=False)
+                ]
+            self.starts[k] = np.concatenate([self.starts[k], self.starts[k][-1] + np.cumsum(sizes)])
+            self.ids[k] = np.concatenate([self.ids[k], flat])
+        self.spelled = np.concatenate([self.spelled, spelled])
+
+    @staticmethod
+    def _same_sizes(side: Side, flat: np.ndarray, sizes: np.ndarray, wanted: list[bytes]) -> bool:
+        ends = np.append(0, np.cumsum(side.sizes[flat]))[np.cumsum(sizes)]
+        return bool((ends == np.cumsum(list(map(len, wanted)))).all())
+
+    def tokens(self, numbers: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these stretches, end to end, and how many each has."""
+        starts = self.starts[side][numbers]
+        sizes = self.starts[side][numbers + 1] - starts
+        before = np.cumsum(sizes) - sizes
+        return self.ids[side][np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))], sizes
 
 
 @dataclass
@@ -210,17 +246,19 @@ def written_ids(size: int, inner: str, last: str) -> tuple[np.ndarray, np.ndarra
     return np.array([k + inner for k in ids], object), np.array([k + last for k in ids], object)
 
 
-def merge_block(
-    parts: list[tuple[Aligned, list[tuple[np.ndarray, np.ndarray]]]], sides: tuple[Side, Side], keep_groups: bool
-) -> None:
-    """Merge stretches of several texts at once and add what comes out to each text."""
-    parts = [(text, found) for text, found in parts if found]
+def merge_block(parts: list[tuple[Aligned, np.ndarray]], stretches: Stretches, keep_groups: bool) -> None:
+    """Merge runs of stretches of several texts at once and add what comes out to each text."""
     if not parts:
         return
-    ids = [np.concatenate([t[k] for _, found in parts for t in found]) for k in (0, 1)]
+    sides, numbers = stretches.sides, np.concatenate([run for _, run in parts])
+    of_run = np.cumsum([len(run) for _, run in parts])
+    ids, of_text = [], []
+    for k in (0, 1):
+        own, sizes = stretches.tokens(numbers, k)
+        ids.append(own)
+        of_text.append(np.append(0, np.cumsum(sizes)[of_run - 1]))
     ends = [np.cumsum(side.sizes[own]) for side, own in zip(sides, ids, strict=True)]
     at_a, at_b, _ = shared_ends(*ends)
-    of_text = [np.cumsum([0, *(sum(len(t[k]) for t in found) for _, found in parts)]) for k in (0, 1)]
     last_group = np.searchsorted(at_a, of_text[0][1:] - 1) + 1  # groups up to the end of each text
 
     code = (ids[0][at_a].astype(np.int64) << 32) | ids[1][at_b]
@@ -256,36 +294,40 @@ def merge_block(
 
 def stretches_of(text: str) -> Iterator[list[str]]:
     """The stretches of a blank and a text, without the blank before each, in runs of about a block."""
-    run, size = [], 0
     start = 0
-    for cut in CUT.finditer(text):
-        run.append(text[start : cut.start()])
-        size += cut.start() - start
-        start = cut.start() + 1  # the next stretch's own blank
-        if size >= BLOCK_CHARS:
-            yield run
-            run, size = [], 0
-    run.append(text[start:])
-    yield run
+    while len(text) - start > BLOCK_CHARS:
+        cut = CUT.search(text, start + BLOCK_CHARS - 1)
+        if cut is None:
+            break
+        yield CUT.split(text[start : cut.start()])
+        start = cut.end()  # the next stretch's own blank
+    yield CUT.split(text[start:])
 
 
 def aligned(texts: list[str | None], stretches: Stretches, keep_groups: bool) -> list[Aligned]:
     """Every text aligned, block by block."""
     results = [Aligned(valid=bool(t)) for t in texts]
-    block, size = [], 0
-    for text, result in zip(texts, results, strict=True):
-        for run in stretches_of(text) if result.valid else ():
-            if not result.valid:
-                break
-            found = stretches.tokens(run)
-            result.valid = None not in found
+    block: list[tuple[Aligned, list[str]]] = []
+    size = 0
+
+    def merge() -> None:
+        runs = stretches.numbers([run for _, run in block])
+        known = []
+        for (result, _), run in zip(block, runs, strict=True):
+            result.valid = result.valid and bool(stretches.spelled[run].all())
             if result.valid:
-                block.append((result, found))
-                size += sum(map(len, run)) + len(run)
+                known.append((result, run))
+        merge_block(known, stretches, keep_groups)
+        block.clear()
+
+    for text, result in zip(texts, results, strict=True):
+        for run in stretches_of(text) if text else ():
+            block.append((result, run))
+            size += sum(map(len, run)) + len(run)
             if size >= BLOCK_CHARS:
-                merge_block(block, stretches.sides, keep_groups)
-                block, size = [], 0
-    merge_block(block, stretches.sides, keep_groups)
+                merge()
+                size = 0
+    merge()
     return results
 
 
