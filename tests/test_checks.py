@@ -40,3 +40,24 @@ def test_same_rows(spark, engine, name):
 
 def test_entry(spark):
     assert entry_module.entry(spark).count() == 20
+
+
+def test_the_tables_hold_what_a_wrong_operator_would_get_wrong(spark):
+    """Orphans of all seven relations, repeated payment types and leads, several ids of a person, a tie over rank 10."""
+    from pyspark.sql import functions as F
+
+    from tradewind.checks.testdata import Roles
+    from tradewind.schema import FOREIGN_KEYS
+
+    t = Roles(spark, FOLDER)
+    found = QUERIES["check_foreign_keys"](spark, FOLDER).select("child_table", "child_column").distinct().collect()
+    assert {tuple(r) for r in found} == {(child, column) for child, column, _, _ in FOREIGN_KEYS}
+    assert t["order_payments"].where("payment_type is not null").groupBy("order_id", "payment_type").count().where("count > 1").count()
+    assert t["leads_qualified"].groupBy("mql_id").count().where("count > 1").count()
+    assert t["leads_closed"].groupBy("mql_id").count().where("count > 1").count()
+    assert t["customers"].agg(F.count_distinct("customer_unique_id")).first()[0] < t["customers"].count()
+    assert t["order_items"].where("price is null").count()
+
+
+def test_ranks_that_tie_over_the_tenth_all_stay(spark):
+    assert QUERIES["top_sellers_ties"](spark, "/root/testdata/sf0.01").count() > 10

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import io
-
 import re
 
 import pytest
@@ -12,7 +11,7 @@ import pytest
 from tradewind.checks.queries import OPERATORS
 from tradewind.checks.testdata import Roles
 from tradewind.operators import cities, sales, selection, sellers
-from tradewind.plans.joins import SALT, fits_broadcast, lookup, salt_count
+from tradewind.plans.joins import SALT, fits_broadcast, heavy_hitters, lookup, spread_hot_keys
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -64,7 +63,7 @@ def test_date_window_reaches_the_scan(tables):
 
 def test_scans_read_only_the_columns_in_use(tables):
     text = plan(sellers.top_sellers(tables["order_items"]), "formatted")
-    assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint,l_extendedprice:double>" in text
+    assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint,l_linenumber:int,l_extendedprice:double>" in text
 
 
 def test_items_are_summed_before_they_are_joined(tables, no_broadcast):
@@ -122,13 +121,63 @@ def test_lookup_broadcasts_below_the_threshold(spark):
 def test_lookup_spreads_a_hot_key(spark, no_broadcast):
     facts = spark.range(3000).selectExpr("id", "if(id % 3 = 0, id, -1) as k")
     keyed = spark.range(-1, 3000, 2).selectExpr("id as k", "id * 10 as v")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot, nulls = heavy_hitters(facts, "k")
+    assert [k for k, _ in hot] == [-1] and hot[0][1] >= partitions * 2 // 3 and nulls == 1
     joined = lookup(facts, keyed, "k", ["id"])
-    assert "SortMergeJoin" in plan(joined)
-    hot = joined.where("k = -1")
-    assert f"{salt_count(spark) - 1})" in plan(joined) and hot.count() == 2000
+    assert "SortMergeJoin" in plan(joined) and joined.columns == ["k", "id", "v"]
     assert sorted(joined.collect()) == sorted(facts.join(keyed, "k").collect())
     left = lookup(facts, keyed, "k", ["id"], how="left")
     assert left.count() == 3000 and left.where("v is null").count() == 500
+    salted, copied = spread_hot_keys(facts, keyed, "k", ["id"], hot)
+    assert salted.where("k = -1").groupBy(SALT).count().count() == hot[0][1]
+    assert salted.where("k <> -1").select(SALT).distinct().count() == 1  # cold keys have one salt
+
+
+def test_a_large_keyed_side_is_copied_for_hot_keys_only(spark, no_broadcast):
+    many = 10_000_000
+    facts = spark.range(300_000).selectExpr("id", f"if(id % 3 = 0, 7, (id * 7919) % {many}) as k")
+    keyed = spark.range(many).selectExpr("id as k", "id + 1 as v")
+    hot, _ = heavy_hitters(facts, "k")
+    assert [k for k, _ in hot] == [7]
+    _, copied = spread_hot_keys(facts, keyed, "k", ["id"], hot)
+    assert copied.count() == many + hot[0][1] - 1
+    assert hot[0][1] <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    joined = lookup(facts, keyed, "k", ["id"])
+    assert joined.agg({"v": "sum"}).first()[0] == facts.selectExpr("sum(k + 1)").first()[0]
+
+
+def test_lookup_without_hot_keys_is_a_plain_join(spark, no_broadcast, monkeypatch):
+    facts, keyed = spark.range(40_000).selectExpr("id", "id as k"), spark.range(40_000).selectExpr("id as k", "id as v")
+    text = plan(lookup(facts, keyed, "k", ["id"]))
+    assert "BroadcastHashJoin" not in text and "Generate" not in text and SALT not in text
+
+
+def test_lookup_spreads_missing_keys_and_takes_empty_facts(spark, no_broadcast):
+    facts = spark.range(900).selectExpr("id", "if(id % 3 = 0, id, null) as k")
+    keyed = spark.range(0, 900, 2).selectExpr("id as k", "id as v")
+    assert heavy_hitters(facts, "k")[1] > 1
+    left = lookup(facts, keyed, "k", ["id"], how="left")
+    assert sorted(left.collect(), key=str) == sorted(facts.join(keyed, "k", "left").collect(), key=str)
+    empty = facts.where("id < 0")
+    assert lookup(empty, keyed, "k", ["id"]).count() == 0
+    assert lookup(facts.where("k is null"), keyed, "k", ["id"], how="left").count() == 600
+
+
+def test_lookup_takes_text_keys_and_the_size_of_a_stored_table(spark, no_broadcast):
+    facts = spark.range(600).selectExpr("id", "if(id % 2 = 0, 'hot', string(id)) as k")
+    keyed = spark.sql("select 'hot' as k, 1 as v union all select '3', 2")
+    found = lookup(facts, keyed, "k", ["id"])
+    assert found.count() == 301
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")
+    wide = spark.range(3).crossJoin(spark.range(10**9).selectExpr("id as other")).groupBy("id").agg({"other": "max"})
+    assert not fits_broadcast(wide)
+    assert "BroadcastHashJoin" in plan(lookup(facts, wide, "id", ["k"], sized_by=spark.range(3)))
+
+
+def test_routes_and_cities_share_one_scan_of_the_items(tables):
+    text = plan(OPERATORS["cities_on_routes"](tables))
+    assert "lineitem.parquet" not in text and "order-lines-" in text
 
 
 def test_lookup_rejects_joins_that_would_repeat_copies(spark):

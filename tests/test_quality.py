@@ -178,3 +178,86 @@ def test_every_declared_key_is_checked(table):
     assert (found["sellers"].duplicate_rows, found["sellers"].null_key_rows) == (1, 0)
     orphans = [tuple(r) for r in ops.check_foreign_keys(tables, FOREIGN_KEYS).collect()]
     assert orphans == [("leads_closed", "mql_id", "leads_qualified", "m", 2)]
+
+
+# ---- one bad column, few scans, stored states ----
+
+
+def test_an_overflow_is_the_error_of_its_column_only(spark):
+    df = spark.createDataFrame(
+        [(1, 1e30, D("9e37"), 5), (2, 1e30, D("9e37"), 6), (3, None, None, None)],
+        "id int, big double, wide decimal(38,0), fine int",
+    )
+    got = {r.column_name: r for r in ops.profile_table(df, "t", ["id"]).collect()}
+    assert got["big"].extra_stat == "ERROR: the mean is out of range of decimal(28,4)"
+    assert got["wide"].extra_stat == "ERROR: the sum of decimal(38,0) overflows"
+    for name in ("big", "wide"):
+        assert got[name].sanity_check == "ERROR" and got[name].full_type in ("float", "decimal(38,0)")
+        assert got[name].min_val is None and got[name].null_count is None and got[name].distinct_count is None
+    assert (got["fine"].extra_stat, got["fine"].null_count, got["fine"].sample_1) == ("avg=5.5000", 1, "5")
+    checked = {r.column_name: r.sanity_check for r in ops.sanity_rules(ops.profile_table(df, "t", ["id"])).collect()}
+    assert checked == {
+        "id": "OK", "fine": "OK", "big": "ERROR: the mean is out of range of decimal(28,4)",
+        "wide": "ERROR: the sum of decimal(38,0) overflows",
+    }
+
+
+def test_infinite_and_missing_numbers_are_errors_of_their_column(spark):
+    df = spark.createDataFrame([(float("inf"), float("nan"), 1.0), (1.0, 2.0, 2.0)], "a double, b double, c double")
+    got = {r.column_name: r.extra_stat for r in ops.profile_table(df, "t").collect()}
+    assert got["a"].startswith("ERROR:") and got["b"].startswith("ERROR:") and got["c"] == "avg=1.5000"
+
+
+def test_a_table_is_scanned_twice_at_most(spark, tmp_path):
+    from test_plans import plan
+
+    columns = [f"id + {k} as a{k}" for k in range(6)] + [f"string(id % {k + 2}) as s{k}" for k in range(6)]
+    spark.range(1000).selectExpr("id", *columns, "timestamp_seconds(id) as t", "cast(id as decimal(12,2)) as d").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    text = plan(ops.profile_table(df, "t", ["id"]))
+    assert text.count("FileScan") == 2
+    assert plan(ops.profile_table(df, "t", ["id"], approximate=True)).count("FileScan") == 1
+
+
+def test_samples_and_distinct_counts_of_repeated_keys_and_odd_types(spark):
+    df = spark.createDataFrame(
+        [(1, [2], (1, "x"), True, 0.0), (1, [1], (1, "x"), None, -0.0), (1, None, (0, "y"), False, float("nan")), (0, [9], None, True, float("nan"))],
+        "k int, a array<int>, s struct<i:int,t:string>, b boolean, x double",
+    )
+    got = {r.column_name: r for r in ops.profile_table(df, "t", ["k"]).collect()}
+    assert [got["a"][f"sample_{n}"] for n in (1, 2, 3)] == ["[9]", "[1]", "[2]"]
+    assert (got["s"].distinct_count, got["b"].distinct_count, got["b"].null_count) == (2, 2, 1)
+    assert ops.profile_table(df.limit(0), "t", ["k"]).where("null_count = 0 and distinct_count = 0 and min_val is null").count() == 5
+
+
+def test_states_of_parts_merge_to_the_profile_of_the_union(spark, mixed, tmp_path):
+    from tradewind.operators import profile as states
+
+    more = spark.range(20_000).selectExpr(
+        "int(id + 6) as id", "id % 5000 as n", "'v' || (id % 7000) as s", "timestamp_seconds(id * 86400) as t",
+        "cast(id % 100 as decimal(10,2)) as m", "cast(null as string) as nothing", "id / 3.0D as x",
+    )
+    for part, df in (("a", mixed), ("b", more), ("b", more.limit(0)), ("b", more), ("c", mixed.limit(0))):
+        states.store_profile_state(df, f"{tmp_path}/s", part, ["id"])
+    found = states.profile_from_states(states.read_profile_states(spark, f"{tmp_path}/s"), mixed.schema, "u")
+    got = {r.column_name: r.asDict() for r in found.collect()}
+    want = {r.column_name: r.asDict() for r in ops.profile_table(mixed.unionByName(more), "u", ["id"]).collect()}
+    assert got.keys() == want.keys()
+    for name, row in want.items():
+        exact = {k: v for k, v in row.items() if k != "distinct_count"}
+        assert {k: got[name][k] for k in exact} == exact
+        assert got[name]["distinct_count"] == pytest.approx(row["distinct_count"], rel=0.03)
+    assert got["id"]["median"] == pytest.approx(10_000, rel=0.04) and got["s"]["median"] is None
+    assert got["x"]["quantile_25"] == pytest.approx(5000 / 3, rel=0.1)
+
+
+def test_an_overflow_in_one_part_stays_an_error_of_the_union(spark, tmp_path):
+    from tradewind.operators import profile as states
+
+    schema = "id int, wide decimal(38,0)"
+    bad = spark.createDataFrame([(1, D("9e37")), (2, D("9e37"))], schema)
+    fine = spark.createDataFrame([(3, D("1")), (4, None)], schema)
+    for part, df in (("a", bad), ("b", fine)):
+        states.store_profile_state(df, f"{tmp_path}/s", part, ["id"])
+    got = {r.column_name: r for r in states.profile_from_states(states.read_profile_states(spark, f"{tmp_path}/s"), bad.schema, "t").collect()}
+    assert got["wide"].extra_stat.startswith("ERROR:") and got["id"].extra_stat == "avg=2.5000"

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import re
 
-from tradewind.checks.queries import CHECKED_RELATIONS, CHOSEN, DECLARED, PROFILE_KEYS
+from tradewind.checks.queries import CHOSEN, DECLARED, PROFILE_KEYS
 from tradewind.checks.testdata import END, MAPPING, MIN_MONTH_ORDERS, START
-from tradewind.schema import PRIMARY_KEYS
+from tradewind.schema import FOREIGN_KEYS, PRIMARY_KEYS
 
 
 def _rounded(value: str, output: str) -> str:
@@ -221,6 +221,20 @@ _SOLD, _BOUGHT = f"seller_key IN ({_CHOSEN})", f"customer_key IN ({_CHOSEN})"
 
 # ---- profile ----
 
+_ROLE_NAMES = {
+    "orders": "m_orders",
+    "order_items": "m_items",
+    "order_payments": "m_payments",
+    "order_reviews": "m_reviews",
+    "customers": "m_customers",
+    "sellers": "m_sellers",
+    "products": "m_products",
+    "product_category_name_translation": "m_translation",
+    "geolocation": "m_geolocation",
+    "leads_qualified": "m_qualified",
+    "leads_closed": "m_closed",
+}
+
 _PROFILED = {
     "customers": {
         "customer_id": "BIGINT",
@@ -229,7 +243,31 @@ _PROFILED = {
         "customer_city": "VARCHAR",
         "customer_state": "VARCHAR",
     },
+    "geolocation": {
+        "geolocation_zip_code_prefix": "INTEGER",
+        "geolocation_lat": "DECIMAL(16,6)",
+        "geolocation_lng": "DECIMAL(17,6)",
+    },
+    "leads_closed": {"mql_id": "BIGINT", "declared_monthly_revenue": "DECIMAL(14,2)"},
+    "leads_qualified": {"mql_id": "BIGINT", "origin": "VARCHAR"},
+    "order_payments": {
+        "order_id": "BIGINT",
+        "payment_type": "VARCHAR",
+        "payment_installments": "INTEGER",
+        "payment_value": "DECIMAL(12,2)",
+    },
+    "order_reviews": {"review_row_id": "BIGINT", "review_id": "BIGINT", "order_id": "BIGINT", "review_score": "INTEGER"},
+    "product_category_name_translation": {
+        "product_category_name": "VARCHAR",
+        "product_category_name_english": "VARCHAR",
+    },
     "products": {"product_id": "BIGINT", "product_category_name": "VARCHAR", "product_weight_g": "INTEGER"},
+    "sellers": {
+        "seller_id": "BIGINT",
+        "seller_zip_code_prefix": "INTEGER",
+        "seller_city": "VARCHAR",
+        "seller_state": "VARCHAR",
+    },
     "order_items": {
         "order_id": "BIGINT",
         "order_item_id": "INTEGER",
@@ -247,7 +285,7 @@ _PROFILED = {
         "order_estimated_delivery_date": "TIMESTAMP",
     },
 }
-_SOURCES = {"customers": "m_customers", "products": "m_products", "order_items": "m_items", "orders": "m_orders"}
+_NEVER_NULL = ("order_status",)
 _FULL_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "nvarchar(MAX)", "TIMESTAMP": "datetime2"}
 
 
@@ -259,8 +297,8 @@ def _profiled_column(table: str, column: str, data_type: str) -> str:
         stat = f"'range_days=' || date_diff('day', MIN({column}), MAX({column}))"
     else:
         shown, stat = "CAST({0} AS VARCHAR)", f"'avg=' || {_avg(column, 'DECIMAL(28,4)')}"
-    full_type = DECLARED[table].get(column, _FULL_TYPES.get(data_type, data_type.lower()))
-    nullable = "FALSE" if column == "order_status" else "TRUE"
+    full_type = DECLARED.get(table, {}).get(column, _FULL_TYPES.get(data_type, data_type.lower()))
+    nullable = "FALSE" if column in _NEVER_NULL else "TRUE"
     keys = ", ".join(PROFILE_KEYS[table])
     samples = ", ".join(
         f"MIN(CASE WHEN place = {k} THEN {shown.format(column)} END) AS sample_{k}" for k in (1, 2, 3)
@@ -271,7 +309,7 @@ def _profiled_column(table: str, column: str, data_type: str) -> str:
           {shown.format(f"MIN({column})")} AS min_val, {shown.format(f"MAX({column})")} AS max_val,
           {samples}, {stat} AS extra_stat
         FROM (SELECT {column}, ROW_NUMBER() OVER (ORDER BY {column} IS NULL, {keys}, {column}) AS place
-              FROM {_SOURCES[table]})"""
+              FROM {_ROLE_NAMES[table]})"""
 
 
 _PROFILE = "\n        UNION ALL".join(
@@ -304,19 +342,6 @@ _SANITY = f"""
 
 # ---- checks ----
 
-_ROLE_NAMES = {
-    "orders": "m_orders",
-    "order_items": "m_items",
-    "order_payments": "m_payments",
-    "order_reviews": "m_reviews",
-    "customers": "m_customers",
-    "sellers": "m_sellers",
-    "products": "m_products",
-    "product_category_name_translation": "m_translation",
-    "geolocation": "m_geolocation",
-    "leads_qualified": "m_qualified",
-    "leads_closed": "m_closed",
-}
 _COUNTS = " UNION ALL ".join(f"SELECT '{name}' AS name, COUNT(*) AS n FROM {role}" for name, role in _ROLE_NAMES.items())
 _SPAN = """COUNT(*) AS order_count, CAST(MIN(order_purchase_timestamp) AS DATE) AS first_order,
           CAST(MAX(order_purchase_timestamp) AS DATE) AS last_order,
@@ -460,6 +485,16 @@ def _checks() -> dict[str, tuple[dict[str, str], str]]:
             "FROM ranked WHERE Revenue_rank <= 10",
         ),
         "top_sellers_by_id": ({}, "SELECT * FROM ranked WHERE Revenue_rank <= 10"),
+        "top_sellers_ties": (
+            {},
+            """SELECT 'Seller ' || Revenue_rank AS Seller_Alias, total_revenue, total_orders, avg_order_value FROM (
+          SELECT CAST(SUM(price) AS DECIMAL(20,2)) AS total_revenue, COUNT(order_id) AS total_orders,
+            CAST(SUM(price) AS DOUBLE) / COUNT(order_id) AS avg_order_value,
+            RANK() OVER (ORDER BY SUM(price) DESC) AS Revenue_rank
+          FROM (SELECT seller_id, MIN(order_id) AS order_id, CAST((seller_id + 2) // 3 AS DECIMAL(12,2)) AS price
+                FROM m_items WHERE seller_id >= 0 GROUP BY seller_id) GROUP BY seller_id)
+        WHERE Revenue_rank <= 10""",
+        ),
         "top_categories_by_volume": (
             {},
             """SELECT COALESCE(c, 'Unknown') AS Category,
@@ -607,7 +642,7 @@ def _checks() -> dict[str, tuple[dict[str, str], str]]:
         WHERE customer_zip_code_prefix NOT IN (SELECT geolocation_zip_code_prefix FROM m_geolocation) GROUP BY 1""",
         ),
         "check_primary_keys": ({}, "\n        UNION ALL".join(map(_checked_key, PRIMARY_KEYS))),
-        "check_foreign_keys": ({}, "\n        UNION ALL".join(_orphans(*relation) for relation in CHECKED_RELATIONS)),
+        "check_foreign_keys": ({}, "\n        UNION ALL".join(_orphans(*relation) for relation in FOREIGN_KEYS)),
         "zip_coverage": (
             {},
             _lost("customer", "JOIN m_orders USING (order_id)") + "\n        UNION ALL" + _lost("seller", ""),

@@ -11,7 +11,10 @@ from tradewind.checks.testdata import END, MIN_MONTH_ORDERS, START, Roles
 from tradewind.functions.distance import planar_distance_km
 from tradewind.functions.text import city_key, normalize_city
 from tradewind.operators import cities, customers, geography, quality, sales, selection, sellers
+from tradewind.plans.baskets import order_seller_lines
+from tradewind.plans.joins import lookup
 from tradewind.schema import FOREIGN_KEYS, PRIMARY_KEYS
+from tradewind.sources.checkpoints import stored
 
 Tables = Mapping[str, DataFrame]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +27,9 @@ DECLARED = {
     "customers": {"customer_city": "nvarchar(9)", "customer_state": "varchar(11)", "customer_id": "int"},
     "products": {"product_id": "smallint", "product_weight_g": "tinyint", "product_category_name": "nvarchar(20)"},
     "order_items": {"price": "decimal(12,1)", "seller_id": "int", "order_id": "int"},
+    "geolocation": {"geolocation_lat": "decimal(16,4)"},
+    "order_payments": {"payment_type": "nvarchar(6)", "payment_installments": "tinyint"},
+    "order_reviews": {"review_score": "tinyint", "review_id": "smallint"},
     "orders": {
         "order_id": "int",
         "order_status": "nvarchar(12)",
@@ -32,16 +38,21 @@ DECLARED = {
         "order_estimated_delivery_date": "datetime2",
     },
 }
+# The eleven tables of the schema, each with columns that order its rows.
 PROFILE_KEYS = {
     "customers": ["customer_id"],
-    "products": ["product_id"],
+    "geolocation": ["geolocation_zip_code_prefix", "geolocation_lat", "geolocation_lng"],
+    "leads_closed": ["mql_id", "declared_monthly_revenue"],
+    "leads_qualified": ["mql_id", "origin"],
     "order_items": ["order_id", "order_item_id", "product_id", "seller_id"],
+    "order_payments": ["order_id", "payment_value"],
+    "order_reviews": ["review_row_id"],
     "orders": ["order_id"],
+    "product_category_name_translation": ["product_category_name"],
+    "products": ["product_id"],
+    "sellers": ["seller_id"],
 }
 
-# The reviews of the generated tables have no order_id.
-CHECKED_RELATIONS = [relation for relation in FOREIGN_KEYS if relation[0] != "order_reviews"]
-
 
 def _geo(t: Tables) -> tuple[DataFrame, ...]:
     return t["orders"], t["order_items"], t["customers"], t["sellers"], t["geolocation"]
@@ -66,12 +77,25 @@ def _point_distances(t: Tables) -> DataFrame:
     points = t["geolocation"].withColumnRenamed("geolocation_zip_code_prefix", "zip_code_prefix")
     km = planar_distance_km("geolocation_lat", "geolocation_lng", "lat", "lng")
     return (
-        points.join(centers, "zip_code_prefix")
+        lookup(points, centers, "zip_code_prefix", spread=["geolocation_lat", "geolocation_lng"])
         .groupBy("zip_code_prefix")
         .agg(F.round(F.min(km), 6).alias("nearest_km"), F.round(F.max(km), 6).alias("farthest_km"))
     )
 
 
+def _cities_on_routes(t: Tables) -> DataFrame:
+    """Routes and cities from one scan of the items, their order lines being stored."""
+    lines = stored(order_seller_lines(*_geo(t)), "order-lines")
+    routes = selection.top_routes(cities.trade_routes(*_geo(t), lines=lines), n=10)
+    return selection.cities_on_routes(routes, cities.city_activity(*_geo(t), lines=lines))
+
+
+def _tied_sales(t: Tables) -> DataFrame:
+    """One sale of every seller, at prices that three sellers share: a tie reaches over rank 10."""
+    sales_of = t["order_items"].where("seller_id >= 0").groupBy("seller_id").agg(F.min("order_id").alias("order_id"))
+    return sales_of.withColumn("price", F.expr("cast((seller_id + 2) div 3 as decimal(12,2))"))
+
+
 def _profile(t: Tables) -> DataFrame:
     return quality.profile_tables({name: t[name] for name in PROFILE_KEYS}, PROFILE_KEYS, DECLARED)
 
@@ -116,6 +140,7 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     # sellers and products
     "top_sellers": lambda t: sellers.top_sellers(t["order_items"]),
     "top_sellers_by_id": lambda t: sellers.top_sellers(t["order_items"], alias=False),
+    "top_sellers_ties": lambda t: sellers.top_sellers(_tied_sales(t)),
     "top_categories_by_volume": lambda t: sellers.top_categories_by_volume(
         t["order_items"], t["products"], t["product_category_name_translation"]
     ),
@@ -180,9 +205,7 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "top_routes_per_city_both": lambda t: selection.top_routes_per_city(
         cities.trade_routes(*_geo(t)), CHOSEN, "both", "total_revenue", 5
     ),
-    "cities_on_routes": lambda t: selection.cities_on_routes(
-        selection.top_routes(cities.trade_routes(*_geo(t)), n=10), cities.city_activity(*_geo(t))
-    ),
+    "cities_on_routes": _cities_on_routes,
     "route_destinations": lambda t: selection.route_destinations(
         selection.top_routes(cities.trade_routes(*_geo(t)), n=40)
     ),
@@ -198,10 +221,10 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
         t["customers"], "customer_zip_code_prefix", t["geolocation"], "geolocation_zip_code_prefix"
     ),
     "check_primary_keys": lambda t: quality.check_primary_keys(t, PRIMARY_KEYS),
-    "check_foreign_keys": lambda t: quality.check_foreign_keys(t, CHECKED_RELATIONS),
+    "check_foreign_keys": lambda t: quality.check_foreign_keys(t, FOREIGN_KEYS),
     "zip_coverage": lambda t: quality.zip_coverage(*_geo(t)),
     "add_surrogate_key": lambda t: quality.add_surrogate_key(
-        t["order_reviews"].drop("review_row_id").withColumn("score_text", F.col("review_score").cast("string")),
+        t["order_reviews"].drop("review_row_id", "order_id").withColumn("score_text", F.col("review_score").cast("string")),
         "review_key",
         ["review_id", "review_score"],
     ),

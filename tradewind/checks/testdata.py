@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Reader = Callable[[str], DataFrame]
@@ -42,11 +42,16 @@ _SCHEMAS = {
 }
 
 
+def _planted(orphan: Column, key: str) -> Column:
+    """A key, or one that no parent has."""
+    return F.when(orphan, -1 - F.col(key)).otherwise(F.col(key))
+
+
 def _orders(table: Reader) -> DataFrame:
     shipped = table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("ship"))
     return table("orders").join(shipped, "o_orderkey", "left").select(
         F.col("o_orderkey").alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
+        _planted(F.col("o_orderkey") % 101 == 7, "o_custkey").alias("customer_id"),
         F.when(F.col("o_orderstatus") == "F", "delivered")
         .when(F.col("o_orderstatus") == "O", "shipped")
         .otherwise("processing")
@@ -59,12 +64,13 @@ def _orders(table: Reader) -> DataFrame:
 
 def _items(table: Reader) -> DataFrame:
     price = F.col("l_extendedprice").cast("decimal(12,2)")
+    order, line = F.col("l_orderkey"), F.col("l_linenumber")
     return table("lineitem").select(
-        F.col("l_orderkey").alias("order_id"),
+        _planted((order % 103 == 5) & (line == 2), "l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("order_item_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_suppkey").alias("seller_id"),
-        price.alias("price"),
+        _planted(F.col("l_partkey") % 107 == 5, "l_partkey").alias("product_id"),
+        _planted((order % 109 == 5) & (line == 3), "l_suppkey").alias("seller_id"),
+        F.when(~((order % 50 == 3) & (line == 1)), price).alias("price"),
         (price * F.col("l_tax").cast("decimal(4,2)")).cast("decimal(12,2)").alias("freight_value"),
     )
 
@@ -77,7 +83,7 @@ def _customers(table: Reader) -> DataFrame:
     name = F.col("n_name")
     return table("customer").join(_places(table), F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("c_custkey").alias("customer_id"),
-        F.col("c_custkey").alias("customer_unique_id"),
+        F.expr("c_custkey div 2").alias("customer_unique_id"),
         F.col("c_nationkey").alias("customer_zip_code_prefix"),
         F.when(F.col("c_custkey") % 3 == 0, name)
         .when(F.col("c_custkey") % 3 == 1, F.lower(name))
@@ -109,27 +115,33 @@ def _products(table: Reader) -> DataFrame:
 
 def _geolocation(table: Reader) -> DataFrame:
     balance = F.col("c_acctbal").cast("decimal(12,2)")
-    return table("customer").where(F.col("c_nationkey") != 24).select(
-        F.col("c_nationkey").alias("geolocation_zip_code_prefix"),
+    zip_code = F.when(F.col("c_nationkey") == 24, 99).otherwise(F.col("c_nationkey"))
+    return table("customer").select(
+        zip_code.alias("geolocation_zip_code_prefix"),
         (balance / 400).cast("decimal(16,6)").alias("geolocation_lat"),
         ((balance / 300).cast("decimal(16,6)") - 50).cast("decimal(17,6)").alias("geolocation_lng"),
     )
 
 
 def _payments(table: Reader) -> DataFrame:
-    return table("orders").select(
-        F.col("o_orderkey").alias("order_id"),
-        F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_orderpriority")).alias("payment_type"),
-        (F.col("o_orderkey") % 10 + 1).cast("int").alias("payment_installments"),
-        F.col("o_totalprice").cast("decimal(12,2)").alias("payment_value"),
+    parts = table("orders").select("*", F.expr("explode(sequence(1L, 1 + o_orderkey % 3)) as part"))
+    return parts.select(
+        _planted(F.col("o_orderkey") % 113 == 5, "o_orderkey").alias("order_id"),
+        F.when(F.col("part") == 2, "voucher")
+        .when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_orderpriority"))
+        .alias("payment_type"),
+        ((F.col("o_orderkey") + F.col("part")) % 10 + 1).cast("int").alias("payment_installments"),
+        F.when(F.col("part") == 1, F.col("o_totalprice")).otherwise(F.col("part") * 10).cast("decimal(12,2)").alias("payment_value"),
     )
 
 
 def _reviews(table: Reader) -> DataFrame:
-    return table("events").where(F.col("event_type").isin("view", "purchase")).select(
-        F.col("event_id").alias("review_row_id"),
-        (F.col("event_id") % 9000).alias("review_id"),
-        (F.col("event_id") % 5 + 1).cast("int").alias("review_score"),
+    event = F.col("event_id")
+    return table("events").select(
+        event.alias("review_row_id"),
+        (event % 9000).alias("review_id"),
+        F.when(event % 97 == 5, -1 - event).otherwise(event % 1000).alias("order_id"),
+        (event % 5 + 1).cast("int").alias("review_score"),
     )
 
 
@@ -137,15 +149,14 @@ def _qualified(table: Reader) -> DataFrame:
     return table("events").where(F.col("event_type") == "signup").select(
         F.col("user_id").alias("mql_id"),
         F.concat(F.lit("origin_"), (F.col("user_id") % 7).cast("string")).alias("origin"),
-    ).distinct()
+    )
 
 
 def _closed(table: Reader) -> DataFrame:
-    return (
-        table("events")
-        .where((F.col("event_type") == "purchase") & (F.col("user_id") % 3 == 0))
-        .groupBy(F.col("user_id").alias("mql_id"))
-        .agg(F.sum(F.col("value").cast("decimal(12,2)")).cast("decimal(14,2)").alias("declared_monthly_revenue"))
+    won = table("events").where((F.col("event_type") == "purchase") & (F.col("user_id") % 3 == 0))
+    return won.select(
+        _planted(F.col("user_id") % 5 == 0, "user_id").alias("mql_id"),
+        F.col("value").cast("decimal(14,2)").alias("declared_monthly_revenue"),
     )
 
 
@@ -201,19 +212,22 @@ class Roles(Mapping[str, DataFrame]):
 # Role tables for the checking engine.
 MAPPING = {
     "m_orders": """
-        SELECT o_orderkey AS order_id, o_custkey AS customer_id,
+        SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 101 = 7 THEN -1 - o_custkey ELSE o_custkey END AS customer_id,
           CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'shipped' ELSE 'processing' END AS order_status,
           o_orderdate AS order_purchase_timestamp, ship AS order_delivered_customer_date,
           o_orderdate + INTERVAL '30' DAY AS order_estimated_delivery_date
         FROM orders LEFT JOIN (SELECT l_orderkey, MIN(l_shipdate) AS ship FROM lineitem GROUP BY l_orderkey) d
           ON l_orderkey = o_orderkey""",
     "m_items": """
-        SELECT l_orderkey AS order_id, l_linenumber AS order_item_id, l_partkey AS product_id, l_suppkey AS seller_id,
-          CAST(l_extendedprice AS DECIMAL(12,2)) AS price,
+        SELECT CASE WHEN l_orderkey % 103 = 5 AND l_linenumber = 2 THEN -1 - l_orderkey ELSE l_orderkey END AS order_id,
+          l_linenumber AS order_item_id,
+          CASE WHEN l_partkey % 107 = 5 THEN -1 - l_partkey ELSE l_partkey END AS product_id,
+          CASE WHEN l_orderkey % 109 = 5 AND l_linenumber = 3 THEN -1 - l_suppkey ELSE l_suppkey END AS seller_id,
+          CASE WHEN l_orderkey % 50 = 3 AND l_linenumber = 1 THEN NULL ELSE CAST(l_extendedprice AS DECIMAL(12,2)) END AS price,
           CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_tax AS DECIMAL(4,2)) AS DECIMAL(12,2)) AS freight_value
         FROM lineitem""",
     "m_customers": """
-        SELECT c_custkey AS customer_id, c_custkey AS customer_unique_id, c_nationkey AS customer_zip_code_prefix,
+        SELECT c_custkey AS customer_id, c_custkey // 2 AS customer_unique_id, c_nationkey AS customer_zip_code_prefix,
           CASE c_custkey % 3 WHEN 0 THEN n_name WHEN 1 THEN LOWER(n_name)
             ELSE CONCAT(' ', REPLACE(n_name, 'A', 'Ã'), ' ') END AS customer_city,
           r_name AS customer_state
@@ -231,24 +245,28 @@ MAPPING = {
         SELECT * FROM (VALUES ('ECONOMY', 'Economy'), ('MEDIUM', 'Medium'), ('STANDARD', 'Standard'),
           ('LARGE', 'Large'), ('PROMO', 'Promo')) AS t(product_category_name, product_category_name_english)""",
     "m_geolocation": """
-        SELECT c_nationkey AS geolocation_zip_code_prefix,
+        SELECT CASE c_nationkey WHEN 24 THEN 99 ELSE c_nationkey END AS geolocation_zip_code_prefix,
           CAST(CAST(c_acctbal AS DECIMAL(12,2)) / 400 AS DECIMAL(16,6)) AS geolocation_lat,
           CAST(CAST(CAST(c_acctbal AS DECIMAL(12,2)) / 300 AS DECIMAL(16,6)) - 50 AS DECIMAL(17,6)) AS geolocation_lng
-        FROM customer WHERE c_nationkey <> 24""",
+        FROM customer""",
     "m_payments": """
-        SELECT o_orderkey AS order_id,
-          CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN NULL ELSE o_orderpriority END AS payment_type,
-          CAST(1 + o_orderkey % 10 AS INTEGER) AS payment_installments,
-          CAST(o_totalprice AS DECIMAL(12,2)) AS payment_value
-        FROM orders""",
+        SELECT CASE WHEN o_orderkey % 113 = 5 THEN -1 - o_orderkey ELSE o_orderkey END AS order_id,
+          CASE WHEN part = 2 THEN 'voucher' WHEN o_orderpriority = '4-NOT SPECIFIED' THEN NULL
+            ELSE o_orderpriority END AS payment_type,
+          CAST(1 + (o_orderkey + part) % 10 AS INTEGER) AS payment_installments,
+          CAST(CASE WHEN part = 1 THEN o_totalprice ELSE part * 10 END AS DECIMAL(12,2)) AS payment_value
+        FROM (SELECT *, UNNEST(generate_series(1, 1 + o_orderkey % 3)) AS part FROM orders)""",
     "m_reviews": """
-        SELECT event_id AS review_row_id, event_id % 9000 AS review_id, CAST(1 + event_id % 5 AS INTEGER) AS review_score
-        FROM events WHERE event_type IN ('view', 'purchase')""",
+        SELECT event_id AS review_row_id, event_id % 9000 AS review_id,
+          CASE WHEN event_id % 97 = 5 THEN -1 - event_id ELSE event_id % 1000 END AS order_id,
+          CAST(1 + event_id % 5 AS INTEGER) AS review_score
+        FROM events""",
     "m_qualified": """
-        SELECT DISTINCT user_id AS mql_id, CONCAT('origin_', CAST(user_id % 7 AS VARCHAR)) AS origin
+        SELECT user_id AS mql_id, CONCAT('origin_', CAST(user_id % 7 AS VARCHAR)) AS origin
         FROM events WHERE event_type = 'signup'""",
     "m_closed": """
-        SELECT user_id AS mql_id, CAST(SUM(CAST(value AS DECIMAL(12,2))) AS DECIMAL(14,2)) AS declared_monthly_revenue
-        FROM events WHERE event_type = 'purchase' AND user_id % 3 = 0 GROUP BY user_id""",
+        SELECT CASE WHEN user_id % 5 = 0 THEN -1 - user_id ELSE user_id END AS mql_id,
+          CAST(value AS DECIMAL(14,2)) AS declared_monthly_revenue
+        FROM events WHERE event_type = 'purchase' AND user_id % 3 = 0""",
     "m_state_names": "SELECT r_name AS state_code, CONCAT('Region ', r_name) AS state_name FROM region",
 }

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tradewind.functions.text import city_key
 from tradewind.operators.geography import city_centroids, counted_observations
 from tradewind.plans.baskets import LINE_PARTS, ROUTE_PARTS, order_seller_lines, weighted_lines
-from tradewind.plans.joins import lookup
 
 THRESHOLDS = ("raw", "merged")
 ROUTE = ["seller_city", "seller_state", "customer_city", "customer_state"]
@@ -76,9 +75,11 @@ def route_stats(
     geolocation: DataFrame,
     min_orders: int = 1,
     grain: str = "pair",
+    lines: DataFrame | None = None,
 ) -> DataFrame:
     """Delivered orders, mean distance and freight and revenue per raw pair of cities."""
-    lines = order_seller_lines(orders, items, customers, sellers, geolocation)
+    if lines is None:
+        lines = order_seller_lines(orders, items, customers, sellers, geolocation)
     chosen = weighted_lines(lines, grain, ROUTE_PARTS).where("seller_known")
     return _statistics(chosen, ROUTE, "total_revenue", min_orders)
 
@@ -153,17 +154,20 @@ def city_activity(
     min_orders: int = 5,
     grain: str = "pair",
     threshold: str = "raw",
+    lines: DataFrame | None = None,
 ) -> DataFrame:
     """One row per city with its supply and its demand, busiest seller city first.
 
     ``threshold="raw"`` applies ``min_orders`` to each spelling before merging, as
     published; ``"merged"`` applies it to each side of the merged city. Both sides
-    come from one pass over the order lines.
+    come from one pass over the order lines. ``lines`` takes those of ``order_seller_lines``
+    where another statistic has them already.
     """
     if threshold not in THRESHOLDS:
         raise ValueError(f"threshold must be one of {THRESHOLDS}, not {threshold!r}")
     raw_min, merged_min = (min_orders, 1) if threshold == "raw" else (1, min_orders)
-    lines = order_seller_lines(orders, items, customers, sellers, geolocation)
+    if lines is None:
+        lines = order_seller_lines(orders, items, customers, sellers, geolocation)
     merged = (
         _both_sides(lines, grain, raw_min)
         .withColumn("city_key", city_key(F.col("city"), F.col("state")))
@@ -218,9 +222,10 @@ def trade_routes(
     geolocation: DataFrame,
     min_orders: int = 1,
     grain: str = "pair",
+    lines: DataFrame | None = None,
 ) -> DataFrame:
     """Seller-city to customer-city routes merged over spellings, busiest first."""
-    raw = route_stats(orders, items, customers, sellers, geolocation, min_orders, grain)
+    raw = route_stats(orders, items, customers, sellers, geolocation, min_orders, grain, lines)
     merged = (
         raw.withColumns(
             {
@@ -238,8 +243,8 @@ def trade_routes(
             f"city_key as {side}_key", f"round(lat, 6) as {side}_lat", f"round(lng, 6) as {side}_lng"
         )
 
-    located = lookup(merged, ends("seller"), "seller_key", spread=["customer_key"])
-    located = lookup(located, ends("customer"), "customer_key", spread=["seller_key"])
+    # A city has at most as many routes as there are cities, so no key is hot.
+    located = merged.join(ends("seller"), "seller_key").join(ends("customer"), "customer_key")
     return located.select(
         "shown.seller_city",
         "shown.seller_state",

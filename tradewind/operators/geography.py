@@ -44,7 +44,7 @@ def order_geo(
     shops = placed_sellers(sellers, geolocation).where("seller_placed").drop("seller_placed")
     sold = items.select("order_id", "order_item_id", "seller_id", "price", "freight_value")
     return (
-        lookup(sold, shops, "seller_id", spread=["order_id", "order_item_id"])
+        lookup(sold, shops, "seller_id", spread=["order_id", "order_item_id"], sized_by=sellers)
         .join(destinations(orders, customers, geolocation), "order_id")
         .select(
             "order_id",

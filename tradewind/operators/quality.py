@@ -1,4 +1,4 @@
-"""Profiles, sanity rules, key checks and coverage."""
+"""Sanity rules over profiles, key checks and coverage."""
 
 from __future__ import annotations
 
@@ -7,180 +7,24 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tradewind.operators.profile import PROFILE_COLUMNS, contains_unordered, profile_table, profile_tables, quoted
 from tradewind.sources.checkpoints import checkpointed
 
-PROFILE_COLUMNS = [
-    "table_name",
-    "column_name",
-    "full_type",
-    "nullable",
-    "null_count",
-    "distinct_count",
-    "min_val",
-    "max_val",
-    "sample_1",
-    "sample_2",
-    "sample_3",
-    "extra_stat",
-    "sanity_check",
+__all__ = [
+    "PROFILE_COLUMNS",
+    "add_surrogate_key",
+    "check_foreign_key",
+    "check_foreign_keys",
+    "check_primary_key",
+    "check_primary_keys",
+    "primary_key_violations",
+    "profile_report",
+    "profile_table",
+    "profile_tables",
+    "sanity_rules",
+    "zip_coverage",
 ]
-SAMPLES = 3
-TEXT_WIDTH = 100
-
-_TYPE_NAMES = {
-    T.ByteType: "tinyint",
-    T.ShortType: "smallint",
-    T.IntegerType: "int",
-    T.LongType: "bigint",
-    T.FloatType: "real",
-    T.DoubleType: "float",
-    T.StringType: "nvarchar(MAX)",
-    T.BooleanType: "bit",
-    T.DateType: "date",
-    T.TimestampType: "datetime2",
-    T.TimestampNTZType: "datetime2",
-    T.BinaryType: "varbinary",
-}
-_UNORDERED = (T.MapType, T.VariantType)
-_TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
-
-
-def _type_name(data_type: T.DataType) -> str:
-    return _TYPE_NAMES.get(type(data_type), data_type.simpleString())
-
-
-def _contains_unordered(data_type: T.DataType) -> bool:
-    if isinstance(data_type, T.ArrayType):
-        return _contains_unordered(data_type.elementType)
-    if isinstance(data_type, T.StructType):
-        return any(_contains_unordered(field.dataType) for field in data_type)
-    return isinstance(data_type, _UNORDERED)
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def _text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _shown(value: str, data_type: T.DataType) -> str:
-    """A value as profile text."""
-    if isinstance(data_type, _TEMPORAL):
-        return f"date_format({value}, 'yyyy-MM-dd HH:mm:ss')"
-    if isinstance(data_type, T.NumericType):
-        return f"string({value})"
-    return f"left(string({value}), {TEXT_WIDTH})"
-
-
-def _statistic(data_type: T.DataType) -> str:
-    """Mean, span in days or longest text, as an aggregate over counted values."""
-    if isinstance(data_type, T.NumericType):
-        exact = "value" if isinstance(data_type, T.FractionalType) else "cast(value as decimal(20,0))"
-        mean = f"double(sum({exact} * copies)) / nullif(sum(if(value is null, 0, copies)), 0)"
-        return f"'avg=' || cast({mean} as decimal(28,4))"
-    if isinstance(data_type, _TEMPORAL):
-        return "'range_days=' || datediff(to_date(max(value)), to_date(min(value)))"
-    return "'max_len=' || max(length(rtrim(string(value))))"
-
-
-def _measured(df: DataFrame, columns: list[str], data_type: T.DataType, approximate: bool) -> DataFrame:
-    """Profile measures of all columns of one type from one scan of those columns.
-
-    Columns are unpivoted and counted per distinct value, so repeated values reduce
-    map-side and every measure, the exact distinct count included, comes from the
-    counted values.
-    """
-    cells = ", ".join(f"struct({_text(c)} as column_name, {_quoted(c)} as value)" for c in columns)
-    named = df.selectExpr(f"inline(array({cells}))")
-    if approximate:
-        counted, distinct = named.selectExpr("*", "1L as copies"), "approx_count_distinct(value)"
-    else:
-        counted = named.groupBy("column_name", "value").agg(F.expr("count(1) as copies"))
-        distinct = "count(value)"
-    return counted.groupBy("column_name").agg(
-        F.expr("sum(if(value is null, copies, 0)) as null_count"),
-        F.expr(f"{distinct} as distinct_count"),
-        F.expr(f"{_shown('min(value)', data_type)} as min_val"),
-        F.expr(f"{_shown('max(value)', data_type)} as max_val"),
-        F.expr(f"{_statistic(data_type)} as extra_stat"),
-    )
-
-
-def _sampled(df: DataFrame, column: str, data_type: T.DataType, key: list[str]) -> DataFrame:
-    """Three non-null values of a column: those of the first rows by key, or any without a key."""
-    name = _quoted(column)
-    order = [_quoted(k) for k in dict.fromkeys([*key, column])]
-    present = df.where(f"{name} is not null").select(*order)
-    first = present.orderBy(*order).limit(SAMPLES) if key else present.limit(SAMPLES)
-    # the window sees the three limited rows only
-    place = f"row_number() over (order by {', '.join(order)})"
-    return (
-        first.selectExpr(f"{_shown(name, data_type)} as sample", f"{place} as place")
-        .selectExpr(
-            f"{_text(column)} as column_name",
-            *[f"if(place = {k}, sample, null) as sample_{k}" for k in range(1, SAMPLES + 1)],
-        )
-    )
-
-
-def profile_table(
-    df: DataFrame,
-    table: str,
-    key: list[str] | None = None,
-    declared: dict[str, str] | None = None,
-    approximate: bool = False,
-) -> DataFrame:
-    """One row of 13 fields per column of a table.
-
-    ``key`` makes the samples those of the first rows in key order; without it they
-    are any three rows. ``declared`` overrides the type name of columns, for the
-    sanity rules. ``approximate`` trades the exact distinct count for a sketch.
-    A column of a type without an order becomes an ERROR row. The null count is the
-    real one.
-    """
-    declared = declared or {}
-    by_type: dict[T.DataType, list[str]] = {}
-    listed = []
-    for field in df.schema.fields:
-        failed = _contains_unordered(field.dataType)
-        if not failed:
-            by_type.setdefault(field.dataType, []).append(field.name)
-        full_type = declared.get(field.name, _type_name(field.dataType))
-        error = f"ERROR: type {field.dataType.simpleString()} has no order" if failed else None
-        listed.append((field.name, full_type, None if failed else field.nullable, error, "ERROR" if failed else None))
-    columns = df.sparkSession.createDataFrame(
-        listed, "column_name string, full_type string, nullable boolean, extra_stat string, sanity_check string"
-    )
-    pieces = [columns]
-    for data_type, names in by_type.items():
-        pieces.append(_measured(df, names, data_type, approximate))
-        pieces += [_sampled(df, name, data_type, key or []) for name in names]
-    # every field of a column comes from one piece; NULL elsewhere
-    joined = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), pieces)
-    for name in PROFILE_COLUMNS[1:]:
-        if name not in joined.columns:
-            joined = joined.withColumn(name, F.lit(None).cast("string"))
-    return (
-        joined.groupBy("column_name")
-        .agg(*[F.max(name).alias(name) for name in PROFILE_COLUMNS[2:]])
-        .select(F.lit(table).alias("table_name"), *PROFILE_COLUMNS[1:])
-    )
-
-
-def profile_tables(
-    tables: dict[str, DataFrame],
-    keys: dict[str, list[str]] | None = None,
-    declared: dict[str, dict[str, str]] | None = None,
-    approximate: bool = False,
-) -> DataFrame:
-    """The profiles of several tables together; ``keys`` and ``declared`` are per table."""
-    keys, declared = keys or {}, declared or {}
-    profiles = [profile_table(df, name, keys.get(name), declared.get(name), approximate) for name, df in tables.items()]
-    return reduce(DataFrame.unionByName, profiles)
 
 
 def _whole_number(text: Column, width: str = "bigint") -> Column:
@@ -218,7 +62,7 @@ def sanity_rules(profile: DataFrame) -> DataFrame:
 
     Of several rules that fire the last one listed counts, and errors outrank all.
     """
-    # Ranges of the integer types and of plausible dates.
+    # Texts of the warnings, ranges of the integer types and of plausible dates.
     rules = [
         _too_long("nvarchar"),
         _too_long("varchar"),
@@ -262,8 +106,8 @@ def profile_report(profile: DataFrame) -> DataFrame:
 
 def check_primary_key(df: DataFrame, table: str, key: list[str]) -> DataFrame:
     """Rows, distinct keys, surplus rows and rows with a NULL in the key, as one row."""
-    null_key = reduce(lambda a, b: a | b, [F.col(_quoted(name)).isNull() for name in key])
-    counted = df.groupBy(*[_quoted(name) for name in key]).agg(F.count(F.lit(1)).alias("copies"))
+    null_key = reduce(lambda a, b: a | b, [F.col(quoted(name)).isNull() for name in key])
+    counted = df.groupBy(*[quoted(name) for name in key]).agg(F.count(F.lit(1)).alias("copies"))
     return counted.select(null_key.alias("null_key"), "copies").agg(
         F.lit(table).alias("table_name"),
         F.lit(",".join(key)).alias("key_columns"),
@@ -281,19 +125,19 @@ def check_primary_keys(tables: Mapping[str, DataFrame], keys: Mapping[str, list[
 
 def primary_key_violations(df: DataFrame, key: list[str]) -> DataFrame:
     """Keys that occur more than once or hold a NULL, with their number of rows."""
-    null_key = reduce(lambda a, b: a | b, [F.col(_quoted(name)).isNull() for name in key])
-    counted = df.groupBy(*[_quoted(name) for name in key]).agg(F.count(F.lit(1)).alias("row_count"))
+    null_key = reduce(lambda a, b: a | b, [F.col(quoted(name)).isNull() for name in key])
+    counted = df.groupBy(*[quoted(name) for name in key]).agg(F.count(F.lit(1)).alias("row_count"))
     return counted.where((F.col("row_count") > 1) | null_key)
 
 
 def check_foreign_key(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """Non-null child values without a parent, with their number of child rows."""
     used = (
-        child.where(F.col(_quoted(column)).isNotNull())
-        .groupBy(F.col(_quoted(column)).alias("orphan_key"))
+        child.where(F.col(quoted(column)).isNotNull())
+        .groupBy(F.col(quoted(column)).alias("orphan_key"))
         .agg(F.count(F.lit(1)).alias("row_count"))
     )
-    known = parent.select(F.col(_quoted(parent_column)).alias("orphan_key")).distinct()
+    known = parent.select(F.col(quoted(parent_column)).alias("orphan_key")).distinct()
     return used.join(known, "orphan_key", "left_anti")
 
 
@@ -362,7 +206,7 @@ def add_surrogate_key(df: DataFrame, name: str, order_by: list[str]) -> DataFram
     the same partitions. A row's number is its place in its partition plus the rows
     of all partitions before it; only one count per partition is ranked centrally.
     """
-    hashable = [_quoted(f.name) for f in df.schema.fields if not _contains_unordered(f.dataType)]
+    hashable = [quoted(f.name) for f in df.schema.fields if not contains_unordered(f.dataType)]
     tie = F.expr(f"xxhash64({', '.join(hashable)})")  # splits a frequent order value over partitions
     ordered = checkpointed(df.orderBy(*order_by, tie)).withColumn("_place", F.monotonically_increasing_id())
     partition = F.shiftright("_place", _ROW_BITS)

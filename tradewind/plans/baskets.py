@@ -128,7 +128,9 @@ def order_seller_lines(
         F.expr("cast(sum(freight) as decimal(18,2)) as freight"),
         F.expr("count(freight) as freight_n"),
     )
-    placed = lookup(collapsed, shops, "seller_id", spread=["order_id"], how="left")
+    placed = lookup(
+        collapsed, shops, "seller_id", spread=["order_id"], how="left", sized_by=sellers, counted=items
+    )
     return (
         placed.join(destinations(orders, customers, geolocation, status), "order_id")
         .withColumn("distance_km", planar_distance_km("customer_lat", "customer_lng", "seller_lat", "seller_lng"))
