@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradewind.schema import TABLES
+from tradewind.sources.records import csv_records
 
 _RAGGED = "_corrupt_record"
 
@@ -35,12 +36,14 @@ def _typed(text: Column, data_type: T.DataType) -> Column:
 
 
 def read_csv_table(
-    spark: SparkSession, path: str, schema: T.StructType, header: bool = True, multi_line: bool = True
+    spark: SparkSession, path: str, schema: T.StructType, header: bool = True, multi_line: bool = True, whole_files: bool = False
 ) -> CsvTable:
     """One CSV table, typed by ``schema``.
 
-    With ``multi_line`` cells may hold quoted newlines, and every file is one task. Without
-    it large files are split.
+    With ``multi_line`` cells may hold quoted newlines; large files are split all the same, by
+    ``csv_records``, which takes lines to end in a newline, alone or after a carriage return, and
+    every quote to open, close or (doubled) stand in a quoted cell. ``whole_files`` reads files that
+    break these rules, each in one task.
 
     Columns are found by the names in the header, whatever their order, and others are
     left out; without a header the file holds the columns of ``schema`` in order. Cells
@@ -48,20 +51,18 @@ def read_csv_table(
     notation. A row with a cell that does not cast, without a required value or with
     the wrong number of cells goes to quarantine, as text.
     """
-    reader = (
-        spark.read.option("header", header)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _RAGGED)
-    )
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _RAGGED}
+    reader = spark.read.option("header", header).option("multiLine", multi_line).options(**options)
     names = reader.csv(path).columns if header else schema.names
     missing = [name for name in schema.names if name not in names]
     if missing:
         raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
     as_text = T.StructType([T.StructField(name, T.StringType()) for name in [*names, _RAGGED]])
-    raw = reader.schema(as_text).csv(path)
+    if multi_line and not whole_files:
+        parsed = F.from_csv("record", ", ".join(f"`{f.name.replace('`', '``')}` string" for f in as_text), options)
+        raw = csv_records(spark, path, header).select(parsed.alias("row")).select("row.*")
+    else:
+        raw = reader.schema(as_text).csv(path)
     bad = F.col(_RAGGED).isNotNull()
     for field in schema:
         text, value = F.col(field.name), _typed(F.col(field.name), field.dataType)
