@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def sample_by_hash(rows: DataFrame, label: str, n: int) -> DataFrame:
+    """(``label``, ``hash``, ``place``) of the ``n`` least hashes of every label among distinct ones.
+
+    A bound on the hash, taken from each label's number of distinct hashes, keeps all other rows
+    in their tasks, so about ``2 * n`` a label are ranked, however many there are.
+    """
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("distinct"))
+    span = float(1 << 64)
+    # Twice as many as needed are expected below the bound.
+    bound = F.expr(f"-9.223372036854775808E18D + least(1D, {2 * n + 50}D / distinct) * {span!r}D")
+    near = rows.join(F.broadcast(counts), label).where(F.col("hash").cast("double") <= bound)  # a row for each label
+    place = F.row_number().over(Window.partitionBy(label).orderBy("hash"))
+    return near.select(label, "hash", place.alias("place")).where(F.col("place") <= n)
+
+
 def map_batches(
     df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: T.StructType
 ) -> DataFrame:

@@ -17,13 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradewind.llm.common import held_out, map_batches
+from tradewind.llm.common import held_out, map_batches, sample_by_hash, written
 
-SAMPLE_TEXTS = 1000  # of each label; those with the least hash of their text
+SAMPLE_TEXTS = 1000  # distinct ones of each label; those with the least hash
 SAMPLE_CHARS = 20_000  # longer texts are not trained on
 VOCABULARY = 1500  # words and beginnings that tell the labels apart best, besides the identity terms
 STEMS = (5, 7)  # lengths of beginnings
@@ -166,15 +166,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
     )
-    counts = {r.toxic: r["count"] for r in learnable.groupBy("toxic").count().collect()}
-    by_hash = Window.partitionBy("toxic").orderBy(F.xxhash64("text"), "text")
+    # Texts are found by their hashes: only ids and hashes are shuffled, then the few chosen texts are read.
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).where(~held_out(F.col("doc_id")))
+    texts = texts.where(F.length("text") <= SAMPLE_CHARS)
+    labelled = texts.select("doc_id", "hash").join(learnable, "doc_id")
+    found = written(labelled.groupBy("toxic", "hash").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("doc_id")), "labelled")
+    counts = {r.toxic: r["rows"] for r in found.groupBy("toxic").agg(F.sum("rows").alias("rows")).collect()}
+    chosen = sample_by_hash(found, "toxic", SAMPLE_TEXTS).join(found, ["toxic", "hash"])
     sample = (
-        docs.select("doc_id", "text")
-        .where(F.length("text") <= SAMPLE_CHARS)
-        .where(~held_out(F.col("doc_id")))
-        .join(learnable, "doc_id")
-        .select("toxic", "text", F.row_number().over(by_hash).alias("place"))
-        .where(F.col("place") <= SAMPLE_TEXTS)
+        texts.join(F.broadcast(chosen), ["doc_id", "hash"])  # SAMPLE_TEXTS for each of two labels
+        .groupBy("toxic", "place")
+        .agg(F.first("text").alias("text"))
     )
     rows = sample.orderBy("toxic", "place").collect()  # SAMPLE_TEXTS of SAMPLE_CHARS for each label
     share = counts.get(1, 0) / max(sum(counts.values()), 1)
