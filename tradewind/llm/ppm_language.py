@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradewind.llm.common import held_out, map_batches
+from tradewind.llm.common import held_out, map_batches, sample_by_hash, written
 
 ORDER = 3
 SAMPLE_TEXTS = 300  # of each language; those with the least hash of their text
@@ -106,11 +106,12 @@ class Model:
 def training_texts(docs: DataFrame) -> dict[str, list[bytes]]:
     """Samples of every language from rows that are not held out; at most ``SAMPLE_TEXTS`` texts each."""
     learnable = docs.where("text is not null and lang is not null").where(~held_out(F.col("doc_id")))
-    by_hash = Window.partitionBy("lang").orderBy("hash", "text")
+    texts = learnable.select("lang", F.xxhash64("text").alias("hash"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    chosen = sample_by_hash(written(texts.select("lang", "hash").distinct(), "languages"), "lang", SAMPLE_TEXTS)
     sample = (
-        learnable.select("lang", F.xxhash64("text").alias("hash"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-        .select("lang", "text", F.row_number().over(by_hash).alias("place"))
-        .where(F.col("place") <= SAMPLE_TEXTS)
+        texts.join(F.broadcast(chosen), ["lang", "hash"])  # SAMPLE_TEXTS for each language
+        .groupBy("lang", "place")
+        .agg(F.first("text").alias("text"))
     )
     found: dict[str, list[bytes]] = {}
     for row in sample.orderBy("lang", "place").collect():  # SAMPLE_TEXTS of SAMPLE_CHARS for each language
