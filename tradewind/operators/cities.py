@@ -16,27 +16,37 @@ ROUTE = ["seller_city", "seller_state", "customer_city", "customer_state"]
 _TAKES_PART = {"seller": "placed and seller_located", "customer": "customer_located"}
 
 
-def _statistics(lines: DataFrame, names: list[str], revenue: str, min_orders: int) -> DataFrame:
-    """Distinct orders and means per group of names.
+# What a group of orders adds up to; sums of disjoint sets of orders add up in turn.
+SUMS = ("order_count", "value", "freight", "freight_n", "distance", "distance_n")
+
+
+def group_sums(lines: DataFrame, names: list[str]) -> DataFrame:
+    """Distinct orders and sums per group of names.
 
     The first aggregate runs on the partitioning by order that the lines already
     have; after it a row is one distinct order of the group.
     """
-    per_order = lines.groupBy("order_id", *names).agg(
-        *[F.sum(part).alias(part) for part in ("value", "freight", "freight_n", "distance", "distance_n")]
+    per_order = lines.groupBy("order_id", *names).agg(*[F.sum(part).alias(part) for part in SUMS[1:]])
+    return per_order.groupBy(*names).agg(
+        F.count(F.lit(1)).alias("order_count"), *[F.sum(part).alias(part) for part in SUMS[1:]]
     )
-    return (
-        per_order.groupBy(*names)
-        .agg(
-            F.expr("count(1) as order_count"),
-            F.expr(f"cast(sum(value) as decimal(20,2)) as {revenue}"),
-            F.expr("cast(double(sum(freight)) / nullif(sum(freight_n), 0) as decimal(12,2)) as avg_freight"),
-            F.expr("cast(sum(distance) / nullif(sum(distance_n), 0) as decimal(12,2)) as avg_distance_km"),
-        )
-        .where(F.col("order_count") >= min_orders)
+
+
+def averaged(sums: DataFrame, names: list[str], revenue: str, min_orders: int) -> DataFrame:
+    """Group sums as the published statistics, of groups with enough orders."""
+    return sums.where(F.col("order_count") >= min_orders).selectExpr(
+        *names,
+        "order_count",
+        f"cast(value as decimal(20,2)) as {revenue}",
+        "cast(double(freight) / nullif(freight_n, 0) as decimal(12,2)) as avg_freight",
+        "cast(distance / nullif(distance_n, 0) as decimal(12,2)) as avg_distance_km",
     )
 
 
+def _statistics(lines: DataFrame, names: list[str], revenue: str, min_orders: int) -> DataFrame:
+    return averaged(group_sums(lines, names), names, revenue, min_orders)
+
+
 def seller_city_stats(
     orders: DataFrame,
     items: DataFrame,
@@ -80,8 +90,7 @@ def route_stats(
     """Delivered orders, mean distance and freight and revenue per raw pair of cities."""
     if lines is None:
         lines = order_seller_lines(orders, items, customers, sellers, geolocation)
-    chosen = weighted_lines(lines, grain, ROUTE_PARTS).where("seller_known")
-    return _statistics(chosen, ROUTE, "total_revenue", min_orders)
+    return averaged(route_sums(lines, grain), ROUTE, "total_revenue", min_orders)
 
 
 def _merged_sums(revenue: str) -> list[Column]:
@@ -129,8 +138,11 @@ def merge_city_stats(
     return merged if min_orders is None else merged.where(F.col("order_count") >= min_orders)
 
 
-def _both_sides(lines: DataFrame, grain: str, min_orders: int) -> DataFrame:
-    """Seller and buyer statistics per raw city in one pass, told apart by ``side``."""
+CITY = ["side", "city", "state"]
+
+
+def side_sums(lines: DataFrame, grain: str = "pair") -> DataFrame:
+    """Sums of sellers and buyers per raw city in one pass, told apart by ``side``."""
     sides = ", ".join(
         f"struct('{side}' as side, {side}_city as city, {side}_state as state, {takes_part} as takes_part)"
         for side, takes_part in _TAKES_PART.items()
@@ -142,7 +154,12 @@ def _both_sides(lines: DataFrame, grain: str, min_orders: int) -> DataFrame:
         )
         .where("takes_part")
     )
-    return _statistics(facing, ["side", "city", "state"], "revenue", min_orders)
+    return group_sums(facing, CITY)
+
+
+def route_sums(lines: DataFrame, grain: str = "pair") -> DataFrame:
+    """Sums per raw pair of cities."""
+    return group_sums(weighted_lines(lines, grain, ROUTE_PARTS).where("seller_known"), ROUTE)
 
 
 def city_activity(
@@ -165,11 +182,23 @@ def city_activity(
     """
     if threshold not in THRESHOLDS:
         raise ValueError(f"threshold must be one of {THRESHOLDS}, not {threshold!r}")
-    raw_min, merged_min = (min_orders, 1) if threshold == "raw" else (1, min_orders)
     if lines is None:
         lines = order_seller_lines(orders, items, customers, sellers, geolocation)
+    return activity_of(side_sums(lines, grain), customers, sellers, geolocation, min_orders, threshold)
+
+
+def activity_of(
+    sums: DataFrame,
+    customers: DataFrame,
+    sellers: DataFrame,
+    geolocation: DataFrame,
+    min_orders: int = 5,
+    threshold: str = "raw",
+) -> DataFrame:
+    """``city_activity`` from the ``side_sums`` of all its orders."""
+    raw_min, merged_min = (min_orders, 1) if threshold == "raw" else (1, min_orders)
     merged = (
-        _both_sides(lines, grain, raw_min)
+        averaged(sums, CITY, "revenue", raw_min)
         .withColumn("city_key", city_key(F.col("city"), F.col("state")))
         .groupBy("city_key", "side")
         .agg(*_merged_sums("revenue"), _shown(["city", "state"]))
@@ -225,7 +254,16 @@ def trade_routes(
     lines: DataFrame | None = None,
 ) -> DataFrame:
     """Seller-city to customer-city routes merged over spellings, busiest first."""
-    raw = route_stats(orders, items, customers, sellers, geolocation, min_orders, grain, lines)
+    if lines is None:
+        lines = order_seller_lines(orders, items, customers, sellers, geolocation)
+    return routes_of(route_sums(lines, grain), customers, sellers, geolocation, min_orders)
+
+
+def routes_of(
+    sums: DataFrame, customers: DataFrame, sellers: DataFrame, geolocation: DataFrame, min_orders: int = 1
+) -> DataFrame:
+    """``trade_routes`` from the ``route_sums`` of all its orders."""
+    raw = averaged(sums, ROUTE, "total_revenue", min_orders)
     merged = (
         raw.withColumns(
             {
