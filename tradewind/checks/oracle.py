@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from tradewind.checks.queries import CHOSEN, DECLARED, PROFILE_KEYS
+from tradewind.checks.queries import CHOSEN, DECLARED, MERGED, PROFILE_KEYS
 from tradewind.checks.testdata import END, MAPPING, MIN_MONTH_ORDERS, START
 from tradewind.schema import FOREIGN_KEYS, PRIMARY_KEYS
 
@@ -410,6 +410,7 @@ def _checks() -> dict[str, tuple[dict[str, str], str]]:
           GROUP BY 1 HAVING COUNT(*) >= {MIN_MONTH_ORDERS})""",
         ),
         "revenue_growth": ({}, "SELECT * FROM growth"),
+        "revenue_growth_bucketed": ({}, "SELECT * FROM growth"),
         "revenue_growth_summary": (
             {},
             " UNION ALL ".join(
@@ -568,10 +569,12 @@ def _checks() -> dict[str, tuple[dict[str, str], str]]:
             _merged("buyers", "customer", "total_spend"),
         ),
         "city_activity": (pair, "SELECT * FROM activity"),
+        "stored_city_activity": (pair, "SELECT * FROM activity"),
         "city_activity_item": (item, "SELECT * FROM activity"),
         "city_activity_merged": (_activity("pairs", 1, 200), "SELECT * FROM activity"),
         "route_stats": ({}, _route_stats("(SELECT * FROM pairs WHERE seller_city IS NOT NULL)")),
         "trade_routes": (routes, "SELECT * FROM routes"),
+        "stored_trade_routes": (routes, "SELECT * FROM routes"),
         "trade_routes_item": (routes_item, "SELECT * FROM routes"),
         "city_search": (
             pair,
@@ -622,6 +625,10 @@ def _checks() -> dict[str, tuple[dict[str, str], str]]:
         FROM busiest QUALIFY ROW_NUMBER() OVER (PARTITION BY customer_key ORDER BY order_count DESC, seller_key) = 1""",
         ),
         "profile_table": ({"profile": _PROFILE}, "SELECT *, CAST(NULL AS VARCHAR) AS sanity_check FROM profile"),
+        "profile_from_states": (
+            {"profile": _PROFILE},
+            f"SELECT * EXCLUDE (distinct_count) FROM profile WHERE table_name IN ({', '.join(repr(name) for name in MERGED)})",
+        ),
         "sanity_rules": ({"profile": _PROFILE}, _SANITY),
         "profile_report": ({"profile": _PROFILE}, _SANITY),
         "check_primary_key": (
@@ -647,6 +654,12 @@ def _checks() -> dict[str, tuple[dict[str, str], str]]:
             {},
             _lost("customer", "JOIN m_orders USING (order_id)") + "\n        UNION ALL" + _lost("seller", ""),
         ),
+        "continue_surrogate_key": (
+            {},
+            """SELECT review_row_id, review_id, review_key FROM m_reviews JOIN (
+          SELECT review_id, ROW_NUMBER() OVER (ORDER BY odd, review_id) AS review_key
+          FROM (SELECT review_id, BOOL_AND(review_row_id % 2 = 1) AS odd FROM m_reviews GROUP BY review_id)) USING (review_id)""",
+        ),
         "add_surrogate_key": (
             {},
             """SELECT review_id, review_score, CAST(review_score AS VARCHAR) AS score_text,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,11 +11,22 @@ from pyspark.sql import functions as F
 from tradewind.checks.testdata import END, MIN_MONTH_ORDERS, START, Roles
 from tradewind.functions.distance import planar_distance_km
 from tradewind.functions.text import city_key, normalize_city
-from tradewind.operators import cities, customers, geography, quality, sales, selection, sellers
+from tradewind.operators import (
+    cities,
+    customers,
+    geography,
+    increments,
+    profile,
+    quality,
+    sales,
+    selection,
+    sellers,
+)
 from tradewind.plans.baskets import order_seller_lines
 from tradewind.plans.joins import lookup
 from tradewind.schema import FOREIGN_KEYS, PRIMARY_KEYS
-from tradewind.sources.checkpoints import stored
+from tradewind.sources.checkpoints import new_folder, stored
+from tradewind.sources.layout import read_bucketed_tables, write_bucketed_tables
 
 Tables = Mapping[str, DataFrame]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +66,10 @@ PROFILE_KEYS = {
 }
 
 
+# Tables whose profile is also merged from states of their parts.
+MERGED = ("order_items", "order_payments", "orders")
+
+
 def _geo(t: Tables) -> tuple[DataFrame, ...]:
     return t["orders"], t["order_items"], t["customers"], t["sellers"], t["geolocation"]
 
@@ -100,6 +116,57 @@ def _profile(t: Tables) -> DataFrame:
     return quality.profile_tables({name: t[name] for name in PROFILE_KEYS}, PROFILE_KEYS, DECLARED)
 
 
+def _month_sums(t: Tables) -> str:
+    """A folder with the sums of all months, stored in two loads."""
+    folder = new_folder(t["orders"].sparkSession, "month-sums")
+    month = increments.month_of("order_purchase_timestamp").alias("month")
+    months = sorted(r.month for r in t["orders"].select(month).distinct().collect())  # one row for each month
+    for part in (months[::2], months[1::2]):
+        increments.store_month_sums(folder, part, *_geo(t))
+    return folder
+
+
+def _stored_routes(t: Tables) -> DataFrame:
+    spark = t["orders"].sparkSession
+    return increments.stored_trade_routes(spark, _month_sums(t), t["customers"], t["sellers"], t["geolocation"])
+
+
+def _stored_cities(t: Tables) -> DataFrame:
+    spark = t["orders"].sparkSession
+    return increments.stored_city_activity(spark, _month_sums(t), t["customers"], t["sellers"], t["geolocation"])
+
+
+def _bucketed_growth(t: Tables) -> DataFrame:
+    """Revenue growth over orders and items in buckets of the order."""
+    spark = t["orders"].sparkSession
+    folder = new_folder(spark, "order-buckets")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    write_bucketed_tables({name: t[name] for name in ("orders", "order_items")}, "order_id", buckets, folder)
+    layout = read_bucketed_tables(spark, folder)
+    return sales.revenue_growth(layout["orders"], layout["order_items"], START, END)
+
+
+def _continued_keys(t: Tables) -> DataFrame:
+    """Numbers of review ids after two loads, that of the even rows and that of all."""
+    reviews = t["order_reviews"].select("review_row_id", "review_id")
+    folder = new_folder(reviews.sparkSession, "review-keys")
+    increments.continue_surrogate_key(reviews.where("review_row_id % 2 = 0"), "review_key", ["review_id"], folder, "even")
+    return increments.continue_surrogate_key(reviews, "review_key", ["review_id"], folder, "all")
+
+
+def _merged_profile(t: Tables) -> DataFrame:
+    """Profiles from states of two parts of each table, without the estimates."""
+    profiles = []
+    for name in MERGED:
+        folder = new_folder(t[name].sparkSession, f"profile-{name}")
+        part = F.pmod(F.xxhash64(*PROFILE_KEYS[name]), F.lit(2))
+        for k in (0, 1):
+            profile.store_profile_state(t[name].where(part == k), folder, str(k), PROFILE_KEYS[name])
+        states = profile.read_profile_states(t[name].sparkSession, folder)
+        profiles.append(profile.profile_from_states(states, t[name].schema, name, DECLARED.get(name)))
+    return reduce(DataFrame.unionByName, profiles).drop("distinct_count", "sanity_check", *profile.QUANTILES)
+
+
 def _both_views(t: Tables) -> DataFrame:
     activity = selection.city_both_metrics(cities.city_activity(*_geo(t)))
     return selection.cities_in_view(activity, "both")
@@ -113,6 +180,7 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "revenue_growth_summary": lambda t: sales.revenue_growth_summary(
         sales.revenue_growth(t["orders"], t["order_items"], START, END)
     ),
+    "revenue_growth_bucketed": _bucketed_growth,
     "payment_method_breakdown": lambda t: sales.payment_method_breakdown(t["order_payments"]),
     "avg_order_value_by_state": lambda t: sales.avg_order_value_by_state(
         t["orders"], t["customers"], t["order_items"], t["state_names"]
@@ -197,6 +265,8 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
         ["weight", "intensity"],
         9,
     ),
+    "stored_trade_routes": _stored_routes,
+    "stored_city_activity": _stored_cities,
     "top_routes": lambda t: selection.top_routes(cities.trade_routes(*_geo(t)), "avg_distance_km", 50),
     "top_routes_per_city": lambda t: selection.top_routes_per_city(cities.trade_routes(*_geo(t)), CHOSEN, "seller", n=5),
     "top_routes_per_city_buyer": lambda t: selection.top_routes_per_city(
@@ -212,6 +282,7 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     # data quality
     "profile_table": _profile,
     "sanity_rules": lambda t: quality.sanity_rules(_profile(t)),
+    "profile_from_states": _merged_profile,
     "profile_report": lambda t: quality.profile_report(quality.sanity_rules(_profile(t))),
     "check_primary_key": lambda t: quality.check_primary_key(
         t["order_items"], "order_items", ["order_id", "order_item_id"]
@@ -223,6 +294,7 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "check_primary_keys": lambda t: quality.check_primary_keys(t, PRIMARY_KEYS),
     "check_foreign_keys": lambda t: quality.check_foreign_keys(t, FOREIGN_KEYS),
     "zip_coverage": lambda t: quality.zip_coverage(*_geo(t)),
+    "continue_surrogate_key": _continued_keys,
     "add_surrogate_key": lambda t: quality.add_surrogate_key(
         t["order_reviews"].drop("review_row_id", "order_id").withColumn("score_text", F.col("review_score").cast("string")),
         "review_key",

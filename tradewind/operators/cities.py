@@ -90,7 +90,7 @@ def route_stats(
     """Delivered orders, mean distance and freight and revenue per raw pair of cities."""
     if lines is None:
         lines = order_seller_lines(orders, items, customers, sellers, geolocation)
-    return averaged(route_sums(lines, grain), ROUTE, "total_revenue", min_orders)
+    return averaged(group_sums(route_lines(lines, grain), ROUTE), ROUTE, "total_revenue", min_orders)
 
 
 def _merged_sums(revenue: str) -> list[Column]:
@@ -141,25 +141,24 @@ def merge_city_stats(
 CITY = ["side", "city", "state"]
 
 
-def side_sums(lines: DataFrame, grain: str = "pair") -> DataFrame:
-    """Sums of sellers and buyers per raw city in one pass, told apart by ``side``."""
+def side_lines(lines: DataFrame, grain: str = "pair") -> DataFrame:
+    """What every line adds to its seller's and its buyer's raw city, told apart by ``side``."""
     sides = ", ".join(
         f"struct('{side}' as side, {side}_city as city, {side}_state as state, {takes_part} as takes_part)"
         for side, takes_part in _TAKES_PART.items()
     )
-    facing = (
+    return (
         weighted_lines(lines, grain, LINE_PARTS)
         .selectExpr(
             "order_id", "value", "freight", "freight_n", "distance", "distance_n", f"inline(array({sides}))"
         )
         .where("takes_part")
     )
-    return group_sums(facing, CITY)
 
 
-def route_sums(lines: DataFrame, grain: str = "pair") -> DataFrame:
-    """Sums per raw pair of cities."""
-    return group_sums(weighted_lines(lines, grain, ROUTE_PARTS).where("seller_known"), ROUTE)
+def route_lines(lines: DataFrame, grain: str = "pair") -> DataFrame:
+    """What every line adds to its raw pair of cities."""
+    return weighted_lines(lines, grain, ROUTE_PARTS).where("seller_known")
 
 
 def city_activity(
@@ -184,7 +183,7 @@ def city_activity(
         raise ValueError(f"threshold must be one of {THRESHOLDS}, not {threshold!r}")
     if lines is None:
         lines = order_seller_lines(orders, items, customers, sellers, geolocation)
-    return activity_of(side_sums(lines, grain), customers, sellers, geolocation, min_orders, threshold)
+    return activity_of(group_sums(side_lines(lines, grain), CITY), customers, sellers, geolocation, min_orders, threshold)
 
 
 def activity_of(
@@ -195,7 +194,7 @@ def activity_of(
     min_orders: int = 5,
     threshold: str = "raw",
 ) -> DataFrame:
-    """``city_activity`` from the ``side_sums`` of all its orders."""
+    """``city_activity`` from the sums of all its ``side_lines``."""
     raw_min, merged_min = (min_orders, 1) if threshold == "raw" else (1, min_orders)
     merged = (
         averaged(sums, CITY, "revenue", raw_min)
@@ -256,13 +255,13 @@ def trade_routes(
     """Seller-city to customer-city routes merged over spellings, busiest first."""
     if lines is None:
         lines = order_seller_lines(orders, items, customers, sellers, geolocation)
-    return routes_of(route_sums(lines, grain), customers, sellers, geolocation, min_orders)
+    return routes_of(group_sums(route_lines(lines, grain), ROUTE), customers, sellers, geolocation, min_orders)
 
 
 def routes_of(
     sums: DataFrame, customers: DataFrame, sellers: DataFrame, geolocation: DataFrame, min_orders: int = 1
 ) -> DataFrame:
-    """``trade_routes`` from the ``route_sums`` of all its orders."""
+    """``trade_routes`` from the sums of all its ``route_lines``."""
     raw = averaged(sums, ROUTE, "total_revenue", min_orders)
     merged = (
         raw.withColumns(

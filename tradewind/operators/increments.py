@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.operators.cities import CITY, ROUTE, SUMS, activity_of, route_sums, routes_of, side_sums
+from tradewind.operators.cities import CITY, ROUTE, SUMS, activity_of, group_sums, route_lines, routes_of, side_lines
 from tradewind.operators.quality import add_surrogate_key
 from tradewind.plans.baskets import order_seller_lines
 from tradewind.sources.checkpoints import stored
 
 MONTH = "order_month"
-KINDS = {"cities": (side_sums, CITY), "routes": (route_sums, ROUTE)}
+KINDS = {"cities": (side_lines, CITY), "routes": (route_lines, ROUTE)}
 
 
 def month_of(moment: str) -> Column:
@@ -33,23 +33,26 @@ def store_month_sums(
 
     An order belongs to the month of its purchase, so distinct orders, values, freights and
     distances of months add up. ``items`` are those of the months' orders at least; where they have
-    an ``order_month`` (the column they are partitioned by) only these months are read. Each
-    month is computed from its own orders, and written by itself: a month that is stored again
-    after a failure is simply replaced.
+    an ``order_month`` (the column they are partitioned by) only these months are read. The months
+    share one pass and replace their partitions, no others; one without orders is emptied.
     """
-    for month in months:
-        bought = orders.where(month_of("order_purchase_timestamp") == month)
-        own = items.where(F.col(MONTH) == month).drop(MONTH) if MONTH in items.columns else items
-        lines = stored(order_seller_lines(bought, own, customers, sellers, geolocation), "month-lines")
-        for kind, (sums, _) in KINDS.items():
-            sums(lines, grain).write.mode("overwrite").parquet(f"{folder}/{kind}/{MONTH}={month}")
+    spark = orders.sparkSession
+    bought = orders.where(month_of("order_purchase_timestamp").isin(months))
+    own = items.where(F.col(MONTH).isin(months)).drop(MONTH) if MONTH in items.columns else items
+    lines = stored(order_seller_lines(bought, own, customers, sellers, geolocation), "month-lines")
+    when = bought.select("order_id", month_of("order_purchase_timestamp").alias(MONTH))
+    named = spark.createDataFrame([(month,) for month in months], f"{MONTH} string")
+    for kind, (parts, names) in KINDS.items():
+        sums = group_sums(parts(lines, grain).join(when, "order_id"), [MONTH, *names])
+        # A row without orders for every month, so that each one's partition is replaced.
+        kept = sums.unionByName(named.withColumn("order_count", F.lit(0).cast("long")), allowMissingColumns=True)
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(f"{folder}/{kind}")
 
 
 def stored_sums(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     """The sums of all stored months, by raw spelling."""
-    names = KINDS[kind][1]
-    months = spark.read.parquet(f"{folder}/{kind}")
-    return months.groupBy(*names).agg(*[F.sum(part).alias(part) for part in SUMS])
+    months = spark.read.parquet(f"{folder}/{kind}").where("order_count > 0")
+    return months.groupBy(*KINDS[kind][1]).agg(*[F.sum(part).alias(part) for part in SUMS])
 
 
 def stored_city_activity(

@@ -32,13 +32,18 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[context.applicationId]
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; it is cleaned with the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back, for results that are used more than once.
 
     Runs a job at once; unlike a checkpoint its columns are pruned by each reader. The folder
     is cleaned with the shared one.
     """
-    folder = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    folder = new_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
