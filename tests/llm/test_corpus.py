@@ -198,15 +198,42 @@ def test_links_of_random_sets_equal_brute_force():
         assert same == [(wanted[a] == wanted[b]) for a, b in itertools.combinations(range(25), 2)]
 
 
-def test_linked_sets_share_a_part():
-    chance = random.Random(5)
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_what_is_needed(percent):
     for size in [*range(1, 60), 200, 999]:
-        a = np.array(sorted({chance.getrandbits(64) for _ in range(size)}), np.uint64)
-        larger = jaccard_join.allowed_difference(size, 90)
-        for extra in range(min(larger, size // 9) + 1):
-            b = np.unique(np.append(a, np.array([chance.getrandbits(64) for _ in range(extra)], np.uint64)))
-            if 100 * len(a) >= 90 * len(b):
-                assert set(jaccard_join.signatures(a, 90).tolist()) & set(jaccard_join.signatures(b, 90).tolist())
+        need = jaccard_join.needed(size, percent)
+        for other in range(size, size * 100 // percent + 1):
+            least = next(c for c in range(size + 1) if 100 * c >= percent * (size + other - c))  # overlap of a link
+            assert least >= need and least >= jaccard_join.needed(other, percent)
+
+
+def test_texts_of_shared_passages_hang_together_in_small_units_only(spark):
+    """Thousands of texts share passages with others in a chain, as a corpus with templates does; few of them link."""
+    chance = random.Random(8)
+    words = [f"w{k}" for k in range(4000)]
+    passages = [" ".join(chance.choices(words, k=12)) for _ in range(300)]
+    texts = {}
+    for k in range(900):
+        own = [passages[k % 300], passages[(k + 1) % 300], passages[(7 * k) % 300]]
+        texts[k] = " ".join([*own, *chance.choices(words, k=60)])
+    for k in range(40):
+        texts[1000 + k] = texts[k] + " end"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = jaccard_join._nodes(docs.selectExpr("doc_id as id", "text"), 5)
+    linkable = jaccard_join._linkable(rows, 80)
+    assert 80 <= linkable.count() <= 470  # most others have too many shingles of their own
+    named = docs.join(linkable, docs["doc_id"] == linkable["id"]).select("node", "text")
+    cells = components(jaccard_join._hanging(jaccard_join._prefixes(jaccard_join._sets(named, 5), 80)))
+    assert max(r["count"] for r in cells.groupBy("root").count().collect()) <= 4
+    found = {r.doc_id: r.component_id for r in jaccard_join.ngram_classes(docs, 5, 80).collect()}
+    assert found == {k: k if k < 1000 else k - 1000 for k in texts}
+
+
+def test_one_of_each_class_takes_any_other_columns(spark):
+    rows = [(1, "a b c d e f", 5, "x", 1), (2, "a b c d e f", 6, "y", 2), (3, "g h i j k l", 7, "z", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _place int, `a.b` string, place int")
+    kept = jaccard_join.one_of_each_class(docs, 5, 80)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
 
 
 def test_components_of_a_chain_and_a_star(spark):

@@ -90,3 +90,58 @@ def test_toxicity_query_scores_as_written_out(spark):
         own = toxicity.features(toxicity.words_of(texts[r.doc_id]))
         z = model.bias + sum(w * own.get(n, 0.0) for n, w in model.weights.items())
         assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9) and r.predicted == (r.score >= 0.3)
+
+
+def test_token_files_take_special_strings_as_the_library_does(spark, tmp_path):
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tradewind.llm import token_files
+    from tradewind.llm.queries import WORD_VOCABULARY
+
+    path = public_tokenizers.path(WORD_VOCABULARY)
+    texts = [
+        "<|endoftext|>", "a<|endoftext|>b c", " <|startoftext|>  x ", "<|ENDOFTEXT|> <|endoftext", "x <|endoftext|><|endoftext|>\ny", "plain",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    token_files.write_token_files(docs, f"{tmp_path}/t", path)
+    found = sorted(token_files.read_token_files(spark, f"{tmp_path}/t").collect())
+    library = Tokenizer.from_file(path)
+    ids = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert [r.n_tokens for r in found] == [len(i) for i in ids]
+    assert [r.ids_crc32 for r in found] == [zlib.crc32(np.array(i, "<u4").tobytes()) for i in ids]
+
+
+def test_pieces_encode_as_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tradewind.llm import token_files
+    from tradewind.llm.queries import WORD_VOCABULARY
+
+    path = public_tokenizers.path(WORD_VOCABULARY)
+    rng = random.Random(9)
+    parts = ["Don't", "..'s", "x2y", "Straße", "ÀÉÎ", "…", "日本", "e\u0301", "\x1c", "\t", "\n", "  ", "½", "<|endoftext|>", "<|x", "'re'd", "\xa0z", "İ"]
+    texts = ["".join(rng.choice([*parts, " ", "a", "B", "9"]) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    got = token_files.Words(path, "<u2").encode(texts)
+    assert [t for t, g, w in zip(texts, got, want) if g != np.array(w.ids, "<u2").tobytes()] == []
+
+
+def test_unbroken_texts_take_time_in_proportion():
+    import time
+
+    from tradewind.llm import pii_crf
+
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+    text = "".join(rng.choices(letters, k=1_000_000)) + " mail jane.doe [at] example [dot] org"
+    began = time.process_time()
+    spans = [segment for start, end in pii_crf.stretches(text) for segment in pii_crf.segments(text, start, end)[1]]
+    field = pii_crf.Field({"email:bias": 1.0})
+    found = [s for start, end in pii_crf.stretches(text) for s in field.best(text, start, end)]
+    assert time.process_time() - began < 20 and spans
+    assert [s for s in found if s[0] == "email" and s[1] >= 1_000_000]
+    assert pii_crf.base_spans(text) == []

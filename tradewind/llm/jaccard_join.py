@@ -6,12 +6,13 @@ a set are one node. Links of nodes are found by T-occurrence search in small col
 with a heap and its long ones probed by binary search (DivideSkip), keeping nodes that
 reach the required overlap.
 
-Cells are chosen so that no link crosses them. With similarity s, sets x and y that link
-differ in at most t = (1 - s) / (1 + s) * (|x| + |y|) shingles. Shingles are dealt by hash
-to t + 2 parts, so two linked sets agree in at least two parts, one of them not empty in
-both unless both have two empty ones. Nodes that agree in a part hang together, and a
-cell is what hangs together. Parts are chosen by class of size, each set being in its own
-class and in that below, as the larger partner.
+Cells are chosen so that no link crosses them, in two exact steps. A set of n shingles that links
+with any other shares at least ``needed(n)`` of them, so it has at most n - needed(n) that no
+other set has. Those of a fixed third of all shingles are counted first, and sets with too many
+are done with: most texts of a corpus. Of the sets that stay, shingles are ordered by the number of
+sets that have them; the first that two linked sets share is among the first n - needed(n) + 1
+of either, its prefix. Nodes that share a shingle of their prefixes hang together, and a cell is what
+hangs together.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ PERCENT = 90
 CELL_SHINGLES = 4 << 20  # shingles of one task's collection; larger cells are split in blocks, each pair of which is one
 WORDS_KEPT = 1 << 20  # distinct words whose hash a worker keeps
 MU = 0.0085  # weight of the long lists in choosing their number
+SAMPLED = (1 << 64) // 3  # shingles below are counted first
 LEADERS = 8  # nodes that a new one is compared with before lists are searched
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -78,40 +80,9 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(total)
 
 
-def allowed_difference(size: int, percent: int) -> int:
-    """Most shingles in which a set linked to a larger one of up to ``size * 100 / percent`` can differ from it."""
-    larger = size * 100 // percent
-    return (100 - percent) * (size + larger) // (100 + percent)
-
-
-@lru_cache(maxsize=2)
-def classes(percent: int) -> list[int]:
-    """Upper sizes of the classes; the partner of a set is in its class or in the next."""
-    tops = [0]
-    while tops[-1] < 1 << 40:
-        tops.append(max(tops[-1] + 1, (tops[-1] + 1) * 100 // percent))
-    return tops
-
-
-def signatures(found: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the parts of a set, for its own class of size and the one below."""
-    tops = classes(percent)
-    own = int(np.searchsorted(tops, len(found)))
-    result = []
-    for level in {own, max(own - 1, 1)}:
-        parts = allowed_difference(tops[level], percent) + 2
-        part = (found >> np.uint64(17)) % np.uint64(parts)
-        order = np.argsort(part, kind="stable")
-        counts = np.bincount(part.astype(np.int64), minlength=parts)
-        starts = np.cumsum(counts) - counts
-        sums = np.zeros(parts, np.uint64)
-        full = counts > 0
-        sums[full] = np.add.reduceat(mixed(found[order] ^ MIX[0]), starts[full])
-        empty = np.flatnonzero(~full)[1:]  # all but the first; see above
-        kept = np.concatenate([np.flatnonzero(full), empty])
-        seed = np.uint64(level << 40) + kept.astype(np.uint64)
-        result.append(mixed(sums[kept] * MIX[1] + mixed(seed * MIX[2] + MIX[0])))
-    return np.concatenate(result).view(np.int64)
+def needed(size: int, percent: int) -> int:
+    """Shingles that a set shares at least with any that it links to."""
+    return -(-percent * size // 100)
 
 
 def set_key(found: np.ndarray) -> int:
@@ -247,36 +218,98 @@ NODES = T.StructType(
         T.StructField("id", T.LongType()),
         T.StructField("n_shingles", T.LongType()),
         T.StructField("node", T.LongType()),
-        T.StructField("parts", T.ArrayType(T.LongType())),
+        T.StructField("sample", T.ArrayType(T.LongType())),
     ]
 )
+SETS = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _nodes(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate([*parts, np.empty(0, np.uint64)]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(flat))
+
+
+def _nodes(docs: DataFrame, words: int) -> DataFrame:
+    """Every row's number of shingles and node, and once a task the node's sampled shingles."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        none = np.empty(0, np.int64)
-        seen: set[int | None] = {None}  # copies in one task name their parts once
+        none = np.empty(0, np.uint64)
+        seen: set[int | None] = {None}
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 sets = [shingles(t, words) for t in part.column("text").to_pylist()]
                 nodes = [set_key(s) if len(s) else None for s in sets]
-                parts = []
+                samples = []
                 for own, node in zip(sets, nodes, strict=True):
-                    parts.append(none if node in seen else signatures(own, percent))
+                    samples.append(none if node in seen else own[: np.searchsorted(own, np.uint64(SAMPLED))])
                     seen.add(node)
-                ends = np.cumsum([0, *map(len, parts)])
                 yield {
                     "id": part.column("id"),
                     "n_shingles": [len(s) for s in sets],
                     "node": nodes,
-                    "parts": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts))),
+                    "sample": _lists(samples),
                 }
 
     return map_batches(docs, rows, NODES)
 
 
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """The shingles of the nodes named beside the texts (node, text)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                named = zip(part.column("node").to_pylist(), part.column("text").to_pylist(), strict=True)
+                found = [(node, shingles(text, words)) for node, text in named]
+                # A repeated id may bring other texts along.
+                found = [(node, own) for node, own in found if len(own) and set_key(own) == node]
+                yield {"node": [node for node, _ in found], "shingles": _lists([own for _, own in found])}
+
+    return map_batches(texts, rows, SETS)
+
+
+def _needed(percent: int) -> str:
+    return f"((n * {percent} + 99) div 100)"
+
+
+def _linkable(rows: DataFrame, percent: int) -> DataFrame:
+    """(node, id, n) of the nodes whose sampled shingles leave room for a link; ``id`` is the least of the node's rows."""
+    alone = (
+        rows.select("node", F.explode("sample").alias("shingle"))
+        .groupBy("shingle")
+        .agg(F.min("node").alias("node"), F.max("node").alias("other"))
+        .where("node = other")
+        .groupBy("node")
+        .agg(F.count(F.lit(1)).alias("alone"))
+    )
+    nodes = (
+        rows.where("node is not null")
+        .groupBy("node")
+        .agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id")).alias("at"), F.min("n_shingles").alias("n"))
+    )
+    left = nodes.join(alone, "node", "left").where(f"coalesce(alone, 0) <= n - {_needed(percent)}")
+    return left.select("node", "at.id", "n")
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(part, node) for the shingles of every set's prefix that another set has too."""
+    each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("part"))
+    frequent = each.groupBy("part").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    own = Window.partitionBy("node")
+    shared = each.join(frequent, "part").select(
+        "part",
+        "node",
+        "n",
+        F.row_number().over(own.orderBy("sets", "part")).alias("place"),
+        F.count(F.lit(1)).over(own).alias("shared"),
+    )
+    # Shingles of one set alone come first: the prefix has n - shared of them.
+    return shared.where(f"place <= shared - {_needed(percent)} + 1").select("part", "node")
+
+
 def _hanging(parts: DataFrame) -> DataFrame:
     """Edges (a, b) by which nodes with an equal part hang together.
 
@@ -319,8 +352,8 @@ def _hanging(parts: DataFrame) -> DataFrame:
     return found.where("part is null").select("a", "b").union(tied).where("a <> b").distinct()
 
 
-def _cell_links(sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between nodes from rows (unit, node, text), every unit's rows in one partition."""
+def _cell_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes from rows (unit, node, shingles), every unit's rows in one partition."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         unit, own = None, {}
@@ -331,17 +364,16 @@ def _cell_links(sets: DataFrame, words: int, percent: int) -> DataFrame:
                 if pairs:
                     yield {"a": [names[a] for a, _ in pairs], "b": [names[b] for _, b in pairs]}
                 unit, own = row[0], {}
-            if row[0] is not None and row[1] not in own:
-                found = shingles(row[2], words)
-                if set_key(found) == row[1]:  # a repeated id may bring other texts along
-                    own[row[1]] = found
+            if row[0] is not None:
+                own[row[1]] = row[2]
 
     return map_batches(sets, rows, EDGES)
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
     units, nodes = batch.column("unit").to_pylist(), batch.column("node").to_pylist()
-    return zip(units, nodes, (t.as_py() for t in batch.column("text")), strict=True)
+    sets = (x.values.to_numpy().view(np.uint64) for x in batch.column("shingles"))
+    return zip(units, nodes, sets, strict=True)
 
 
 def ngram_classes(
@@ -357,35 +389,28 @@ def ngram_classes(
     """
     spark = docs.sparkSession
     chosen = docs.selectExpr(f"cast(`{id_column}` as bigint) as id", f"`{text_column}` as text")
-    rows = written(_nodes(chosen, words, percent), "sets")
-    parts = rows.where("node is not null").select("node", F.explode("parts").alias("part"))
-    cells = components(_hanging(parts))
-
-    # The texts of the nodes in cells, and how much there is in each cell.
-    known = (
-        rows.where("node is not null")
-        .groupBy("node")
-        .agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id")).alias("at"), F.min("n_shingles").alias("n"))
-        .join(cells, "node")
-        .select("node", "at.id", "n", F.col("root").alias("cell"))
-    )
-    known = written(known, "cells")
-    blocks = known.groupBy("cell").agg(F.ceil(F.sum("n") / CELL_SHINGLES).alias("blocks"))
+    rows = written(_nodes(chosen, words), "sets")
+    linkable = written(_linkable(rows, percent), "linkable")
+    texts = chosen.join(linkable, chosen["id"].eqNullSafe(linkable["id"])).select("node", "text")
+    sets = written(_sets(texts, words).dropDuplicates(["node"]), "shingles")
+    cells = components(_hanging(_prefixes(sets, percent)))
+
+    known = sets.join(cells.withColumnRenamed("root", "cell"), "node")
+    blocks = known.groupBy("cell").agg(F.ceil(F.sum(F.size("shingles")) / CELL_SHINGLES).alias("blocks"))
     sized = known.join(blocks, "cell").withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
     # A cell of b blocks is searched as the b * (b + 1) / 2 pairs of its blocks.
     placed = sized.select(
         "node",
-        "id",
+        "shingles",
         F.explode(
             F.expr(
                 "transform(sequence(0, blocks - 1), o -> xxhash64(cell, least(block, o), greatest(block, o)))"
             )
         ).alias("unit"),
     )
-    texts = chosen.join(placed, chosen["id"].eqNullSafe(placed["id"])).select("unit", "node", "text")
     n_units = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    dealt = texts.repartition(n_units, "unit").sortWithinPartitions("unit")
-    roots = components(written(_cell_links(dealt, words, percent), "links"))
+    dealt = placed.repartition(n_units, "unit").sortWithinPartitions("unit")
+    roots = components(written(_cell_links(dealt, percent), "links"))
 
     own = rows.select("id", "n_shingles", "node").join(roots, "node", "left")
     own = own.withColumn("class", F.coalesce("root", "node"))
@@ -403,11 +428,14 @@ def one_of_each_class(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     Of rows that repeat such an id one stays, the least by its text; rows without shingles
     are classes of their own by id, and rows with a null id all stay.
     """
-    classes = ngram_classes(docs, words, percent).where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    kept = docs.where("doc_id is not null").join(classes, "doc_id", "left_semi")
-    kept = kept.withColumn("_place", F.row_number().over(first)).where("_place = 1")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    classes = ngram_classes(docs, words, percent).where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    # Rows travel as one column, so that no name of theirs can clash.
+    row = F.struct(*[F.col("`" + name.replace("`", "``") + "`") for name in docs.columns]).alias("row")
+    rows, own = docs.select(row), F.col("row.doc_id")
+    first = Window.partitionBy(own).orderBy(F.xxhash64("row.text"), "row.text")
+    kept = rows.where(own.isNotNull()).join(classes, own.cast("long") == F.col("id"), "left_semi")
+    kept = kept.withColumn("place", F.row_number().over(first)).where("place = 1").select("row")
+    return kept.unionByName(rows.where(own.isNull())).select("row.*")
 
 
 def oracle(words: int = WORDS, percent: int = PERCENT) -> str:
