@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -39,6 +40,7 @@ CELL_SHINGLES = 4 << 20  # shingles of one task's collection; larger cells are s
 WORDS_KEPT = 1 << 20  # distinct words whose hash a worker keeps
 MU = 0.0085  # weight of the long lists in choosing their number
 SAMPLED = (1 << 64) // 3  # shingles below are counted first
+FILTER_BITS = 1 << 27  # of the bitmap of ids whose texts are read again
 LEADERS = 8  # nodes that a new one is compared with before lists are searched
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -118,7 +120,8 @@ def links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int
     """Pairs of the sets that link, as many as join all that hang together; no set is empty.
 
     Nodes are taken in order of size. Each is first compared with a few leaders, nodes that
-    joined none before them. The largest class that this leaves is kept out of the inverted lists:
+    joined none before them, those first that others joined last, and then with those that most
+    have joined. The largest class that this leaves is kept out of the inverted lists:
     its members search the lists of the others, so many near copies of one text cost no
     more than their comparisons with leaders. T is the least overlap with any set that
     links; the long lists are as many as DivideSkip chooses from T and the longest list.
@@ -127,22 +130,38 @@ def links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int
     order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
     sets = [sets[k] for k in order]
     sizes = [len(s) for s in sets]
-    forest, found, leaders = Forest(len(sets)), [], []
+    forest, found = Forest(len(sets)), []
+    leaders: list[int] = []
+    drawn: Counter[int] = Counter()
 
     def joined(x: int, y: int) -> None:
         forest.join(x, y)
         found.append((order[x], order[y]))
 
-    for x, own in enumerate(sets):
-        alone = True
-        for y in leaders[-LEADERS:]:
-            if forest.root[x] != forest.root[y] and 100 * sizes[y] >= percent * sizes[x]:
-                shared = overlap(own, sets[y])
-                if 100 * shared >= percent * (sizes[x] + sizes[y] - shared):
+    def compared(x: int, leaders: list[int]) -> list[int]:
+        """The leaders that x links to."""
+        linked = []
+        for y in leaders:
+            small, large = sorted((sizes[x], sizes[y]))
+            if forest.root[x] != forest.root[y] and 100 * small >= percent * large:
+                shared = overlap(sets[x], sets[y])
+                if 100 * shared >= percent * (small + large - shared):
                     joined(x, y)
-                    alone = False
-        if alone:
-            leaders.append(x)
+                    linked.append(y)
+        return linked
+
+    for x in range(len(sets)):
+        linked = compared(x, leaders[-LEADERS:])
+        # Leaders that were of use stay among the last, however many nodes stand alone; a node that
+        # joins several is one itself.
+        useful = [*linked, x] if len(linked) != 1 else linked
+        drawn.update(linked)
+        drawn[x] += len(linked) if len(linked) > 1 else 0
+        leaders = [*(y for y in leaders[-4 * LEADERS :] if y not in linked), *useful]
+    # Those that drew most come too late for nodes before them.
+    best = [y for y, n in drawn.most_common(LEADERS) if n]
+    for x in range(len(sets)):
+        compared(x, best)
     if len(forest.members) <= 1:
         return found
 
@@ -275,16 +294,20 @@ def _needed(percent: int) -> str:
     return f"((n * {percent} + 99) div 100)"
 
 
-def _linkable(rows: DataFrame, percent: int) -> DataFrame:
-    """(node, id, n) of the nodes whose sampled shingles leave room for a link; ``id`` is the least of the node's rows."""
-    alone = (
-        rows.select("node", F.explode("sample").alias("shingle"))
-        .groupBy("shingle")
+def _alone(each: DataFrame) -> DataFrame:
+    """(node, alone): how many of its shingles (node, shingle) no other node has; nodes without such are left out."""
+    return (
+        each.groupBy("shingle")
         .agg(F.min("node").alias("node"), F.max("node").alias("other"))
         .where("node = other")
         .groupBy("node")
         .agg(F.count(F.lit(1)).alias("alone"))
     )
+
+
+def _linkable(rows: DataFrame, percent: int) -> DataFrame:
+    """(node, id, n) of the nodes whose sampled shingles leave room for a link; ``id`` is the least of the node's rows."""
+    alone = _alone(rows.select("node", F.explode("sample").alias("shingle")))
     nodes = (
         rows.where("node is not null")
         .groupBy("node")
@@ -294,6 +317,43 @@ def _linkable(rows: DataFrame, percent: int) -> DataFrame:
     return left.select("node", "at.id", "n")
 
 
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the rows of ``docs`` (id, text) whose id is among ``wanted`` (node, id).
+
+    A bitmap of FILTER_BITS hashed ids, of fixed size, keeps most other texts out of the shuffle.
+    """
+    bit = F.expr(f"pmod(xxhash64(id), {FILTER_BITS})")
+    maps = (
+        wanted.select(bit.alias("bit"))
+        .groupBy(F.expr("bitmap_bucket_number(bit + 1)").alias("bucket"))
+        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("bits"))
+    )
+    known = np.zeros(FILTER_BITS // 8, np.uint8)
+    for bucket, bits in maps.toLocalIterator():  # FILTER_BITS in all, whatever the number of ids
+        at = (bucket - 1) * len(bits)
+        known[at : at + len(bits)] = np.frombuffer(bytes(bits), np.uint8)[: len(known) - at]
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            place = batch.column("bit").to_numpy()
+            hit = (sent.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1
+            own = batch.filter(pa.array(hit.astype(bool)))
+            if own.num_rows:
+                yield {"id": own.column("id"), "text": own.column("text")}
+
+    near = map_batches(docs.select("id", "text", bit.alias("bit")), rows, schema)
+    return near.join(wanted, near["id"].eqNullSafe(wanted["id"])).select("node", "text")
+
+
+def _needy(sets: DataFrame, percent: int) -> DataFrame:
+    """The sets that all their shingles leave room for a link, counted among these sets alone."""
+    alone = _alone(sets.select("node", F.explode("shingles").alias("shingle")))
+    left = sets.join(alone, "node", "left").withColumn("n", F.size("shingles"))
+    return left.where(f"coalesce(alone, 0) <= n - {_needed(percent)}").select("node", "shingles")
+
+
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """(part, node) for the shingles of every set's prefix that another set has too."""
     each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("part"))
@@ -391,8 +451,8 @@ def ngram_classes(
     chosen = docs.selectExpr(f"cast(`{id_column}` as bigint) as id", f"`{text_column}` as text")
     rows = written(_nodes(chosen, words), "sets")
     linkable = written(_linkable(rows, percent), "linkable")
-    texts = chosen.join(linkable, chosen["id"].eqNullSafe(linkable["id"])).select("node", "text")
-    sets = written(_sets(texts, words).dropDuplicates(["node"]), "shingles")
+    sets = written(_sets(_texts_of(chosen, linkable), words).dropDuplicates(["node"]), "shingles")
+    sets = written(_needy(sets, percent), "shingles")
     cells = components(_hanging(_prefixes(sets, percent)))
 
     known = sets.join(cells.withColumnRenamed("root", "cell"), "node")
