@@ -53,16 +53,17 @@ SHARD = T.StructType(
 
 @lru_cache(maxsize=1)
 def tokenizer(path: str) -> Tokenizer:
-    loaded = Tokenizer.from_file(path)
-    loaded.encode_special_tokens = True  # their strings in a text are ordinary text
-    return loaded
+    """With the library's own defaults: strings of special tokens in a text are those tokens."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    return Tokenizer.from_file(path)
 
 
 class Words(dict):
     """Ids of pieces of texts between single spaces, as they stand in the files.
 
     Only for tokenizers that drop white space and never look across it, as word-end
-    vocabularies do: there a text's ids are those of its pieces, end to end.
+    vocabularies do: there a text's ids are those of its pieces, end to end. Special tokens
+    hold no blank, so each lies in one piece.
     """
 
     def __init__(self, path: str, kind: str):
