@@ -187,10 +187,12 @@ def segments(text: str, start: int, end: int) -> tuple[list[int], list[Segment]]
         for kind, form in CANDIDATES.items():
             if kind != "email" and not (c.isdigit() or kind == "phone"):
                 continue
-            longest = form.match(text, edges[i], end)
+            # No further than a segment may reach: text without a break costs no more than words do.
+            last = min(i + MAX_TOKENS, len(edges) - 1)
+            longest = form.match(text, edges[i], edges[last])
             if not longest:
                 continue
-            for j in range(i + 1, min(i + MAX_TOKENS, len(edges) - 1) + 1):
+            for j in range(i + 1, last + 1):
                 if edges[j] > longest.end():
                     break
                 if form.fullmatch(text, edges[i], edges[j]):
