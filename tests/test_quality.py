@@ -142,6 +142,34 @@ def test_foreign_key(spark):
     assert rows(ops.check_foreign_key(child, "k", parent, "p")) == [(9, 2)]
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string", "decimal(12,2)", "timestamp", "double", "struct<a:int>"])
+def test_foreign_key_of_any_type_over_many_batches(spark, kind):
+    value = "struct(cast(id % 7 as int) as a)" if kind.startswith("struct") else f"cast(id % 7 as {kind})"
+    child = spark.range(30_000).selectExpr(f"if(id % 2 = 0, {value}, null) as k")
+    parent = spark.range(30_000).where("id % 7 > 1").selectExpr(f"{value} as p")
+    want = {0: sum(i % 7 == 0 for i in range(0, 30_000, 2)), 1: sum(i % 7 == 1 for i in range(0, 30_000, 2))}
+    keys = child.where("k is not null").distinct().count()
+    got = ops.check_foreign_key(child, "k", parent, "p")
+    assert keys == 7 and sorted(r.row_count for r in got.collect()) == sorted(want.values())
+    assert got.dtypes == [("orphan_key", kind), ("row_count", "bigint")]
+
+
+def test_foreign_key_of_two_types(spark):
+    child = spark.createDataFrame([("1",), ("9",), ("9",)], "k string")
+    parent = spark.createDataFrame([(1,), (2,)], "p int")
+    assert rows(ops.check_foreign_key(child, "k", parent, "p")) == [("9", 2)]
+
+
+def test_foreign_keys_meet_in_one_aggregate_over_all_partitions(spark):
+    child, parent = spark.range(100).toDF("k"), spark.range(50).toDF("p")
+    found = ops.check_foreign_key(child, "k", parent, "p")
+    text = found._jdf.queryExecution().toString()
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    # neither two hash tables and two sorts in a task nor partitions put together by their packed size
+    assert "REPARTITION_BY_NUM" in text and "Join" not in text and f", {partitions})" in text
+    assert text.count("Exchange hashpartitioning") == 1
+
+
 def test_zip_coverage(table):
     from test_sales import item, order
 

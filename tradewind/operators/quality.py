@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tradewind.operators.profile import PROFILE_COLUMNS, contains_unordered, profile_table, profile_tables, quoted
 from tradewind.sources.checkpoints import checkpointed
@@ -130,8 +132,40 @@ def primary_key_violations(df: DataFrame, key: list[str]) -> DataFrame:
     return counted.where((F.col("row_count") > 1) | null_key)
 
 
+def _counted_in_batches(df: DataFrame, column: str) -> DataFrame:
+    """Non-null values of a column as ``orphan_key`` with their rows, equal ones of an Arrow batch as one row.
+
+    A value of many rows leaves its task as few, and nothing but a batch is held.
+    """
+    values = df.select(F.col(quoted(column)).alias("orphan_key")).where(F.col("orphan_key").isNotNull())
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0)
+            try:
+                found = keys.value_counts()
+                keys, counts = found.field("values"), found.field("counts")
+            except pa.ArrowNotImplementedError:  # structs and the like
+                counts = pa.array([1] * len(keys), pa.int64())
+            yield pa.RecordBatch.from_arrays([keys, counts], ["orphan_key", "row_count"])
+
+    return values.mapInArrow(counted, T.StructType([values.schema["orphan_key"], T.StructField("row_count", T.LongType())]))
+
+
 def check_foreign_key(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
-    """Non-null child values without a parent, with their number of child rows."""
+    """Non-null child values without a parent, with their number of child rows.
+
+    Values of one type on both sides are counted a batch at a time, dealt out over all shuffle partitions
+    and meet in one aggregate: a task holds each value of its partition once, and adaptive execution does not
+    put partitions together by their packed size. Other types are joined, as Spark compares them.
+    """
+    uses, keys = _counted_in_batches(child, column), _counted_in_batches(parent, parent_column)
+    if uses.schema["orphan_key"].dataType == keys.schema["orphan_key"].dataType:
+        partitions = int(child.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        values = uses.unionByName(keys.withColumn("row_count", F.lit(0).cast("long")))  # a key counts for no row
+        counted = values.repartition(partitions, "orphan_key").groupBy("orphan_key")
+        found = counted.agg(F.sum("row_count").alias("row_count"), F.min("row_count").alias("least"))
+        return found.where(F.col("least") > 0).drop("least")
     used = (
         child.where(F.col(quoted(column)).isNotNull())
         .groupBy(F.col(quoted(column)).alias("orphan_key"))
