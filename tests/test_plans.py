@@ -55,6 +55,16 @@ def test_routes_per_city_are_limited_before_the_shuffle(tables):
     assert "WindowGroupLimit" in plan(OPERATORS["top_routes_per_city"](tables))
 
 
+@pytest.mark.parametrize(
+    "name",
+    ["top_routes_per_city", "top_routes_per_city_buyer", "top_routes_per_city_both", "centroid_search"],
+)
+def test_a_choice_of_keys_folds_no_name_per_row(tables, name):
+    text = OPERATORS[name](tables)._jdf.queryExecution().optimizedPlan().toString()
+    conditions = [line for line in text.splitlines() if re.match(r"[\s:+|-]*(Filter|Join) ", line)]
+    assert "translate(" in text and not [line for line in conditions if "translate(" in line]
+
+
 def test_date_window_reaches_the_scan(tables):
     text = plan(sales.revenue_growth(tables["orders"], tables["order_items"]), "formatted")
     assert "GreaterThanOrEqual(o_orderdate,2017-01-01T00:00)" in text

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.functions.text import city_key
-from tradewind.operators.geography import city_centroids, counted_observations
+from tradewind.operators.geography import city_centroids, counted_observations, key_of_group
 from tradewind.plans.baskets import LINE_PARTS, ROUTE_PARTS, order_seller_lines, weighted_lines
 
 THRESHOLDS = ("raw", "merged")
@@ -122,9 +122,9 @@ def merge_city_stats(
     The city and state shown are those of the non-empty spelling with most orders.
     """
     merged = (
-        stats.withColumn("city_key", city_key(F.col(city), F.col(state)))
-        .groupBy("city_key")
-        .agg(*_merged_sums(revenue), _shown([city, state]))
+        stats.withColumn("_key", city_key(F.col(city), F.col(state)))
+        .groupBy("_key")
+        .agg(key_of_group("city_key", "_key"), *_merged_sums(revenue), _shown([city, state]))
         .select(
             "city_key",
             F.col("shown")[city].alias("city"),
@@ -198,9 +198,9 @@ def activity_of(
     raw_min, merged_min = (min_orders, 1) if threshold == "raw" else (1, min_orders)
     merged = (
         averaged(sums, CITY, "revenue", raw_min)
-        .withColumn("city_key", city_key(F.col("city"), F.col("state")))
-        .groupBy("city_key", "side")
-        .agg(*_merged_sums("revenue"), _shown(["city", "state"]))
+        .withColumn("_key", city_key(F.col("city"), F.col("state")))
+        .groupBy("_key", "side")
+        .agg(key_of_group("city_key", "_key"), *_merged_sums("revenue"), _shown(["city", "state"]))
         .where(F.col("orders") >= merged_min)
         .withColumns({"avg_freight": _weighted("freight_sum"), "avg_distance": _weighted("distance_sum")})
     )
@@ -266,12 +266,17 @@ def routes_of(
     merged = (
         raw.withColumns(
             {
-                "seller_key": city_key(F.col("seller_city"), F.col("seller_state")),
-                "customer_key": city_key(F.col("customer_city"), F.col("customer_state")),
+                "_seller": city_key(F.col("seller_city"), F.col("seller_state")),
+                "_customer": city_key(F.col("customer_city"), F.col("customer_state")),
             }
         )
-        .groupBy("seller_key", "customer_key")
-        .agg(*_merged_sums("total_revenue"), _shown(ROUTE))
+        .groupBy("_seller", "_customer")
+        .agg(
+            key_of_group("seller_key", "_seller"),
+            key_of_group("customer_key", "_customer"),
+            *_merged_sums("total_revenue"),
+            _shown(ROUTE),
+        )
     )
     centroids = city_centroids(counted_observations(sellers, customers, geolocation))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.functions.distance import MILES_PER_KM, planar_distance_km
@@ -178,6 +178,15 @@ def counted_observations(sellers: DataFrame, customers: DataFrame, geolocation:
     )
 
 
+def key_of_group(name: str, key: str) -> Column:
+    """The key of a merged group as an aggregate of it.
+
+    A choice of keys then stays above the merge, where a key is folded once for each raw spelling.
+    A choice by the grouping column itself would be pushed below all sums and fold names row by row.
+    """
+    return F.max(key).alias(name)
+
+
 def city_centroids(observations: DataFrame) -> DataFrame:
     """Mean coordinates per city key over all observations of all its spellings.
 
@@ -194,9 +203,10 @@ def city_centroids(observations: DataFrame) -> DataFrame:
     )
     empty = F.coalesce(F.col("city"), F.lit("")) == ""
     return (
-        spellings.withColumn("city_key", city_key(F.col("city"), F.col("state")))
-        .groupBy("city_key")
+        spellings.withColumn("_key", city_key(F.col("city"), F.col("state")))
+        .groupBy("_key")
         .agg(
+            key_of_group("city_key", "_key"),
             (F.sum("lat_sum") / F.sum("observed")).alias("lat"),
             (F.sum("lng_sum") / F.sum("observed")).alias("lng"),
             F.min_by(F.struct("city", "state"), F.struct(empty, -F.col("observed"), "city", "state")).alias("shown"),
