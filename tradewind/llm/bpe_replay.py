@@ -15,6 +15,7 @@ import base64
 import hashlib
 import heapq
 import itertools
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,9 +28,10 @@ from pyspark.sql import types as T
 
 from tradewind.llm.common import map_batches
 
-BLOCK_CHARS = 24 << 20  # code points of texts whose distinct words are merged together
-PIECES_KEPT = 1 << 20  # distinct pieces a worker keeps; beyond, it starts anew with the next block
+BLOCK_CHARS = 8 << 20  # code points of texts whose distinct words are merged together
+PIECES_KEPT = 1 << 19  # distinct pieces a worker keeps; beyond, it starts anew with the next block
 LEVEL = 512  # ranks whose positions are sorted together
+PAIRS_AT_ONCE = 1 << 18  # pairs looked up together; bounds what a long array needs besides its ranks
 NONE = np.int32(2**31 - 1)
 
 # White space of the split pattern, each followed by a space.
@@ -74,6 +76,9 @@ class Ranks:
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of the pairs, NONE where the joined bytes are no token."""
+        if len(left) > PAIRS_AT_ONCE:
+            cuts = range(0, len(left), PAIRS_AT_ONCE)
+            return np.concatenate([self.pairs(left[a : a + PAIRS_AT_ONCE], right[a : a + PAIRS_AT_ONCE]) for a in cuts])
         wanted = left.astype(np.int64) * (self.size + 1) + right
         at = np.searchsorted(self.keys, wanted)
         return np.where(self.keys[at] == wanted, self.pair_ranks[at], NONE)
@@ -205,21 +210,24 @@ class Vocabulary:
                 part = np.fromiter(map(self.spaced.__getitem__, pieces), np.int32, len(pieces))
                 part[0] = self.plain[pieces[0]]
             parts.append(part)
-        self.learn(
-            [(k, " " + piece) for piece, k in itertools.islice(self.spaced.items(), seen[0], None)]
-            + [(k, piece) for piece, k in itertools.islice(self.plain.items(), seen[1], None)]
-        )
+        spaced, plain = itertools.islice(self.spaced.items(), seen[0], None), itertools.islice(self.plain.items(), seen[1], None)
+        # Both are in the order of their numbers already.
+        self.learn(heapq.merge(((k, " " + piece) for piece, k in spaced), ((k, piece) for piece, k in plain)))
         starts = np.cumsum(self.sizes) - self.sizes
         return [gather(self.ids, starts, self.sizes, part) for part in parts]
 
-    def learn(self, pieces: list[tuple[int, str]]) -> None:
-        """Ids of new pieces, numbered on from those known: those of their words, end to end."""
+    def learn(self, pieces: Iterator[tuple[int, str]]) -> None:
+        """Ids of new pieces in the order of their numbers, on from those known: those of their words, end to end."""
         numbering = itertools.count()
         words: dict[str, int] = defaultdict(lambda: next(numbering))
-        found = [[words[word] for word in self.pattern.findall(piece)] for _, piece in sorted(pieces)]
-        ids, counts = replay([word.encode() for word in words], self.ranks)
-        used = np.fromiter(itertools.chain.from_iterable(found), np.int64, sum(map(len, found)))
-        edges = np.cumsum([0, *map(len, found)])
+        flat, ends = array("q"), array("q", [0])
+        for _, piece in pieces:
+            flat.extend([words[word] for word in self.pattern.findall(piece)])
+            ends.append(len(flat))
+        spelled = [word.encode() for word in words]
+        del words
+        ids, counts = replay(spelled, self.ranks)
+        used, edges = np.frombuffer(flat, np.int64), np.frombuffer(ends, np.int64)
         self.ids = np.append(self.ids, gather(ids, np.cumsum(counts) - counts, counts, used))
         self.sizes = np.append(self.sizes, np.diff(np.append(0, np.cumsum(counts[used]))[edges]))
 
