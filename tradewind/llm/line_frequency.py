@@ -15,6 +15,7 @@ from tradewind.llm.common import SPACE_CLASS, written
 RATIO = 0.05  # of the site's pages; a line on more is boilerplate
 MIN_PAGES = 20  # sites with fewer pages have no boilerplate: a ratio means little there
 MIN_COUNT = 3  # pages with the line, at least
+SPACES = " \t\n\x0b\x0c\r"  # the characters of SPACE_CLASS
 SHORT_WORDS = 8  # longer lines are repeats at a share that halves with every further word (drop_repeated)
 
 BLOCK_TAGS = "p|div|br|hr|li|ul|ol|nav|h[1-6]|article|section|header|footer|aside|table|tr|td|th|title|pre|main|form"
@@ -22,12 +23,12 @@ BREAKS = rf"(?i)</?(?:{BLOCK_TAGS})(?:\s[^>]*)?/?>"
 
 
 def trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, rf"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    return F.btrim(line, F.lit(SPACES))
 
 
 def html_lines(html: Column) -> Column:
     """The text of a page with a line break at every block tag; comments, scripts and styles go."""
-    without = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", "")
+    without = F.regexp_replace(html, r"(?is)<(?:script[^>]*>.*?</script>|style[^>]*>.*?</style>|!--.*?-->)", "")
     return F.regexp_replace(F.regexp_replace(without, BREAKS, "\n"), r"<[^>]*>", "")
 
 
@@ -77,7 +78,7 @@ def drop_boilerplate(
 def without_lines(joined: DataFrame, columns: list[str], text: str) -> DataFrame:
     """The columns with ``text`` less the lines whose hashes are in ``_boilerplate``, n_lines and n_dropped."""
     lines = F.split(text, "\n", -1)
-    hashes = F.transform("_lines", lambda line: F.when(trimmed(line) != "", F.xxhash64(trimmed(line))))
+    hashes = F.transform(F.transform("_lines", trimmed), lambda bare: F.when(bare != "", F.xxhash64(bare)))
     stays = F.filter(
         F.arrays_zip("_lines", "_hashes"),
         lambda x: x["_hashes"].isNull() | ~F.array_contains(F.col("_boilerplate"), x["_hashes"]),
