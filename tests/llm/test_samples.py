@@ -145,3 +145,57 @@ def test_unbroken_texts_take_time_in_proportion():
     assert time.process_time() - began < 20 and spans
     assert [s for s in found if s[0] == "email" and s[1] >= 1_000_000]
     assert pii_crf.base_spans(text) == []
+
+
+def test_new_pieces_are_encoded_in_few_calls(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tradewind.llm import token_files
+    from tradewind.llm.queries import WORD_VOCABULARY
+
+    path = public_tokenizers.path(WORD_VOCABULARY)
+    texts = [" ".join(f"Word{i}\x1e\x1ex{i % 7}" if i % 3 else "" for i in range(k, k + 60)) + "\x1e" for k in range(0, 6000, 60)]
+    want = [np.array(e.ids, "<u2").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    words, calls = token_files.Words(path, "<u2"), []
+    encode = words.separated.encode_batch_fast
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.extend(texts)
+            return encode(texts, **options)
+
+    words.separated = Counted()
+    assert words.encode(texts) == want and len(calls) == -(-len(words) // token_files.PIECES_AT_ONCE)
+    # A separator that does not come back leaves the pieces to be encoded one by one.
+    monkeypatch.setattr(token_files, "SEPARATOR", "|")
+    assert token_files.Words(path, "<u2").encode(["a b", "a|b c|"]) == [
+        np.array(e.ids, "<u2").tobytes() for e in Tokenizer.from_file(path).encode_batch(["a b", "a|b c|"], add_special_tokens=False)
+    ]
+
+
+def test_pairs_of_a_long_array_need_little_besides_their_ranks():
+    import tracemalloc
+
+    import public_tokenizers
+
+    from tradewind.llm import bpe_replay
+    from tradewind.llm.queries import BYTE_RANKS
+
+    ranks = bpe_replay.ranks_of(public_tokenizers.path(BYTE_RANKS))
+    symbols = ranks.of_byte[np.random.default_rng(3).integers(0, 256, 4_000_000)]
+    few = np.concatenate([ranks.pairs(symbols[a : a + 9], symbols[a + 1 : a + 10]) for a in range(0, 9_000, 9)])
+    tracemalloc.start()
+    found = ranks.pairs(symbols[:-1], symbols[1:])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found[:9_000] == few).all() and peak < 3 * found.nbytes
+
+
+def test_lines_lose_white_space_at_their_very_ends_only(spark):
+    from tradewind.llm import line_frequency
+
+    lines = ["", " \t\x0b\x0c\r ", " a b\t", "a \u2028", "a \x85", "\xa0a ", None]
+    df = spark.createDataFrame([(line,) for line in lines], "line string")
+    got = [r[0] for r in df.select(line_frequency.trimmed(df.line)).collect()]
+    assert got == [None if line is None else line.strip(" \t\n\x0b\x0c\r") for line in lines]

@@ -31,13 +31,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from tradewind.llm.common import map_batches
 
 END_ID = 1  # appended to every document
 WORDS_KEPT = 1 << 20  # distinct words whose ids a worker keeps; beyond, it starts anew
 TEXTS_AT_ONCE = 500
+PIECES_AT_ONCE = 1000  # new pieces that one call of the library encodes
+SEPARATOR = " \x1e"  # between them; it has a blank and so stands in no piece
 CHUNK_BYTES = 16 << 20  # read at once where a shard has to be fetched
 SHARD = T.StructType(
     [
@@ -68,7 +70,12 @@ class Words(dict):
 
     def __init__(self, path: str, kind: str):
         super().__init__()
-        self.tokenizer, self.kind = tokenizer(path), kind
+        self.plain, self.kind = tokenizer(path), kind
+        # A copy that knows the separator as a token: such tokens are cut out before anything else is done.
+        self.separated = Tokenizer.from_str(self.plain.to_str())
+        known = self.separated.get_vocab_size()
+        self.separated.add_special_tokens([AddedToken(SEPARATOR, normalized=False)])
+        self.cut = self.separated.token_to_id(SEPARATOR) if self.separated.get_vocab_size() > known else None
         self.new: list[str] = []
 
     def __missing__(self, piece: str) -> bytearray:
@@ -80,12 +87,27 @@ class Words(dict):
         if len(self) > WORDS_KEPT:
             self.clear()
         found = [list(map(self.__getitem__, text.split(" "))) for text in texts]
-        encodings = self.tokenizer.encode_batch_fast(self.new, add_special_tokens=False)
-        for piece, encoding in zip(self.new, encodings, strict=True):
-            self[piece][:] = np.array(encoding.ids, self.kind).tobytes()
+        for at in range(0, len(self.new), PIECES_AT_ONCE):
+            self.learn(self.new[at : at + PIECES_AT_ONCE])
         self.new = []
         return [b"".join(own) for own in found]
 
+    def learn(self, pieces: list[str]) -> None:
+        """The pieces' ids from one call for all; one by one where the separators don't all come back as such."""
+        if self.cut is not None:
+            (encoding,) = self.separated.encode_batch_fast([SEPARATOR.join(pieces)], add_special_tokens=False)
+            ids = np.array(encoding.ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.cut)
+            if len(cuts) == len(pieces) - 1:
+                data, width = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
+                starts, ends = [0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(data)]
+                for piece, a, b in zip(pieces, starts, ends, strict=True):
+                    self[piece][:] = data[a:b]
+                return
+        encodings = self.plain.encode_batch_fast(pieces, add_special_tokens=False)
+        for piece, encoding in zip(pieces, encodings, strict=True):
+            self[piece][:] = np.array(encoding.ids, self.kind).tobytes()
+
 
 @lru_cache(maxsize=1)
 def words_of(path: str, kind: str) -> Words:
