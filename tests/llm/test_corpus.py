@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import itertools
 import math
 import random
 import re
 import time
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -115,6 +118,30 @@ def test_bpe_rows(odd, none, reference):
     assert bpe_replay.bpe_encode(none, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_blocks_end_within_a_batch(reference, monkeypatch):
+    """One large batch is encoded in several blocks and runs; a vocabulary is gone with its last name."""
+    texts = [None, *(prose(100 + k, 60) for k in range(40)), "ab " * 500, "", "é\n 界" * 30]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    for name, value in {"BLOCK_CHARS": 2000, "RUN_CHARS": 500, "NEW_PIECES": 90, "PIECES_KEPT": 200}.items():
+        monkeypatch.setattr(bpe_replay, name, value)
+    known = bpe_replay.Vocabulary(bpe_replay.ranks_of(RANKS), public_tokenizers.PATTERN)
+    found, sizes, runs = {}, [], []
+    for block in bpe_replay.blocks(iter([batch.slice(0, 0), batch]), known):
+        sizes.append(sum(len(parts) for _, parts in block))
+        runs.append(len(block))
+        for keys, parts in block:
+            found |= {k: i.tolist() for k, i in zip(keys.to_pylist(), known.ids_of(parts), strict=True)}
+    assert found == {k: reference.encode_ordinary(t or "") for k, t in enumerate(texts)}
+    assert len(sizes) > 5 and max(runs) > 1 and sum(sizes) == len(texts)
+    gone = weakref.ref(known)
+    gc.disable()
+    try:
+        del known
+        assert gone() is None  # no cycle keeps it until Python looks for some
+    finally:
+        gc.enable()
+
+
 # Token files.
 
 

@@ -6,7 +6,7 @@ where that pair stands, and every merge is applied in rank order to all its posi
 updating only the touched neighbours. The ids of a text are those of its words.
 
 The split pattern makes the ids of a word independent of its text, so blocks only bound the
-memory: the result is the same for any block size, and a worker reuses the words it knows.
+memory: the result is the same for any block size, and a task reuses the words it knows.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ from pyspark.sql import types as T
 
 from tradewind.llm.common import map_batches
 
-BLOCK_CHARS = 8 << 20  # code points of texts whose distinct words are merged together
-PIECES_KEPT = 1 << 19  # distinct pieces a worker keeps; beyond, it starts anew with the next block
+BLOCK_CHARS = 32 << 20  # code points of texts whose distinct words are merged together
+RUN_CHARS = 1 << 20  # code points of texts whose ids and bytes are made at once
+NEW_PIECES, NEW_CHARS = 1 << 18, 4 << 20  # distinct pieces, and their code points, that are learned at once
+PIECES_KEPT, CHARS_KEPT = 1 << 19, 8 << 20  # those that a task keeps; beyond, it starts anew with the next block
 LEVEL = 512  # ranks whose positions are sorted together
 PAIRS_AT_ONCE = 1 << 18  # pairs looked up together; bounds what a long array needs besides its ranks
 NONE = np.int32(2**31 - 1)
@@ -177,51 +179,75 @@ def replay(words: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
     return ids, counts
 
 
+class Waiting:
+    """New pieces in the order of their numbers, until they are learned."""
+
+    def __init__(self):
+        self.learned = self.chars = 0
+        self.pieces: list[str] = []
+
+    def add(self, piece: str) -> int:
+        self.pieces.append(piece)
+        self.chars += len(piece)
+        return self.learned + len(self.pieces) - 1
+
+    def take(self) -> list[str]:
+        pieces, self.pieces, self.chars = self.pieces, [], 0
+        self.learned += len(pieces)
+        return pieces
+
+
+class Numbers(dict):
+    """Numbers of pieces; one that is asked for the first time is put to the waiting ones."""
+
+    def __init__(self, waiting: Waiting, lead: str):
+        super().__init__()
+        self.waiting, self.lead = waiting, lead
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = self.waiting.add(self.lead + piece)
+        return number
+
+
 class Vocabulary:
-    """Pieces of texts met so far with their ids; a worker keeps it from block to block."""
+    """Pieces of texts met so far with their ids; a task keeps it from block to block."""
 
     def __init__(self, ranks: Ranks, pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.forget()
 
     def forget(self) -> None:
-        numbering = itertools.count()
-        self.spaced: dict[str, int] = defaultdict(lambda: next(numbering))  # without their leading space
-        self.plain: dict[str, int] = defaultdict(lambda: next(numbering))
+        self.waiting, self.chars = Waiting(), 0
+        self.spaced, self.plain = Numbers(self.waiting, " "), Numbers(self.waiting, "")  # spaced: without their leading space
         self.sizes, self.ids = np.empty(0, np.int64), np.empty(0, np.int32)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of every text of one block.
+    def cut(self, text: str) -> np.ndarray:
+        """Numbers of a text's pieces; those not met before wait for ``learn``.
 
         Where no space follows white space, a word of the pattern can only hold a space as its
         first character, so such a text is first cut before its spaces, which is cheap, and the
         pattern is run on new pieces only. Other texts are cut by the pattern itself.
         """
-        if len(self.sizes) > PIECES_KEPT:
-            self.forget()
-        seen = len(self.spaced), len(self.plain)
-        parts = []
-        for text in texts:
-            if any(gap in text for gap in SPACE_AFTER_SPACE):
-                pieces = self.pattern.findall(text)
-                part = np.fromiter(map(self.plain.__getitem__, pieces), np.int32, len(pieces))
-            else:
-                pieces = text.split(" ")
-                part = np.fromiter(map(self.spaced.__getitem__, pieces), np.int32, len(pieces))
-                part[0] = self.plain[pieces[0]]
-            parts.append(part)
-        spaced, plain = itertools.islice(self.spaced.items(), seen[0], None), itertools.islice(self.plain.items(), seen[1], None)
-        # Both are in the order of their numbers already.
-        self.learn(heapq.merge(((k, " " + piece) for piece, k in spaced), ((k, piece) for piece, k in plain)))
-        starts = np.cumsum(self.sizes) - self.sizes
-        return [gather(self.ids, starts, self.sizes, part) for part in parts]
-
-    def learn(self, pieces: Iterator[tuple[int, str]]) -> None:
-        """Ids of new pieces in the order of their numbers, on from those known: those of their words, end to end."""
+        if any(gap in text for gap in SPACE_AFTER_SPACE):
+            pieces = self.pattern.findall(text)
+            return np.fromiter(map(self.plain.__getitem__, pieces), np.int32, len(pieces))
+        pieces = text.split(" ")
+        part = np.empty(len(pieces), np.int32)
+        part[0] = self.plain[pieces[0]]
+        part[1:] = np.fromiter(map(self.spaced.__getitem__, itertools.islice(pieces, 1, None)), np.int32, len(pieces) - 1)
+        return part
+
+    def is_full(self) -> bool:
+        """Whether the waiting pieces are to be learned before more texts are cut."""
+        return len(self.waiting.pieces) >= NEW_PIECES or self.waiting.chars >= NEW_CHARS
+
+    def learn(self) -> None:
+        """Ids of the waiting pieces: those of their words, end to end."""
         numbering = itertools.count()
         words: dict[str, int] = defaultdict(lambda: next(numbering))
         flat, ends = array("q"), array("q", [0])
-        for _, piece in pieces:
+        self.chars += self.waiting.chars
+        for piece in self.waiting.take():
             flat.extend([words[word] for word in self.pattern.findall(piece)])
             ends.append(len(flat))
         spelled = [word.encode() for word in words]
@@ -231,10 +257,21 @@ class Vocabulary:
         self.ids = np.append(self.ids, gather(ids, np.cumsum(counts) - counts, counts, used))
         self.sizes = np.append(self.sizes, np.diff(np.append(0, np.cumsum(counts[used]))[edges]))
 
+    def ids_of(self, parts: list[np.ndarray]) -> Iterator[np.ndarray]:
+        """Ids of every text that was cut; all its pieces are learned."""
+        starts = np.cumsum(self.sizes) - self.sizes
+        return (gather(self.ids, starts, self.sizes, part) for part in parts)
+
+    def start_block(self) -> None:
+        if len(self.sizes) > PIECES_KEPT or self.chars > CHARS_KEPT:
+            self.forget()
 
-@lru_cache(maxsize=1)
-def vocabulary(ranks_path: str, pattern: str) -> Vocabulary:
-    return Vocabulary(ranks_of(ranks_path), pattern)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of every text of one block."""
+        self.start_block()
+        parts = [self.cut(text) for text in texts]
+        self.learn()
+        return list(self.ids_of(parts))
 
 
 def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -249,21 +286,37 @@ def decode_ids(ids: np.ndarray, ranks: Ranks) -> bytes:
     return gather(ranks.flat, ranks.starts, ranks.widths, ids).tobytes()
 
 
-def blocks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[list[pa.RecordBatch], list[str]]]:
-    """Whole batches gathered to blocks of about so many code points, with their texts (null: empty)."""
-    kept: list[pa.RecordBatch] = []
-    texts: list[str] = []
+def blocks(batches: Iterator[pa.RecordBatch], known: Vocabulary) -> Iterator[list[tuple[pa.Array, list[np.ndarray]]]]:
+    """Learned blocks of rows in runs of about ``RUN_CHARS`` code points: the rows' ids and their texts, cut (null: empty).
+
+    A block ends within a batch too, after ``BLOCK_CHARS`` code points or when the vocabulary is full. One text at a
+    time is a string of its own.
+    """
+    known.start_block()
+    block: list[tuple[pa.Array, list[np.ndarray]]] = []
     size = 0
     for batch in batches:
-        own = [text or "" for text in batch.column("text").to_pylist()]
-        kept.append(batch)
-        texts += own
-        size += sum(map(len, own))
-        if size >= chars:
-            yield kept, texts
-            kept, texts, size = [], [], 0
-    if kept:
-        yield kept, texts
+        keys, texts = batch.column("id"), batch.column("text")
+        parts: list[np.ndarray] = []
+        run = start = 0
+        for row in range(batch.num_rows):
+            text = texts[row].as_py() or ""
+            parts.append(known.cut(text))
+            run += len(text)
+            whole = size + run >= BLOCK_CHARS or known.is_full()
+            if whole or run >= RUN_CHARS or row == batch.num_rows - 1:
+                # A copy, as a slice would hold the whole batch.
+                block.append((keys.take(pa.array(np.arange(start, row + 1))), parts))
+                size += run
+                parts, run, start = [], 0, row + 1
+            if whole:
+                known.learn()
+                yield block
+                known.start_block()
+                block, size = [], 0
+    if block:
+        known.learn()
+        yield block
 
 
 def bpe_encode(
@@ -278,8 +331,10 @@ def bpe_encode(
     texts have no ids, null ids of rows stay null, repeated rows stay, an empty table
     gives an empty result and other columns are ignored.
 
-    ``ranks_path`` must be readable on every executor. Memory: one block of
-    ``BLOCK_CHARS`` code points per task, or one text if that is longer.
+    ``ranks_path`` must be readable on every executor. Memory of a task: one batch, the cut
+    texts of a block (``BLOCK_CHARS`` code points, four bytes a piece), the new pieces of it
+    (``NEW_PIECES``, ``NEW_CHARS``) and those kept (``PIECES_KEPT``, ``CHARS_KEPT``), each
+    exceeded by one text at most.
     """
     chosen = docs.selectExpr(f"`{id_column}` as id", f"`{text_column}` as text")
     kind = chosen.schema["id"].dataType
@@ -288,14 +343,14 @@ def bpe_encode(
         fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        ranks, known = ranks_of(ranks_path), vocabulary(ranks_path, pattern)
-        for kept, texts in blocks(batches, BLOCK_CHARS):
-            encoded = iter(known.encode(texts))
-            for batch in kept:
-                ids = list(itertools.islice(encoded, batch.num_rows))
+        ranks = ranks_of(ranks_path)
+        known = Vocabulary(ranks, pattern)  # of this task only: a worker that waits for its next one holds no pieces
+        for block in blocks(batches, known):
+            for keys, parts in block:
+                ids = list(known.ids_of(parts))
                 decoded = [decode_ids(i, ranks) for i in ids]
                 columns = {
-                    id_column: batch.column("id"),
+                    id_column: keys,
                     "n_tokens": [len(i) for i in ids],
                     "ids_sha256": [hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids],
                     "decoded_sha256": [hashlib.sha256(d).hexdigest() for d in decoded],

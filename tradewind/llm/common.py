@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -54,6 +56,13 @@ def sample_by_hash(rows: DataFrame, label: str, n: int) -> DataFrame:
     return near.select(label, "hash", place.alias("place")).where(F.col("place") <= n)
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system; a Python worker that waits for its next task would hold on to it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(
     df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: T.StructType
 ) -> DataFrame:
@@ -69,6 +78,7 @@ def map_batches(
                 for field, values in ((f, columns[f.name]) for f in target)
             ]
             yield pa.RecordBatch.from_arrays(arrays, schema=target)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

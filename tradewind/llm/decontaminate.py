@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tradewind.llm.common import map_batches, written
+from tradewind.llm.common import give_back, map_batches, written
 from tradewind.sources.checkpoints import shared_folder
 
 WINDOW = 80  # characters; a shorter item is one window of its own length
@@ -352,6 +352,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 clean = pa.array([not h for h in text_hits(windows, batch.column("text").to_pylist())], pa.bool_())
                 yield pc.filter(batch, clean).cast(target)
+            give_back()
 
         return kept.mapInArrow(run, docs.schema), items
 
